@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six characters; bytes.split() cuts at the same ones.
@@ -93,3 +93,20 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list:
 
 def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, type=pa.binary())
+
+
+def ranked(df: DataFrame, group: str, order: list[str], largest: int, slice_rows: int = 50_000) -> DataFrame:
+    """df with `rank` (long, from 0) of each row in its group.
+
+    A group is ranked in slices by a hash of the ordering columns, so no group is sorted by one task however many
+    rows it has; `largest` is the row count of the largest one. Rows alike in all these columns are interchangeable.
+    """
+    slices = 1 << (largest // slice_rows).bit_length()
+    df = df.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), *order), F.lit(slices)).cast("int"))
+    before = df.groupBy(group, "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select(
+        F.col(group).alias("of"), F.col("slice").alias("of_slice"),
+        (F.sum("n").over(Window.partitionBy(group).orderBy("slice")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(group, "slice").orderBy(*order))
+    joined = df.withColumn("inside", inside).join(before, (F.col(group) == F.col("of")) & (F.col("slice") == F.col("of_slice")))
+    return joined.withColumn("rank", F.col("before") + F.col("inside") - 1).drop("of", "of_slice", "slice", "before", "inside")

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.common import stored, text_or_empty
+from trolley.llm.common import ranked, stored, text_or_empty
 
 
 def ring(shards: int, virtual_nodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def arc_of(key: Column, points: np.ndarray) -> Column:
     return find(key)
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, virtual_nodes: int = 64, slice_rows: int = 50_000) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, virtual_nodes: int = 64) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of docs, counts of shards at most one apart."""
     points, owner = ring(shards, virtual_nodes)
     t = text_or_empty()
@@ -80,15 +80,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, virtual_nodes: int = 64, sl
     keys = stored(keys.withColumn("arc", arc_of(F.col("h"), points)), "shard-keys")
     counts = keys.groupBy("arc").count().collect()  # at most shards x virtual_nodes rows
     largest = max((r["count"] for r in counts), default=0)
-    slices = 1 << max(0, (largest // slice_rows)).bit_length()
     plan = plan_arcs({r["arc"]: r["count"] for r in counts}, owner, shards)
 
-    # rank within the arc: rank within a slice of it, plus the rows of the slices before
-    keys = keys.withColumn("slice", F.pmod(F.col("h"), F.lit(slices)).cast("int"))
-    before = keys.groupBy("arc", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("arc", "slice", (F.sum("n").over(Window.partitionBy("arc").orderBy("slice")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("arc", "slice").orderBy("h", "doc_id", "size", "text_crc32"))
-    ranked = keys.withColumn("inside", inside).join(before, ["arc", "slice"]).withColumn("rank", F.col("before") + F.col("inside") - 1)
+    ranks = ranked(keys, "arc", ["h", "doc_id", "size", "text_crc32"], largest)
 
     by_arc: dict[int, list] = {}
     for arc, first, shard, slot in plan:
@@ -104,5 +98,5 @@ def assign_shards(docs: DataFrame, shards: int = 40, virtual_nodes: int = 64, sl
                 out.append((shard, slot + rank - first))
             yield pd.DataFrame(out, columns=["shard", "slot"])
 
-    placed = ranked.withColumn("at", place("arc", "rank"))
+    placed = ranks.withColumn("at", place("arc", "rank"))
     return placed.select("doc_id", "size", "text_crc32", F.col("at.shard").alias("shard"), F.col("at.slot").alias("slot"))
