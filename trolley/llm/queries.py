@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import chat_format, decontaminate, exact_dedup, packing, secret_scan, sharding, token_counts, toxicity
+from trolley.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, secret_scan, sharding, token_counts, toxicity
 from trolley.llm.common import table
 
 #: One conversation beside the table: both its texts look like another template's control strings.
@@ -29,6 +29,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_chat_format": op7_chat_format,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,

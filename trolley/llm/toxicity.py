@@ -88,8 +88,11 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Classifier:
-    """Adam on the logistic loss; a max-pooled filter passes its gradient to the words where it was largest."""
+def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7, least_docs: int = 6) -> Classifier:
+    """Adam on the logistic loss; a max-pooled filter passes its gradient to the words where it was largest.
+
+    Buckets that fewer than least_docs documents use stay zero: they could only be learnt by heart.
+    """
     rng = np.random.default_rng(seed)
     scale = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     model = Classifier(scale(2 * BUCKETS, DIM), {w: scale(w, DIM, FILTERS) for w in WIDTHS},
@@ -98,6 +101,9 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
     if not len(labels) or labels.min() == labels.max():
         model.output[:] = 0
         return model
+    spread = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=2 * BUCKETS)
+    usual = spread >= least_docs
+    model.embedding[~usual] = 0
     parts = [model.embedding, *model.filters.values(), *model.bias.values(), model.output]
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     seen, step = np.zeros(2 * BUCKETS, dtype=bool), 0
@@ -143,6 +149,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
             sparse = np.zeros((len(touched), DIM), np.float32)
             if rows:
                 np.add.at(sparse, inverse, np.concatenate(values))
+                sparse[~usual[touched]] = 0
             seen[touched] = True
             fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
             for k, p in enumerate(parts):
