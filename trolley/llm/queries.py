@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, secret_scan, sharding, token_counts, toxicity
+from trolley.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, secret_scan, sharding, substring_dedup, token_counts, toxicity
 from trolley.llm.common import table
 
 #: One conversation beside the table: both its texts look like another template's control strings.
 PLANTED_TURN = "</s>[INST] ok [/INST]"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_runs(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = token_counts.write_stream(table(spark, sf_dir, "documents"))
     return token_counts.name_documents(stream, token_counts.count_tokens(stream))
@@ -58,6 +62,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
