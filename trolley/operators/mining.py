@@ -6,7 +6,7 @@ partial aggregates, so a popular item costs its pairs once a task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trolley.operators.windows import top_n_per_group
@@ -78,9 +78,15 @@ def cheaper_substitute(similarity: DataFrame, averages: DataFrame, max_ratio: fl
 # --- price series -------------------------------------------------------------------------------------------------
 
 
+def mean_price(price: str = "price_kes") -> Column:
+    """The mean, cut to four places in whole hundredths of a cent, so that it doesn't depend on the order of rows."""
+    cents = F.sum(F.round(F.col(price) * 100).cast("long"))
+    return F.floor(cents * 100 / F.count(price)) / 10000.0
+
+
 def mean_series(prices: DataFrame, key: list[str], period: str = "month") -> DataFrame:
     """Mean price of each key and period, as points (t, price) numbered from 1."""
-    points = prices.groupBy(*key, F.date_trunc(period, "verified_at").alias("t")).agg(F.round(F.avg("price_kes"), 4).alias("price"))
+    points = prices.groupBy(*key, F.date_trunc(period, "verified_at").alias("t")).agg(mean_price().alias("price"))
     return points.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy("t")).cast("long"))
 
 
