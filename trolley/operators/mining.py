@@ -111,7 +111,8 @@ def pearson_corr(series: DataFrame, product: str, store: str, least: int = 10, a
 
 
 def _corr(grouped, least: int) -> DataFrame:
-    out = grouped.agg(F.corr("x", "y").alias("c"), F.count(F.lit(1)).alias("points")).where(F.col("points") >= least)
+    c = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))  # null for a constant series
+    out = grouped.agg(c.alias("c"), F.count(F.lit(1)).alias("points")).where(F.col("points") >= least)
     return out.withColumn("correlation", F.round(F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0)), 6)).drop("c")
 
 
