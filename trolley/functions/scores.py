@@ -67,3 +67,10 @@ def final_score(parts: Mapping[str, Column], weights: Mapping[str, float] = WEIG
         if name in parts:
             out = out + weight / total * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(parts[name], F.lit(0.0))))
     return out
+
+
+def fuzzy_rerank_score(a: Column, b: Column) -> Column:
+    """The larger of plain and token-sorted edit similarity, 0 to 1; word order and repeats don't matter for the second."""
+    sort = lambda c: F.array_join(F.array_sort(F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))), " ")
+    ratio = lambda x, y: F.try_divide(F.greatest(F.length(x), F.length(y)) - F.levenshtein(x, y), F.greatest(F.length(x), F.length(y)))
+    return F.coalesce(F.greatest(ratio(F.lower(F.trim(a)), F.lower(F.trim(b))), ratio(sort(a), sort(b))), F.lit(0.0))

@@ -37,6 +37,16 @@ def add_to_set(items: Column, more: Column) -> Column:
     return F.array_union(F.coalesce(items, none), F.coalesce(more, none))
 
 
+def resolve_or_create_product(items: DataFrame, known: DataFrame) -> DataFrame:
+    """The catalogue (product_id, name, brand, sizes) after items (name, brand, size): known ones gain sizes, others are new."""
+    key = F.md5(F.concat_ws("\x1f", F.lower("name"), F.lower(F.coalesce("brand", F.lit("")))))
+    seen = items.withColumn("_key", key).groupBy("_key").agg(F.min("name").alias("new_name"), F.min("brand").alias("new_brand"), F.array_sort(F.collect_set("size")).alias("more"))
+    both = known.withColumn("_key", key).join(seen, "_key", "full_outer")
+    return both.select(
+        F.coalesce(F.col("product_id").cast("string"), F.concat(F.lit("new-"), F.substring("_key", 1, 16))).alias("product_id"), F.coalesce("name", "new_name").alias("name"),
+        F.coalesce("brand", "new_brand").alias("brand"), F.array_sort(add_to_set(F.col("sizes"), F.col("more"))).alias("sizes"))
+
+
 # --- outbox -------------------------------------------------------------------------------------------------------
 
 

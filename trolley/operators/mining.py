@@ -116,24 +116,48 @@ def _corr(grouped, least: int) -> DataFrame:
     return out.withColumn("correlation", F.round(F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0)), 6)).drop("c")
 
 
-def lead_lag(series: DataFrame, product: str, store: str, max_lag_points: int = 10, least: int = 10, weakest: float = 0.1) -> DataFrame:
-    """The lag of the largest absolute correlation for each pair of stores; a positive lag means that store_a leads.
+def lag_join(series: DataFrame, product: str, store: str, max_lag_points: int = 10, least: int = 10) -> DataFrame:
+    """Points (x, y) of each pair of stores and lag: the first store's place p with the second's place p + lag.
 
-    At most half of either series is shifted away. Weaker than `weakest`: no row.
+    At most half of either series is shifted away.
     """
     pairs = series_pairs(series, product, store, least)
     bound = F.least(F.floor(F.col("n_a") / 2), F.floor(F.col("n_b") / 2), F.lit(max_lag_points)).cast("long")
     shifted = pairs.withColumn("lag", F.explode(F.sequence(-bound, bound)))
     a = series.select(product, F.col(store).alias("store_a"), F.col("position").alias("p"), F.col("price").alias("x"))
     b = series.select(product, F.col(store).alias("store_b"), F.col("position").alias("q"), F.col("price").alias("y"))
-    points = shifted.join(a, [product, "store_a"]).withColumn("q", F.col("p") + F.col("lag")).join(b, [product, "store_b", "q"])
-    each = _corr(points.groupBy(product, "store_a", "store_b", "lag"), least)
+    return shifted.join(a, [product, "store_a"]).withColumn("q", F.col("p") + F.col("lag")).join(b, [product, "store_b", "q"])
+
+
+def lead_lag(series: DataFrame, product: str, store: str, max_lag_points: int = 10, least: int = 10, weakest: float = 0.1) -> DataFrame:
+    """The lag of the largest absolute correlation for each pair of stores; a positive lag means that store_a leads.
+
+    Weaker than `weakest`: no row.
+    """
+    each = _corr(lag_join(series, product, store, max_lag_points, least).groupBy(product, "store_a", "store_b", "lag"), least)
     best = each.groupBy(product, "store_a", "store_b").agg(
         F.max(F.struct(F.abs("correlation").alias("strength"), (-F.abs("lag")).alias("near"), "lag", "correlation")).alias("b"),
         F.max(F.when(F.col("lag") == 0, F.col("correlation"))).alias("correlation"))
     return best.where(F.col("b.strength") >= weakest).select(product, "store_a", "store_b", F.coalesce("correlation", F.lit(0.0)).alias("correlation"), F.col("b.lag").alias("lag"), F.col("b.correlation").alias("lag_correlation"))
 
 
+def correlations_for(found: DataFrame, product: str, value, stores: tuple | None = None) -> DataFrame:
+    """A product's correlations, or those of one pair of stores, whichever way round."""
+    out = found.where(F.col(product) == value)
+    if stores is not None:
+        out = out.where(F.col("store_a").isin(*stores) & F.col("store_b").isin(*stores) & (F.col("store_a") != F.col("store_b")))
+    return out
+
+
+def recommendation_details(similar: DataFrame, products: DataFrame) -> DataFrame:
+    return similar.join(products.select(F.col("product_id").alias("item_b"), "name", "brand", "category"), "item_b")
+
+
+def train_guard(rows: DataFrame, least: int, part: str) -> DataFrame:
+    """One row: the part, its number of rows and whether they are enough to train on."""
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "n", (F.col("n") >= least).alias("enough"))
+
+
 def mirrored(found: DataFrame) -> DataFrame:
     """The pairs the other way round too, with the opposite lag."""
     return found.unionByName(found.withColumns({"store_a": F.col("store_b"), "store_b": F.col("store_a"), "lag": -F.col("lag")}))

@@ -104,3 +104,16 @@ def find_product(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """The one product for each query."""
     return best_per_key(exact_then_fuzzy(queries, terms), ["query_id"], [F.col("score").desc(), "product_id"])
 
+
+
+def find_product_matches(queries: DataFrame, terms: DataFrame, cheapest: DataFrame, n: int = 5) -> DataFrame:
+    """The n best products of each query with their cheapest price."""
+    found = exact_then_fuzzy(queries, terms).unionByName(fuzzy_cross_match(queries, terms))
+    once = best_per_key(found, ["query_id", "product_id"], [F.col("score").desc(), "matched_term", "match_type"])
+    top = top_n_per_group(once, ["query_id"], [F.col("score").desc(), "product_id"], n)
+    return top.join(cheapest.select("product_id", "price_kes", "store_id"), "product_id", "left")
+
+
+def query_single_product(queries: DataFrame, terms: DataFrame, listing: DataFrame) -> DataFrame:
+    """The price listing of the one product found for each query."""
+    return find_product(queries, terms).select("query_id", "product_id", "match_type").join(listing, "product_id")
