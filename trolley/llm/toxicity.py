@@ -13,7 +13,7 @@ are scored each. Only doc_id, text (and lang for thresholds) are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -83,8 +83,18 @@ class Classifier:
             out.append(np.maximum.reduceat(h, spans, axis=0)[::2] + self.bias[w])
         return np.maximum(np.concatenate(out, axis=1), 0)
 
-    def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        z = self.pooled(docs) @ self.output + self.offset
+    def score(self, docs: Iterable[np.ndarray], words_at_once: int = 20_000) -> np.ndarray:
+        """Scores of documents, pooled together until they hold words_at_once words."""
+        out, part, size = [np.zeros((0, self.output.size), np.float32)], [], 0
+        for doc in docs:
+            part.append(doc)
+            size += len(doc) + max(WIDTHS)
+            if size > words_at_once:
+                out.append(self.pooled(part))
+                part, size = [], 0
+        if part:
+            out.append(self.pooled(part))
+        z = np.concatenate(out) @ self.output + self.offset
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
@@ -211,18 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, label: st
     return model
 
 
-def scores_of(batch: pa.RecordBatch, model: Classifier, words_at_once: int = 20_000) -> np.ndarray:
-    """Scores of a batch's texts, scored together until they hold words_at_once words."""
-    out, part, size = [np.zeros(0)], [], 0
-    for text in texts_in(batch):
-        part.append(word_ids(text))
-        size += len(part[-1]) + 3
-        if size > words_at_once:
-            out.append(model.score(part))
-            part, size = [], 0
-    if part:
-        out.append(model.score(part))
-    return np.concatenate(out)
+def scores_of(batch: pa.RecordBatch, model: Classifier) -> np.ndarray:
+    return model.score(map(word_ids, texts_in(batch)))
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
