@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm.common import stored
 
 
+def _pair(u: Column, v: Column) -> Column:
+    return F.struct(u.alias("u"), v.alias("v"))
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Edges (u, v): every u's neighbours are linked to the least of u and them.
+    """Edges (u > v): every u's neighbours are linked to the least of u and them.
 
-    Large star moves the neighbours above u; small star moves u and the neighbours below it.
+    Large star moves the neighbours above u; small star moves u and the neighbours below it. The result is written, so
+    that the plan of a step never holds the steps before it.
     """
+    u, v = F.col("u"), F.col("v")
+    if not small:
+        edges = edges.select(F.explode(F.array(_pair(u, v), _pair(v, u))).alias("e")).select("e.u", "e.v")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").withColumn("m", F.least("m", "u"))
     if small:
-        edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    else:
-        edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = edges.join(least, "u")
-    if small:
-        out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v")))
+        moved = moved.select(F.explode(F.array(_pair(v, F.col("m")), _pair(u, F.col("m")))).alias("e")).select("e.u", "e.v")
     else:
-        out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where(F.col("u") != F.col("v")).distinct()
+        moved = moved.where(v > u).select(v.alias("u"), F.col("m").alias("v"))
+    return stored(moved.where(F.col("u") != F.col("v")).distinct(), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,10 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
-        edges = stored(_star(_star(edges, small=False), small=True), "edges")
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
         state = new
-    own = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return own.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        edges = _star(_star(edges, small=False), small=True)
+    roots = F.explode(F.array(_pair(F.col("u"), F.col("v")), _pair(F.col("v"), F.col("v"))))
+    return stored(edges.select(roots.alias("e")).select(F.col("e.u").alias("node"), F.col("e.v").alias("component")).distinct(), "components")

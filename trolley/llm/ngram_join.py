@@ -9,7 +9,8 @@ Sets are keyed by their digest, so exact copies are one member however many ther
 
 Signatures are shuffled once. A segment value with few members gives its pairs; one with many is skipped for sets that
 have capacity to spare without it, and otherwise worked off in rounds: pivots are compared with the members of other components,
-and what has become one component needs no further comparison. Sets whose capacity is too small from the start (rare) are compared
+and what has become one component needs no further comparison. Before whole sets are compared, pairs must pass a bound that is exact: each
+set carries the parities of the numbers of its shingles in 1024 ranges, and as many shingles differ at least as parities do. Sets whose capacity is too small from the start (rare) are compared
 as queries, in blocks, with all documents. All candidates are verified on whole sets.
 
 Null and empty texts have empty sets and link with nothing. Rows that repeat an id are one node; a row with a null id is in the
@@ -31,10 +32,12 @@ from pyspark.sql import types as T
 
 from trolley.llm.common import lower_words, shingle_hashes, stored, text_or_empty
 from trolley.llm.components import components
+from trolley.llm.exact_dedup import id_filter, passing
 from trolley.llm.tokens import texts_in
 
 #: A segment value with more members than this is a hot one.
 FEW = 8
+PARITY_LONGS = 16
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -149,6 +152,31 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True) & ~1, int.from_bytes(digest[8:], "little", signed=True)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Of each range of the hash whether it holds an odd number of the set's shingles, as 64-bit numbers."""
+    odd = np.bincount((own >> np.uint64(8) & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def close_enough(n: Column, other_n: Column, parity: Column, other_parity: Column) -> Column:
+    """False only where sizes or parities rule the similarity out."""
+    differ = F.bit_count(F.get(parity, F.lit(0)).bitwiseXOR(F.get(other_parity, F.lit(0))))
+    for i in range(1, PARITY_LONGS):
+        differ = differ + F.bit_count(F.get(parity, F.lit(i)).bitwiseXOR(F.get(other_parity, F.lit(i))))
+    return (F.least(n, other_n) * 5 >= F.greatest(n, other_n) * 4) & (differ * 9 <= n + other_n)
+
+
+def _listed(known: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Ids as a list of those that occur, and the place of each in it."""
+    own, places = np.unique(numbers, return_inverse=True)
+    return np.uint64(len(own)).tobytes() + known[own].tobytes() + places.astype(np.uint32).tobytes()
+
+
+def _unlisted(blob: pa.Buffer) -> np.ndarray:
+    n = int(np.frombuffer(blob, np.uint64, 1)[0])
+    return np.frombuffer(blob, np.uint64, n, 8)[np.frombuffer(blob, np.uint32, -1, 8 * (n + 1))]
+
+
 def bucket_members(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures shared by two or more sets: (signatures, ids, index of each bucket's first row), sorted."""
     order = np.argsort(sigs)
@@ -170,7 +198,7 @@ def bucket_members(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
 def _index_schema(doc_id: T.StructField) -> T.StructType:
     long = T.LongType()
     return T.StructType([T.StructField("kind", T.IntegerType()), doc_id, T.StructField("n", long), T.StructField("capacity", long),
-                         T.StructField("a", long), T.StructField("b", long)])
+                         T.StructField("a", long), T.StructField("b", long), T.StructField("parity", T.ArrayType(long))])
 
 
 def index(docs: DataFrame, part_bytes: int = 24 << 20, flush: int = 1 << 20) -> DataFrame:
@@ -181,13 +209,15 @@ def index(docs: DataFrame, part_bytes: int = 24 << 20, flush: int = 1 << 20) ->
     name = docs.schema["doc_id"]
     out = _index_schema(name)
     sent = T.StructType([T.StructField("part", T.IntegerType()), name, T.StructField("n", T.LongType()), T.StructField("capacity", T.LongType()),
-                         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("sigs", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+                         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType())), T.StructField("sigs", T.BinaryType()), T.StructField("ids", T.BinaryType())])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flushed(id_type: pa.DataType) -> pa.RecordBatch:
-            sigs, ids = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+            sigs = np.concatenate([k[0] for k in kept])
+            known, ids = np.unique(np.concatenate([k[1] for k in kept]), return_inverse=True)
+            ids = ids.astype(np.uint32)  # members are numbers in the list of the sets seen since the last flush
             kept.clear()
             part = (sigs >> np.uint64(24)) % np.uint64(parts)
             order = np.argsort(part)
@@ -196,13 +226,13 @@ def index(docs: DataFrame, part_bytes: int = 24 << 20, flush: int = 1 << 20) ->
             pieces = [order[cuts[k] : cuts[k + 1]] for k in own]
             none = lambda t: pa.nulls(len(own), t)
             return pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), none(id_type), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()),
-                 pa.array([sigs[i].tobytes() for i in pieces], pa.binary()), pa.array([ids[i].tobytes() for i in pieces], pa.binary())], names=sent.names)
+                [pa.array(own, pa.int32()), none(id_type), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int64())),
+                 pa.array([sigs[i].tobytes() for i in pieces], pa.binary()), pa.array([_listed(known, ids[i]) for i in pieces], pa.binary())], names=sent.names)
 
         id_type = None
         for batch in batches:
             id_type = batch.column("doc_id").type
-            sizes, keys, capacity = [], [], []
+            sizes, keys, capacity, parity = [], [], [], []
             group, held, members = Signatures(), 0, []
 
             def close(group: Signatures, members: list[int], capacity: list[int]) -> None:
@@ -215,7 +245,7 @@ def index(docs: DataFrame, part_bytes: int = 24 << 20, flush: int = 1 << 20) ->
             for i, text in enumerate(texts_in(batch)):
                 own = shingle_set(text)
                 key = set_key(own)
-                sizes.append(len(own)), keys.append(key), capacity.append(0)
+                sizes.append(len(own)), keys.append(key), capacity.append(0), parity.append(parities(own))
                 if len(own):
                     group.add(own, key[0] & (1 << 64) - 1)
                     members.append(i)
@@ -229,14 +259,18 @@ def index(docs: DataFrame, part_bytes: int = 24 << 20, flush: int = 1 << 20) ->
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] // 2 % parts for k in keys], pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(capacity, pa.int64()),
-                 pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                 pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * PARITY_LONGS, pa.int32()), pa.array(np.concatenate([*parity, np.zeros(0, np.int64)]))),
+                 pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
                 names=sent.names)
         if kept:
             yield flushed(id_type)
 
     def paired(group: pa.Table) -> pa.Table:
-        blobs = lambda c: np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(c) if x.is_valid] or [np.zeros(0, np.uint64)])
-        sigs, ids, starts = bucket_members(blobs("sigs"), blobs("ids"))
+        none = np.zeros(0, np.uint64)
+        sigs = np.concatenate([none, *(np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("sigs") if x.is_valid)])
+        ids = np.concatenate([none, *(_unlisted(x.as_buffer()) for x in group.column("ids") if x.is_valid)])
+        sigs, ids, starts = bucket_members(sigs, ids)
         count = np.diff(np.append(starts, len(sigs)))
         left, right = [], []
         for k in range(2, FEW + 1):
@@ -248,13 +282,13 @@ def index(docs: DataFrame, part_bytes: int = 24 << 20, flush: int = 1 << 20) ->
                     left.append(x[some] & ~np.uint64(1)), right.append(y[some] & ~np.uint64(1))
         pairs = np.unique(np.stack([np.concatenate([*left, np.zeros(0, np.uint64)]), np.concatenate([*right, np.zeros(0, np.uint64)])], axis=1).astype(np.uint64), axis=0)
         hot = np.repeat(count > FEW, count)
-        documents = group.filter(pa.compute.is_valid(group.column("n"))).select(["doc_id", "n", "capacity", "a", "b"])
+        documents = group.filter(pa.compute.is_valid(group.column("n"))).select(["doc_id", "n", "capacity", "a", "b", "parity"])
         documents = documents.add_column(0, "kind", pa.array(np.zeros(documents.num_rows, np.int32)))
         made = []
         for kind, a, b in ((1, pairs[:, 0], pairs[:, 1]), (2, sigs[hot], ids[hot])):
             n = len(a)
             made.append(pa.table([pa.array(np.full(n, kind, np.int32)), pa.nulls(n, group.schema.field("doc_id").type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                                  pa.array(a.view(np.int64) if n else np.zeros(0, np.int64)), pa.array(b.view(np.int64) if n else np.zeros(0, np.int64))], names=out.names))
+                                  pa.array(a.view(np.int64) if n else np.zeros(0, np.int64)), pa.array(b.view(np.int64) if n else np.zeros(0, np.int64)), pa.nulls(n, pa.list_(pa.int64()))], names=out.names))
         return pa.concat_tables([documents.select(out.names), *made])
 
     return stored(texts.mapInArrow(signed, sent).groupBy("part").applyInArrow(paired, out), "ngram-index")
@@ -262,22 +296,24 @@ def index(docs: DataFrame, part_bytes: int = 24 << 20, flush: int = 1 << 20) ->
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """set_id, rep, n, shingles of the classes in wanted (set_id, set_hi, rep), stored."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("set_id", T.LongType()), T.StructField("set_hi", T.LongType()),
+    name = docs.schema["doc_id"]
+    schema = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("rep", name.dataType),
                            T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in texts_in(batch)]
-            keys = [set_key(s) for s in sets]
+            keys = list(zip(batch.column("set_id").to_pylist(), batch.column("set_hi").to_pylist(), strict=True))
+            own = pa.array([set_key(s) == k for s, k in zip(sets, keys, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names)
+                [batch.column("set_id"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names).filter(own)
 
     texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
-    texts = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    keys = wanted.select("set_id", "set_hi", "rep")
-    return stored(texts.mapInArrow(read, schema).join(keys, ["set_id", "set_hi"]).where(F.col("doc_id") == F.col("rep"))
-                  .dropDuplicates(["set_id", "set_hi"]).select("set_id", "rep", "n", "shingles"), "ngram-sets")
+    keys = wanted.select(F.col("rep").alias("doc_id"), "set_id", "set_hi")
+    texts = passing(texts, id_filter(keys)).join(keys, "doc_id").withColumn("hash", F.xxhash64("text"))
+    texts = texts.dropDuplicates(["doc_id", "set_id", "set_hi", "hash"]).drop("hash")
+    return stored(texts.mapInArrow(read, schema), "ngram-sets")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -293,12 +329,9 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
-    sizes = sets.select("set_id", "n")
-    near = pairs.join(sizes.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.where(F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4).select("a", "b")
     left = sets.select(F.col("set_id").alias("a"), F.col("rep").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("rep").alias("v"), F.col("shingles").alias("y"))
-    full = near.join(left, "a").join(right, "b").select("u", "v", "x", "y")
+    full = pairs.join(left, "a").join(right, "b").select("u", "v", "x", "y")
     rep = sets.schema["rep"].dataType
     return full.mapInArrow(verify, T.StructType([T.StructField("u", rep), T.StructField("v", rep)]))
 
@@ -339,27 +372,32 @@ def _pivots(hot: DataFrame, labels: DataFrame, pivots: int) -> tuple[DataFrame,
     now = now.join(spread.where((F.col("c0") != F.col("c1")) & F.col("any_weak")).select("bucket"), "bucket")
     order = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "id")
     now = stored(now.withColumn("place", F.row_number().over(order)), "ngram-hot")
-    first = now.where(F.col("place") <= pivots).select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("weak").alias("wa"), F.col("place").alias("pa"))
-    pairs = first.join(now, "bucket").where(
-        (F.col("ca") != F.col("component")) & (F.col("wa") | F.col("weak")) & ((F.col("place") > pivots) | (F.col("place") > F.col("pa"))))
+    first = now.where(F.col("place") <= pivots).select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("weak").alias("wa"), F.col("place").alias("pa"), F.col("n").alias("na"), F.col("parity").alias("qa"))
+    now = now.drop("c0", "c1", "any_weak")
+    members = now.select(F.col("bucket").alias("of"), "id", "component", "weak", "place", "n", "parity")
+    pairs = first.join(members, (F.col("bucket") == F.col("of")) & (F.col("ca") != F.col("component")) & (F.col("wa") | F.col("weak"))
+                       & (F.col("place") > F.col("pa")) & close_enough(F.col("n"), F.col("na"), F.col("parity"), F.col("qa")))
     pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    return pairs, now.where(F.col("place") > pivots).select("bucket", "id", "weak", "rep", "weight")
+    return pairs, now.where(F.col("place") > pivots).select("bucket", "id", "weak", "rep", "weight", "n", "parity")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     found = index(docs)
-    rows = found.where(F.col("kind") == 0).select("doc_id", F.col("n").alias("n_shingles"), "capacity", F.col("a").alias("set_id"), F.col("b").alias("set_hi"))
+    rows = found.where(F.col("kind") == 0).select("doc_id", F.col("n").alias("n_shingles"), "capacity", F.col("a").alias("set_id"), F.col("b").alias("set_hi"), "parity")
     classes = stored(rows.where(F.col("n_shingles") > 0).groupBy("set_id", "set_hi").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("capacity").alias("capacity")).where(F.col("rep").isNotNull()), "ngram-classes")
-    pairs = stored(found.where(F.col("kind") == 1).select("a", "b").distinct(), "ngram-pairs")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("capacity").alias("capacity"), F.first("parity").alias("parity")).where(F.col("rep").isNotNull()), "ngram-classes")
+    side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    met = found.where(F.col("kind") == 1).select("a", "b").distinct().join(side("a"), "a")
+    right = side("b").withColumnRenamed("b", "to")
+    pairs = stored(met.join(right, (F.col("b") == F.col("to")) & close_enough(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"))).select("a", "b").distinct(), "ngram-pairs")
 
     # hot buckets: skipped by the sets whose other segments suffice
     members = found.where(F.col("kind") == 2).select(F.col("a").alias("bucket"), F.col("b").bitwiseAND(F.lit(-2)).alias("id"), (F.col("b") % 2 != 0).alias("lower"))
     lost = members.groupBy(F.col("id").alias("set_id")).agg(F.count_if("lower").alias("lost"), F.count(F.lit(1)).alias("weight"))
     need = needed_column(F.col("n"))
-    scarce = classes.join(lost, "set_id").select(F.col("set_id").alias("id"), "rep", "weight", (F.col("capacity") - F.col("lost") < need).alias("weak"))
-    hot = members.join(scarce, "id").select("bucket", "id", (F.col("weak") & F.col("lower")).alias("weak"), "rep", "weight")
+    scarce = classes.join(lost, "set_id").select(F.col("set_id").alias("id"), "rep", "weight", "n", "parity", (F.col("capacity") - F.col("lost") < need).alias("weak"))
+    hot = members.join(scarce, "id").select("bucket", "id", (F.col("weak") & F.col("lower")).alias("weak"), "rep", "weight", "n", "parity")
     kept = hot.groupBy("bucket").agg(F.max("weak").alias("w")).where("w").select("bucket")
     hot = stored(hot.join(kept, "bucket"), "ngram-hot")
 
@@ -368,21 +406,31 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         hot.select(F.col("id").alias("set_id"))).unionByName(short.select("set_id")).distinct()
     sets = wanted_sets(docs, classes.join(ids, "set_id"))
 
-    edges = stored(linked(pairs, sets), "ngram-links")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))  # one pair for each set, then those that still join two components
+    edges = stored(linked(first, sets), "ngram-links")
+    labels = components(edges)
+    by_id = classes.select(F.col("set_id").alias("id"), F.col("rep").alias("node")).join(labels, "node").select("id", "component")
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(by_id.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(
+        by_id.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left").where(~F.col("ca").eqNullSafe(F.col("cb")) | F.col("ca").isNull())
+    edges = stored(edges.unionByName(linked(rest.select("a", "b"), sets)), "ngram-links")
     asked = query_blocks(docs, sets.join(short.select("set_id"), "set_id", "left_semi"))
     if asked is not None:
         nodes = rows.join(classes.select("set_id", "set_hi", "rep"), ["set_id", "set_hi"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
         edges = stored(edges.unionByName(asked).unionByName(nodes), "ngram-links")
     labels = components(edges)
-    pivots = 1
+    pivots = 4
     while not hot.isEmpty():
         by_id = classes.select(F.col("set_id").alias("id"), F.col("rep").alias("node")).join(labels, "node").select("id", "component")
         more, hot = _pivots(hot, by_id, pivots)
         new = stored(linked(more, sets), "ngram-links")
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new))
-        pivots *= 2
+        if not new.isEmpty():  # join the components that the new links touch
+            at = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+            met = new.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+            merged = components(met.where(F.col("u") != F.col("v")))
+            moved = labels.join(merged.withColumnRenamed("component", "now").withColumnRenamed("node", "component"), "component", "left")
+            moved = moved.select("node", F.coalesce("now", "component").alias("component"))
+            labels = stored(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "components")
+        pivots *= 4
     reps = classes.join(labels, classes["rep"] == labels["node"], "left").select("set_id", "set_hi", F.coalesce("component", "rep").alias("component"))
     out = rows.join(reps, ["set_id", "set_hi"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out
