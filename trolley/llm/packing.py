@@ -39,8 +39,8 @@ def cut_pieces(docs: DataFrame, limit: int = 4096, path: str | None = None) -> D
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(texts_in(batch)):
-                ids = memoryview(encoder.encode(text) + end)
+            for i, encoded in enumerate(encoder.encode_all(texts_in(batch))):
+                ids = memoryview(encoded + end)
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

@@ -48,8 +48,8 @@ def write_stream(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
                 names=["stream", "block", "payload", "names"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_in(batch), strict=True):
-                kept += encoder.encode(text)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts_in(batch)), strict=True):
+                kept += ids
                 kept += end
                 while len(kept) > width:  # the separator of this document is still to come
                     yield row(bytes(kept[:width]), names)

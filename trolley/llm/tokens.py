@@ -6,8 +6,11 @@ turn. Each worker remembers the ids of words it has seen (a bounded number of th
 
 from __future__ import annotations
 
+import gc
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -23,10 +26,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordTokens:
     """Encodes texts (bytes); ids come as little-endian unsigned integers of the given width, joined."""
 
-    limit = 400_000
+    limit = 1_000_000
+    chunk_bytes = 2 << 20
+    #: ASCII marks between an ASCII letter or digit and white space are cut off either way; apart, the word is more often a known one.
+    mark = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
 
     def __init__(self, path: str, dtype: str = "<u4", special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(200_000, 20, 20)  # many small objects and no cycles: look for those less often
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -35,23 +42,43 @@ class WordTokens:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = list(words - self.known.keys())
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = list(words)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(part, found, strict=True))
-
-    def encode(self, text: bytes | None) -> bytes:
-        words = text.split() if text else []
+            ids = [e.ids for e in found]
+            joined = np.fromiter(chain.from_iterable(ids), dtype=self.dtype).tobytes()
+            ends = (np.cumsum([0, *map(len, ids)]) * self.dtype.itemsize).tolist()
+            self.known.update((w, joined[a:b]) for w, a, b in zip(part, ends, ends[1:], strict=False))
+
+    def words(self, text: bytes) -> list[bytes]:
+        if b"<|" not in text:  # letters of special tokens keep their case
+            text = self.mark.sub(rb" \1", text.lower())
+        return text.split()
+
+    def encode(self, text: bytes) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """The ids of each text in turn; words are learnt for many texts at once."""
+        held: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            held.append(self.words(text))
+            size += len(text)
+            if size > self.chunk_bytes:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, held: list[list[bytes]]) -> Iterator[bytes]:
+        self.learn(set().union(*held))
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self.learn(set(words))
-            return b"".join([known[w] for w in words])
+        for words in held:
+            yield b"".join([known[w] for w in words])
 
 
 _made: dict[tuple, WordTokens] = {}
