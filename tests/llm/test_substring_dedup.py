@@ -51,3 +51,18 @@ def test_removal_keeps_the_first(spark):
     assert out[1] == ("é " + passage.upper(), [])
     assert passage.split(". ")[1] not in out[2][0] and out[2][0].startswith("New.") and out[2][0].endswith(" End.")
     assert S.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_short_repeats_go_too(spark, tmp_path):
+    """A line of a few words between others that don't repeat is found wherever it comes again."""
+    from trolley.llm.queries import QUERIES
+
+    rows = [(i, f"Only document {i} says this\nall rights are reserved\nand this is said by {i} alone") for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    line = rows[0][1].split("\n")[1]
+    want = [(i, t.index(line), t.index(line) + len(line), 1, 4) for i, t in rows[1:]]
+    found = QUERIES["op1_substring_dedup"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[:5] for r in found) == want
+    left = {r.doc_id: r.text for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {i: t if i == 0 else t.replace(line, "") for i, t in rows}
+    assert {r.doc_id: r.text for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), least_words=20).collect()} == dict(rows)

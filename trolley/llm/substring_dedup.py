@@ -2,8 +2,8 @@
 
 Units are the sentences of lines (a line without sentence marks is one unit). A unit is normalised (lower case, white space
 runs as one space), its 128-bit digest is grouped globally, and the occurrence that ranks first (smallest doc_id, then
-first place) is kept. Later occurrences are removed where they form runs: neighbouring repeated units of one document with at least
-`least_words` words together, so that stock phrases stay. Offsets are code points of the original text, end exclusive.
+first place) is kept. All later occurrences are removed, as runs of neighbouring repeated units of one document. `least_words` is an
+option to leave runs of fewer words in place; it is 1, none, unless given. Offsets are code points of the original text, end exclusive.
 
 A task keeps the first of the occurrences that it has seen of a unit and sends on only that one; all others are repeats
 whatever the other tasks hold. So a unit that is everywhere costs each task one row.
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from trolley.llm.common import stored, text_or_empty
 
 UNIT = re.compile(r"[^\n.!?]+[.!?]*")
-LEAST_WORDS = 20
+LEAST_WORDS = 1
 _NULL = np.iinfo(np.int64).min
 #: An occurrence of a unit: digest, document, place among its units, offsets, words.
 ROW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("unit", "<i4"), ("start", "<i8"), ("end", "<i8"), ("words", "<i4")])
