@@ -43,3 +43,19 @@ def test_pooling_takes_no_words_of_neighbours():
     docs = [X.word_ids(t) for t in (b"one two three", b"", b"four", b"five six", b"")]
     together = model.score(docs)
     assert np.allclose(together, [model.score([d])[0] for d in docs], atol=1e-6) and together[1] == together[4]
+
+
+def test_few_labels_in_many_languages(spark, sf):
+    """No language has labels enough for a threshold of its own; toxic documents go all the same."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join([*rng.choice(words, 8), "vile" if i % 5 == 0 else "kind", *rng.choice(words, 8)]), "abcde"[i // 5 % 5], int(i % 5 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, y) for d, _, _, y in rows if d < 100], "doc_id long, toxic int")
+    assert X.train(docs, labels).thresholds == {}
+    assert {r.doc_id for r in X.drop_toxic(docs, labels).collect()} == {d for d, _, _, y in rows if not y}
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    left = {r.doc_id for r in X.drop_toxic(docs, labels).select("doc_id").collect()}
+    learnt = [(r.doc_id in left, r.toxic) for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert not any(stays for stays, y in learnt if y) and all(stays for stays, y in learnt if not y)

@@ -4,7 +4,7 @@ A word is the sum of two hashed embeddings: of itself and of its first letters.
 words, each filter's largest response over the whole text (max pooling) goes to a logistic output. Training
 uses at most `sample_rows` labelled documents of each class (those with the smallest hashes of their ids), whole texts; the model has a
 fixed size and goes to every task. Thresholds are calibrated for each language on the training sample, for a filter that should
-keep clean documents; language is never an input of a score.
+keep clean documents, and 0.5 for languages with few labels; language is never an input of a score.
 
 Null and empty texts are scored like a text without words. Null labels and labels without a document are left out of training;
 repeated labels count once. Without labels of both classes every score is 0.5 and the filter keeps everything. Rows that repeat
@@ -29,6 +29,8 @@ from trolley.llm.tokens import texts_in
 BUCKETS = 1 << 15
 DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 PREFIX = 5
+#: Training goes on for so many steps at least, however few labels there are.
+LEAST_STEPS = 72
 _STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -63,6 +65,7 @@ class Classifier:
     bias: dict[int, np.ndarray]
     output: np.ndarray
     offset: float
+    trained: bool = False  # on labels of both classes
     thresholds: dict[str | None, float] = field(default_factory=dict)
 
     def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -111,6 +114,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
     if not len(labels) or labels.min() == labels.max():
         model.output[:] = 0
         return model
+    model.trained = True
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(docs) // batch)))
     spread = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=2 * BUCKETS)
     usual = spread >= least_docs
     model.embedding[~usual] = 0
@@ -216,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, label: st
     samples = [np.frombuffer(r.ids, dtype="<i4").reshape(-1, 2) for r in rows]
     y = np.array([r.y for r in rows], dtype=np.float32)
     model = fit(samples, y)
-    if rows and y.min() != y.max():
+    if model.trained:
         model.thresholds = calibrated(model.score(samples), y, [r.lang for r in rows])
     return model
 
@@ -245,7 +250,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500) -> D
         model = shared.value
         for batch in batches:
             langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
-            limits = np.array([model.thresholds.get(x, 0.5 if model.thresholds else 1.1) for x in langs])
+            limits = np.array([model.thresholds.get(x, 0.5) if model.trained else 1.1 for x in langs])
             yield batch.filter(pa.array(scores_of(batch, model) < limits, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
