@@ -36,3 +36,14 @@ def test_different_texts_of_one_digest_part(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in D.exact_groups(docs).collect()}
     assert got == {i: (i % 50, 6, i < 50) for i, _ in rows}
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids: a copy takes no other text of its id along, and equal rows leave one."""
+    rows = [(None, "X"), (None, "Y"), (7, "Y "), (None, "Z"), (None, "Z"), (5, "P"), (5, "Q"), (4, "Q "), (6, "R"), (6, "R"), (6, " R"), (6, "S"), (8, "S"), (9, None), (9, "")]
+    want = [(None, "X"), (7, "Y "), (None, "Z"), (5, "P"), (4, "Q "), (6, " R"), (6, "S")]
+    docs = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, digest string").repartition(4)
+    kept = D.drop_copies(docs)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == len(want) + 1
+    assert sorted((str(x) for x in got if x[1]), key=str) == sorted(map(str, want)) and [d for d, t in got if not t] == [9]

@@ -6,8 +6,9 @@ hash range that keeps the best entry of every digest (level 1). Digests with mor
 are hits; their texts are compared byte by byte with the text of the row that stays.
 
 Null text counts as empty; all empty texts are one group. A null doc_id is an id like any other
-(it sorts before numbers). Rows that repeat an id with the same text are copies: they count in group_size and share
-the fate of their id. An empty table gives an empty result. Only doc_id and text are read.
+(it sorts before numbers). Rows that repeat an id with the same text are copies: they count in group_size and have the same
+`kept`; drop_copies decides by id and text and leaves one row of those. An empty table gives an empty result. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -103,6 +104,19 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text is a copy of another document's; all columns stay."""
-    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """One row of docs for each text; all columns stay.
+
+    It is the row that exact_groups keeps; of several with its id the longest, then the one with the largest hash of all columns.
+    """
+    copies = exact_groups(docs).where(F.col("group_size") > 1).groupBy(F.col("doc_id").alias("of_id"), F.unhex("text_sha256").alias("of_digest")).agg(
+        F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    copies = stored(copies.where(~F.col("stays") | (F.col("n") > 1)), "dedup-copies")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.unhex(F.sha2(squeezed(text_or_empty()).cast("binary"), 256)).alias("digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest"))
+    left = rows.join(copies, same, "left_anti").select("row.*")
+    again = copies.where("stays")
+    if again.isEmpty():
+        return left
+    order = F.struct(F.length(F.coalesce("row.text", F.lit(""))), F.xxhash64(*[F.col("row")[c] for c in docs.columns]))
+    one = rows.join(again, same, "left_semi").groupBy("doc_id", "digest").agg(F.max_by("row", order).alias("row"))
+    return left.unionByName(one.select("row.*"))
