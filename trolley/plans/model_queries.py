@@ -19,7 +19,7 @@ def _cooccur(t: Tables) -> DataFrame:
 
 
 def _similar(t: Tables) -> DataFrame:
-    return M.cosine_similarity_items(_cooccur(t), least_pairs=2)
+    return M.cosine_similarity_items(_cooccur(t))
 
 
 def _by_brand(t: Tables) -> DataFrame:
