@@ -30,3 +30,27 @@ def test_similarity_counts_every_pair(spark, sf):
                 want[a, b] = dot / norm[a] / norm[b]
     got = {(r.item_a, r.item_b): r.similarity for r in QUERIES["cosine_similarity_items"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - min(1, want[k])) < 2e-6 for k in got)
+
+
+def test_lags_reach_ten_points(spark, sf):
+    series = defaultdict(dict)
+    for r in model_queries._series(Tables(spark, sf)).collect():
+        series[r.brand, r.town][r.position] = r.price
+    want = {}
+    for brand, a in series:
+        for other, b in series:
+            x, y = series[brand, a], series[other, b]
+            if brand == other and a < b and min(len(x), len(y)) >= 10:
+                bound = min(len(x) // 2, len(y) // 2, 10)
+                want |= {(brand, a, b, lag): n for lag in range(-bound, bound + 1) if (n := sum(p + lag in y for p in x))}
+    got = {(r.brand, r.store_a, r.store_b, r.lag): r.points for r in QUERIES["lag_join"](spark, sf).collect()}
+    assert got == want and max(lag for *_, lag in got) == 10
+
+
+def test_registered_leads_are_those_of_the_operator(spark, sf):
+    found = mining.lead_lag(model_queries._series(Tables(spark, sf)), "brand", "town").cache()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(QUERIES["lead_lag"](spark, sf)) == rows(found) and any(abs(r.lag) > 4 for r in found.collect())
+    assert rows(QUERIES["price_correlations"](spark, sf)) == rows(mining.mirrored(found))
+    assert rows(QUERIES["leader_followers"](spark, sf)) == rows(mining.leader_followers(found))
+    assert rows(QUERIES["correlations_for_product"](spark, sf)) == rows(found.where("brand = 'Brand#7'"))

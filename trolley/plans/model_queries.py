@@ -80,9 +80,9 @@ QUERIES = {
     "store_pair_series": lambda t: M.series_pairs(_series(t), "brand", "town").select("brand", "store_a", "store_b", "n_a", "n_b"),
     "pearson_corr": lambda t: M.pearson_corr(_series(t), "brand", "town"),
     "pearson_corr_tail": lambda t: M.pearson_corr(_series(t), "brand", "town", align="tail"),
-    "lead_lag": lambda t: M.lead_lag(_series(t), "brand", "town", 4),
-    "price_correlations": lambda t: M.mirrored(M.lead_lag(_series(t), "brand", "town", 2)),
-    "leader_followers": lambda t: M.leader_followers(M.lead_lag(_series(t), "brand", "town", 4)),
+    "lead_lag": lambda t: M.lead_lag(_series(t), "brand", "town"),
+    "price_correlations": lambda t: M.mirrored(M.lead_lag(_series(t), "brand", "town")),
+    "leader_followers": lambda t: M.leader_followers(M.lead_lag(_series(t), "brand", "town")),
     "same_category_pairs": lambda t: G.same_category_pairs(_typed(t)),
     "substitute_pairs": lambda t: G.substitute_pairs(t.products().withColumn("category", F.concat_ws(" ", "category", "name"))),
     "size_variant_pairs": lambda t: G.size_variant_pairs(_typed(t)),

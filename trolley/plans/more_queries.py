@@ -41,7 +41,7 @@ def _known(t: Tables) -> DataFrame:
 
 
 def _found(t: Tables) -> DataFrame:
-    return M.lead_lag(MQ._series(t), "brand", "town", 4)
+    return M.lead_lag(MQ._series(t), "brand", "town")
 
 
 QUERIES = {
@@ -51,7 +51,7 @@ QUERIES = {
     "item_key": lambda t: t.prices().select("batch_id", "line_no", "product_id", "store_id", P.item_key().alias("item_key")),
     "validate_business_rules": lambda t: TQ._raw_prices(t).select("batch_id", "line_no", "product_id", F.array_join(V.business_warnings(AS_OF), ",").alias("warnings")),
     "conditional_column": lambda t: C.category_suggestions(I._catalogue(t), I._dictionary(t)).select("product_id", F.when(F.col("category_status") == "suggested", F.col("suggested_category")).otherwise(F.col("brand")).alias("sort_key")),
-    "lag_join": lambda t: M.lag_join(MQ._series(t), "brand", "town", 4).groupBy("brand", "store_a", "store_b", "lag").agg(F.count(F.lit(1)).alias("points")),
+    "lag_join": lambda t: M.lag_join(MQ._series(t), "brand", "town").groupBy("brand", "store_a", "store_b", "lag").agg(F.count(F.lit(1)).alias("points")),
     "correlations_for_product": lambda t: M.correlations_for(_found(t), "brand", "Brand#7"),
     "correlations_for_pair": lambda t: M.correlations_for(_found(t), "brand", "Brand#7", (3, 5)),
     "recommendation_details": lambda t: M.recommendation_details(M.similar_products(MQ._similar(t), 3), t.products()),
