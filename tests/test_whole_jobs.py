@@ -54,3 +54,24 @@ def test_registered_leads_are_those_of_the_operator(spark, sf):
     assert rows(QUERIES["price_correlations"](spark, sf)) == rows(mining.mirrored(found))
     assert rows(QUERIES["leader_followers"](spark, sf)) == rows(mining.leader_followers(found))
     assert rows(QUERIES["correlations_for_product"](spark, sf)) == rows(found.where("brand = 'Brand#7'"))
+
+
+def test_whole_tables(spark, sf):
+    t = Tables(spark, sf)
+    assert {r.product_id for r in QUERIES["changed_products"](spark, sf).collect()} == {r.product_id for r in t.prices().select("product_id").collect()}
+    review = QUERIES["conditional_sort"](spark, sf).collect()
+    assert {r.product_id for r in review} == {r.product_id for r in t.products().where("product_id % 3 = 0").collect()}
+    order = [(r.category_status, r.sort_key, r.name, r.product_id) for r in review]
+    assert len(order) > 50 and order == sorted(order)
+    users, want = {r.seller_id for r in t.sellers().collect()}, Counter()
+    for r in t.reviews().collect():
+        want.update([(r.reviewer_id, "buyer")] * (r.reviewer_id in users) + [(r.seller_id, "seller")] * (r.seller_id in users))
+    assert {(r.user_id, r.party): r.n for r in QUERIES["session_party_join"](spark, sf).collect()} == want
+    assert QUERIES["iforest_fit"](spark, sf).select("tree").distinct().count() == 100
+
+
+def test_pages_give_all_fields(spark, tmp_path):
+    html = '<h1>Milk</h1><b class="price">KES 90</b><s class="old-price">KES 99</s><i class="badge">Offer</i>'
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["extract_html_items"](spark, str(tmp_path)).first().asDict() == {
+        "page_id": 1, "name": "Milk", "price": "KES 90", "original_price": "KES 99", "promotion_details": "Offer"}

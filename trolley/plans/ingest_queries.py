@@ -34,7 +34,7 @@ _GENERAL = "g as (select *, case when list_extract(string_split(name, ' '), -1)
 _INTENT = "case text when 'signup' then 'create' when 'view' then 'update' when 'click' then 'update' when 'error' then 'delete' when 'purchase' then 'backfill' else 'update' end"
 
 QUERIES = {
-    "extract_html_items": lambda t: G.extract_html_items(t.raw("pages"), {"name": G.RULES["name"]}),
+    "extract_html_items": lambda t: G.extract_html_items(t.raw("pages")),
     "extract_jsonld_items": lambda t: G.extract_jsonld_items(t.raw("pages").withColumn("html", F.concat("html", F.lit('<script type="application/ld+json">{"@type":"Product","name":"P'), "page_id", F.lit(' &amp; co","offers":{"price":"'), F.col("page_id") * 10, F.lit('","priceCurrency":"KES"}}</script>')))),
     "extract_links": lambda t: G.extract_links(t.raw("pages")),
     "detect_promo": lambda t: t.prices().select("batch_id", "line_no", "product_id", "store_id", G.detect_promo(F.col("price_kes") * 0.9, F.when(F.col("is_promotional"), F.col("price_kes")), F.lit(" ")).alias("promo")),
@@ -46,7 +46,7 @@ QUERIES = {
     "category_suggestions": lambda t: C.category_suggestions(_catalogue(t), _dictionary(t)).select("product_id", "suggested_category", "category_status"),
     "category_status_counts": lambda t: C.category_suggestions(_catalogue(t), _dictionary(t)).groupBy("category_status").agg(F.count(F.lit(1)).alias("n")),
     "confirm_category": lambda t: C.confirm_category(_catalogue(t), t.products().where("product_id % 6 = 0").select("product_id", F.lit("decided").alias("decided"))).select("product_id", "category"),
-    "conditional_sort": lambda t: C.category_review(C.category_suggestions(_catalogue(t), _dictionary(t))).select("product_id", "category_status", "sort_key", "name").limit(50),
+    "conditional_sort": lambda t: C.category_review(C.category_suggestions(_catalogue(t), _dictionary(t))).select("product_id", "category_status", "sort_key", "name"),
     "category_review_filter": lambda t: C.category_review(C.category_suggestions(_catalogue(t), _dictionary(t)), "unmatched").select("product_id", "sort_key"),
     "add_to_set": lambda t: t.products().select("product_id", F.size(C.add_to_set(F.array("size"), F.array(F.lit(10), F.lit(20)))).cast("long").alias("n")),
     "alias_union": lambda t: t.products().select("product_id", F.array_join(F.array_sort(F.array_union(F.split("name", " "), F.array(F.lower("brand"), F.lit("red")))), ",").alias("aliases")),
@@ -59,7 +59,7 @@ QUERIES = {
     "unindexed_products_anti": lambda t: C.backfill(t.products(), C.change_rows(_changes(t)).withColumn("status", F.when(F.col("product_id") % 2 == 0, "processed").otherwise(F.col("status"))), EVENTS_AS_OF).select("product_id", "intent", "status"),
     "embedded_changes": lambda t: S.embedded_changes(_changes(t), t.products())[0].select("product_id", "text"),
     "removed_products": lambda t: S.embedded_changes(_changes(t), t.products())[1],
-    "changed_products": lambda t: S.changed_products(t.prices().where("batch_id % 100 = 0")),
+    "changed_products": lambda t: S.changed_products(t.prices()),
     "stream_dedup": lambda t: S.stream_dedup(t.prices().select("product_id", "store_id", F.round(F.col("price_kes") / 10000).alias("price_kes"), "source", "verified_at")).select("product_id", "store_id", "price_kes", "source"),
     "completed_sessions": lambda t: t.raw("orders").where(F.col("o_orderstatus").isin("F", "P")).select(F.col("o_orderkey").alias("session_id")),
     "available_requests": lambda t: t.traffic().where((F.col("text") == "view") & (F.col("ts") >= F.lit("2024-01-20"))).select("event_id"),

@@ -102,7 +102,7 @@ QUERIES = {
     "seller_topk": lambda t: U.seller_topk(U.credibility_score(_sellers(t), t.reviews(), AS_OF), "supplier").select("seller_id", "credibility_score", "position"),
     "review_rate_limit": lambda t: U.review_rate_limit(_submitted(t), t.reviews().where("line_no > 1")).select("session_id", "seller_id", "reviewer_id"),
     "admit_ratings": lambda t: U.admit_ratings(_submitted(t), _buyers(t), t.reviews().where("line_no > 1")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
-    "session_party_join": lambda t: U.session_party_join(t.reviews().select("session_id", "seller_id", F.col("reviewer_id").alias("buyer_id")), t.sellers().where("seller_id % 10 = 1").select(F.col("seller_id").alias("user_id"))).groupBy("user_id", "party").agg(F.count(F.lit(1)).alias("n")),
+    "session_party_join": lambda t: U.session_party_join(t.reviews().select("session_id", "seller_id", F.col("reviewer_id").alias("buyer_id")), t.sellers().select(F.col("seller_id").alias("user_id"))).groupBy("user_id", "party").agg(F.count(F.lit(1)).alias("n")),
     "reviewer_totals_join": lambda t: t.reviews().where("rating = 5").join(t.reviews().groupBy("reviewer_id").agg(F.count(F.lit(1)).alias("lifetime")), "reviewer_id").groupBy("seller_id").agg(F.sum("lifetime").alias("lifetime")),
     "knn_join": lambda t: Q.knn_join(_queries(t), t.vectors(), 20),
     "fuzzy_cross_match": lambda t: Q.fuzzy_cross_match(_asked(t), Q.product_terms(t.products())),
@@ -114,8 +114,8 @@ QUERIES = {
     "embed_text": lambda t: A.embed_text(t.products(), "name").select("product_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm")),
     "anomaly_features": lambda t: A.anomaly_features(t.prices()).select("product_id", "store_id", "batch_id", "line_no", F.round("log_price", 6).alias("log_price")),
     "flag_anomalies": lambda t: A.flag_by_median(t.prices(), "source").select("product_id", "store_id", "batch_id", "line_no", "is_anomaly"),
-    "iforest_fit": lambda t: A.iforest_fit(t.prices(), AS_OF, 400, trees=20),
-    "iforest_score": lambda t: A.iforest_score(t.prices(), A.iforest_fit(t.prices(), AS_OF, 400, trees=20)).select("product_id", "store_id", "batch_id", "line_no", "anomaly_score", "is_anomaly"),
+    "iforest_fit": lambda t: A.iforest_fit(t.prices(), AS_OF, 400),
+    "iforest_score": lambda t: A.iforest_score(t.prices(), A.iforest_fit(t.prices(), AS_OF, 400)).select("product_id", "store_id", "batch_id", "line_no", "anomaly_score", "is_anomaly"),
     "assign_rank": lambda t: t.stores().select("store_id", "county", F.row_number().over(Window.partitionBy("county").orderBy("store_id")).cast("long").alias("rank")),
     "symmetric_edges": lambda t: G.symmetric_edges(t.log_items().select(F.col("log_id").alias("src"), F.col("product_id").alias("dst"))),
     "union_keys": lambda t: t.vectors().select("product_id").union(t.products().select("product_id")).distinct(),
