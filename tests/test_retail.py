@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from trolley.functions import scores as S
 from trolley.functions import text as X
-from trolley.operators import anomaly, graph, mining, trust, validate
+from trolley.operators import anomaly, graph, mining, search, trust, validate
 from trolley.operators.trends import week_of_year
+from trolley.plans.registry import QUERIES
 from trolley.sources import pages, tables
 from trolley.streaming import streams
 
@@ -148,3 +149,74 @@ def test_embedding_stream(spark, tmp_path):
         make(rows).write.mode("append").parquet(str(tmp_path / "in"))
         streams.stream_embed_upsert(streams.stream_outbox(spark, str(tmp_path / "in")), products, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert sorted((r.product_id, r.text) for r in streams.read_vectors(spark, str(tmp_path / "out")).collect()) == [(1, "B"), (1, "Milk")]
+
+
+def _soundex(word):
+    codes = {c: d for d, cs in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in cs}
+    out, last = "", codes.get(word[0])
+    for c in word[1:]:
+        d = codes.get(c)
+        if d and d != last:
+            out += str(d)
+        if c not in "hw":
+            last = d
+    return (word[0].upper() + out + "000")[:4]
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+    return row[-1]
+
+
+def _match(a, b):
+    small, large = sorted((len(a), len(b)))
+    if a == b:
+        sim = 1.0
+    elif a in b or b in a:
+        sim = 0.7 + 0.3 * small / large
+    else:
+        sim = max(0.0, min(1.0, 1 - _distance(a, b) / large + 0.1 * (a[0] == b[0])) - 0.3 * (large - small) / large)
+    sound = float(_soundex(a) == _soundex(b)) if a.isalpha() and b.isalpha() else 0.0
+    return min(1.0, 0.7 * sim + 0.3 * sound + 0.1 * (a == b))
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6])
+def test_fuzzy_match_loses_nothing(spark, threshold):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abnrst", k=rng.choice([1, 2, 3, 5, 8])))
+    terms, asked = sorted({word() for _ in range(120)} | {"banana"}), ["an", "banan", *[word() for _ in range(25)]]
+    found = search.fuzzy_cross_match(
+        spark.createDataFrame([(i, f" {a.upper()} ") for i, a in enumerate(asked)], "query_id long, text string"),
+        spark.createDataFrame([(i, w, "name") for i, w in enumerate(terms)], "product_id long, term string, term_type string"), threshold, block_rows=9)
+    got = {(r.query_id, r.matched_term): r.score for r in found.collect()}
+    want = {(i, w): s for i, a in enumerate(asked) for w in terms if round(s := _match(a, w), 3) >= threshold}
+    near = {k for k, s in want.items() if abs(s - threshold) < 0.0006}
+    assert got.keys() - near == want.keys() - near and all(abs(got[k] - want[k]) < 0.0006 for k in got.keys() & want.keys())
+    assert threshold > 0.3 or (0, "banana") in got
+
+
+def test_nearest_vectors_with_ties(spark):
+    rng = random.Random(2)
+    vectors = [(i, [float(rng.randrange(3)) for _ in range(3)]) for i in range(80)]
+    df = spark.createDataFrame(vectors, "product_id long, embedding array<float>")
+    got = {}
+    for r in search.knn_join(df.where("product_id < 6").withColumnRenamed("product_id", "query_id"), df, 7, block_rows=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.product_id)
+    unit = lambda v: [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v]
+    for i, v in vectors[:6]:
+        order = sorted(vectors, key=lambda w: (-round(sum(a * b for a, b in zip(unit(v), unit(w[1]))), 6), w[0]))
+        assert got[i] == [j for j, _ in order[:7]]
+
+
+def test_saved_forest_scores_the_same(spark, sf):
+    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, sf).collect()), key=str)
+    assert rows("model_io") == rows("iforest_score")
+
+
+def test_maintenance(spark, sf):
+    got = {r.part: (r.status, r.n > 0) for r in QUERIES["maintenance_job"](spark, sf).collect()}
+    assert got == dict.fromkeys(("anomaly_trees", "similarities", "correlations", "credibility"), ("ok", True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trolley.operators.windows import best_per_key
@@ -67,6 +67,31 @@ def fifo_batch(outbox: DataFrame, as_of: str, n: int = 10) -> DataFrame:
     return claimable(outbox, as_of).orderBy("created_at", "product_id", "intent").limit(n)
 
 
+def product_with_change_record(incoming: DataFrame, existing: DataFrame, as_of: str, root: str, version: int) -> None:
+    """Writes products and their change records together, as one version.
+
+    incoming's products (product_id, ...) are put over existing ones of the same id; each has one record: update where the product was
+    there, else create. A version counts once its row in `complete` is written, which comes last, so readers see both tables or neither; a rerun
+    replaces its own version only.
+    """
+    once = incoming.dropDuplicates(["product_id"])
+    was = existing.select("product_id", F.lit(True).alias("_was"))
+    changes = change_rows(once.select("product_id").join(was, "product_id", "left").select(
+        "product_id", F.when(F.col("_was"), "update").otherwise("create").alias("intent"), F.lit(as_of).cast("timestamp").alias("created_at")))
+    merged = existing.join(once.select("product_id"), "product_id", "left_anti").unionByName(once)
+    merged.write.mode("overwrite").parquet(f"{root}/products/version={version}")
+    changes.write.mode("overwrite").parquet(f"{root}/changes/version={version}")
+    incoming.sparkSession.range(1).select(F.lit(version).alias("done")).write.mode("overwrite").parquet(f"{root}/complete/version={version}")
+
+
+def read_product_changes(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(products of the newest complete version, change records of all complete versions)."""
+    done = spark.read.parquet(f"{root}/complete").select("version")
+    newest = done.agg(F.max("version")).first()[0]
+    changes = spark.read.parquet(f"{root}/changes").join(F.broadcast(done), "version", "left_semi")  # a row a version
+    return spark.read.parquet(f"{root}/products/version={newest}"), changes.drop("version")
+
+
 def claim_state(outbox: DataFrame, results: DataFrame, as_of: str, backoff_seconds: int = 60) -> DataFrame:
     """outbox after a batch: results (product_id, ok, error) end records as processed or send them back with a pause."""
     now = F.lit(as_of).cast("timestamp")

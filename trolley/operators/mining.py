@@ -28,7 +28,14 @@ def cooccurrence_counts(items: DataFrame, min_item_count: int = 2) -> DataFrame:
     """Symmetric pair counts among items that occur at least min_item_count times."""
     kept = items.join(frequent_items(items, min_item_count).select("product_id"), "product_id", "left_semi")
     once = basket_pairs(kept).groupBy(F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b")).agg(F.count(F.lit(1)).alias("n"))
-    return once.unionByName(once.select(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "n"))
+    return both_ways(once)
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Each pair (item_a, item_b) and its mirror, from one pass over the pairs."""
+    rest = [c for c in pairs.columns if c not in ("item_a", "item_b")]
+    turned = F.explode(F.array(F.struct("item_a", "item_b"), F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"))))
+    return pairs.select(turned.alias("_pair"), *rest).select("_pair.item_a", "_pair.item_b", *rest)
 
 
 def cosine_similarity_items(pairs: DataFrame, least_pairs: int = 1, neighbours: int | None = None) -> DataFrame:
@@ -39,11 +46,11 @@ def cosine_similarity_items(pairs: DataFrame, least_pairs: int = 1, neighbours:
     kept = pairs.where(F.col("n") >= least_pairs)
     if neighbours is not None:
         kept = top_n_per_group(kept, ["item_a"], [F.col("n").desc(), "item_b"], neighbours, "_r").drop("_r")
-    norms = kept.groupBy("item_a").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    unit = kept.join(norms, "item_a").select(F.col("item_a").alias("item"), F.col("item_b").alias("shared"), (F.col("n") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item_a")))
+    unit = kept.select(F.col("item_a").alias("item"), F.col("item_b").alias("shared"), (F.col("n") / norm).alias("w"))
     a, b = unit.select("shared", F.col("item").alias("item_a"), F.col("w").alias("wa")), unit.select("shared", F.col("item").alias("item_b"), F.col("w").alias("wb"))
-    half = a.join(b, "shared").where(F.col("item_a") < F.col("item_b")).groupBy("item_a", "item_b").agg(F.round(F.least(F.lit(1.0), F.sum(F.col("wa") * F.col("wb"))), 6).alias("similarity"))
-    return half.unionByName(half.select(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "similarity"))
+    half = a.join(b, "shared").where(F.col("item_a") < F.col("item_b")).groupBy("item_a", "item_b").agg(F.round(F.least(F.lit(1.0), F.sum(F.col("wa") * F.col("wb")) + 1e-9), 6).alias("similarity"))
+    return both_ways(half)
 
 
 def similar_products(similarity: DataFrame, k: int = 10) -> DataFrame:
@@ -160,7 +167,10 @@ def train_guard(rows: DataFrame, least: int, part: str) -> DataFrame:
 
 def mirrored(found: DataFrame) -> DataFrame:
     """The pairs the other way round too, with the opposite lag."""
-    return found.unionByName(found.withColumns({"store_a": F.col("store_b"), "store_b": F.col("store_a"), "lag": -F.col("lag")}))
+    rest = [c for c in found.columns if c not in ("store_a", "store_b", "lag")]
+    way = lambda a, b, lag: F.struct(F.col(a).alias("store_a"), F.col(b).alias("store_b"), lag.alias("lag"))
+    turned = F.explode(F.array(way("store_a", "store_b", F.col("lag")), way("store_b", "store_a", -F.col("lag"))))
+    return found.select(turned.alias("_way"), *rest).select(*[F.col(f"_way.{c}").alias(c) if c in ("store_a", "store_b", "lag") else c for c in found.columns])
 
 
 def leader_followers(found: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def generate_prices(products: DataFrame, stores: DataFrame, factors: dict[str, f
     unit = lambda salt: F.pmod(F.xxhash64("product_id", "store_id", F.lit(seed), F.lit(salt)), F.lit(1_000_000)) / 1_000_000.0
     promo = unit("promo") < 0.12
     price = F.col("base_price") * factor * (0.95 + 0.1 * unit("noise")) * F.when(promo, 0.8 + 0.1 * unit("off")).otherwise(1.0)
-    return products.crossJoin(F.broadcast(stores)).select("product_id", "store_id", F.round(price, 2).alias("price_kes"), promo.alias("is_promotional"))
+    return products.crossJoin(stores).select("product_id", "store_id", F.round(price, 2).alias("price_kes"), promo.alias("is_promotional"))
 
 
 def resolve_or_create(rows: DataFrame, known: DataFrame, keys: list[str], id_column: str) -> tuple[DataFrame, DataFrame]:

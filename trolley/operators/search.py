@@ -32,9 +32,15 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 50, block_rows: in
             for df in batches:
                 sims = unit_rows(np.stack(df["embedding"].to_numpy()).astype(np.float64)) @ q.T
                 own = df["product_id"].to_numpy()
-                for j, query in enumerate(ids):
-                    best = np.lexsort((own, -np.round(sims[:, j], 6)))[:k]
-                    yield pd.DataFrame({"query_id": query, "product_id": own[best], "score": np.round(sims[best, j], 6)})
+                sims = np.round(sims, 6)
+                # rows that reach the k-th largest value of each query (all ties), in one selection over the block
+                floor = np.partition(sims, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(ids), -2.0)
+                row, j = np.nonzero(sims >= floor)
+                order = np.lexsort((own[row], -sims[row, j], j))
+                row, j = row[order], j[order]
+                place = np.arange(len(j)) - np.searchsorted(j, j)
+                row, j = row[place < k], j[place < k]
+                yield pd.DataFrame({"query_id": np.asarray(ids)[j], "product_id": own[row], "score": sims[row, j]})
 
         part = vectors.select("product_id", "embedding").mapInPandas(near, "query_id long, product_id long, score double")
         out = part if out is None else out.unionByName(part)
@@ -54,17 +60,25 @@ def product_terms(products: DataFrame) -> DataFrame:
         products.select("product_id", F.lower("brand").alias("term"), F.lit("brand").alias("term_type")))
 
 
-def fuzzy_cross_match(queries: DataFrame, terms: DataFrame, threshold: float = 0.6) -> DataFrame:
+def fuzzy_cross_match(queries: DataFrame, terms: DataFrame, threshold: float = 0.6, block_rows: int = 2048) -> DataFrame:
     """Best term of each product for each query (query_id, text), where the combined score reaches the threshold.
 
-    Blocked by trigrams of the padded text: a pair is compared only if it shares one, and distinct texts are compared once.
+    Exact: low thresholds leave no key that all matches share, so distinct query texts go to the distinct terms in blocks of block_rows,
+    each block one pass over the terms. Pairs whose lengths rule the threshold out aren't compared.
     """
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) + 2), lambda i: F.substring(F.concat(F.lit("  "), c, F.lit(" ")), i, F.lit(3)))
     q = queries.select(F.lower(F.trim("text")).alias("asked")).where(F.length("asked") > 0).distinct()
     t = terms.select("term").where(F.length("term") > 0).distinct()
-    pairs = q.select("asked", F.explode(F.array_distinct(grams(F.col("asked")))).alias("g")).join(t.select("term", F.explode(F.array_distinct(grams(F.col("term")))).alias("g")), "g").select("asked", "term").distinct()
-    sim, sound = S.string_similarity(F.col("asked"), F.col("term")), S.phonetic_score(F.col("asked"), F.col("term"))
-    good = pairs.withColumn("score", S.combined_match_score(sim, sound, F.col("asked") == F.col("term"), F.lit(False))).where(F.col("score") >= threshold)
+    asked, term = F.col("asked"), F.col("term")
+    shorter, longer = F.least(F.length(asked), F.length(term)), F.greatest(F.length(asked), F.length(term))
+    best = 0.7 * F.greatest(1.1 - 1.3 * (longer - shorter) / longer, 0.7 + 0.3 * shorter / longer) + 0.4  # of any pair with these lengths
+    blocks = max(1, -(-q.count() // block_rows))
+    good = None
+    for k in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == k)
+        pairs = t.join(F.broadcast(block), best >= threshold)
+        score = S.combined_match_score(S.string_similarity(asked, term), S.phonetic_score(asked, term), asked == term, F.lit(False))
+        part = pairs.withColumn("score", score).where(F.col("score") >= threshold)
+        good = part if good is None else good.unionByName(part)
     full = queries.select("query_id", F.lower(F.trim("text")).alias("asked")).join(good, "asked").join(terms, "term")
     return best_per_key(full, ["query_id", "product_id"], [F.col("score").desc(), "term", "term_type"]).select("query_id", "product_id", "score", F.col("term").alias("matched_term"), F.col("term_type").alias("match_type"))
 

@@ -77,7 +77,7 @@ ORACLES = {
     "category_suggestions": with_tables(f"with {_GENERAL} select product_id, suggested_category, category_status from r", "products"),
     "category_status_counts": with_tables(f"with {_GENERAL} select category_status, count(*) as n from r group by 1", "products"),
     "confirm_category": with_tables("select product_id, case when product_id % 6 = 0 then 'decided' when product_id % 3 = 0 then 'general' else category end as category from products", "products"),
-    "conditional_sort": with_tables(f"with {_GENERAL} select product_id, category_status, case when category_status = 'suggested' then suggested_category else brand end as sort_key, name from r order by category_status, sort_key, name, product_id limit 50", "products"),
+    "conditional_sort": with_tables(f"with {_GENERAL} select product_id, category_status, case when category_status = 'suggested' then suggested_category else brand end as sort_key, name from r", "products"),
     "category_review_filter": with_tables(f"with {_GENERAL} select product_id, brand as sort_key from r where category_status = 'unmatched'", "products"),
     "add_to_set": with_tables("select product_id, len(list_distinct([size, 10, 20])) as n from products", "products"),
     "alias_union": with_tables("select product_id, array_to_string(list_sort(list_distinct(list_concat(string_split(name, ' '), [lower(brand), 'red']))), ',') as aliases from products", "products"),
@@ -90,7 +90,7 @@ ORACLES = {
     "unindexed_products_anti": with_tables("select product_id, 'backfill' as intent, 'pending' as status from products where product_id not in (select product_id from traffic where product_id % 2 = 0)", "products", "traffic"),
     "embedded_changes": with_tables(f"with l as (select product_id, {_INTENT} as intent from traffic qualify row_number() over (partition by product_id order by ts desc, {_INTENT} desc) = 1), k as (select product_id, name, brand from l join products using (product_id) where intent <> 'delete') select product_id, name as text from k union select product_id, brand from k", "traffic", "products"),
     "removed_products": with_tables(f"with l as (select product_id, {_INTENT} as intent from traffic qualify row_number() over (partition by product_id order by ts desc, {_INTENT} desc) = 1) select product_id from l left join products using (product_id) where intent = 'delete' or name is null", "traffic", "products"),
-    "changed_products": with_tables("select distinct product_id from prices where batch_id % 100 = 0", "prices"),
+    "changed_products": with_tables("select distinct product_id from prices", "prices"),
     "stream_dedup": with_tables("select distinct product_id, store_id, round(price_kes / 10000) as price_kes, source from prices", "prices"),
     "completed_sessions": "select o_orderkey as session_id from orders where o_orderstatus in ('F', 'P')",
     "available_requests": with_tables("select event_id from traffic where text = 'view' and ts >= timestamp '2024-01-20'", "traffic"),

@@ -63,7 +63,7 @@ def _buyers(t: Tables) -> DataFrame:
 
 
 _ITEMS5 = "kept as (select * from log_items where product_id in (select product_id from log_items group by product_id having count(*) >= 5)), placed as (select *, row_number() over (partition by log_id order by line_no, product_id) as place from kept), half as (select least(a.product_id, b.product_id) as item_a, greatest(a.product_id, b.product_id) as item_b, count(*) as n from placed a join placed b on a.log_id = b.log_id and a.place < b.place and a.product_id <> b.product_id group by all), pairs as (select * from half union all select item_b, item_a, n from half)"
-_COSINE = f"{_ITEMS5}, strong as (select * from pairs where n >= 2), norms as (select item_a, sqrt(sum(n * n)) as norm from strong group by item_a), unit as (select item_a as item, item_b as shared, n / norm as w from strong join norms using (item_a)), halfsim as (select a.item as item_a, b.item as item_b, round(least(1.0, sum(a.w * b.w)), 6) as similarity from unit a join unit b on a.shared = b.shared and a.item < b.item group by all), sim as (select * from halfsim union all select item_b, item_a, similarity from halfsim)"
+_COSINE = f"{_ITEMS5}, norms as (select item_a, sqrt(sum(n * n)) as norm from pairs group by item_a), unit as (select item_a as item, item_b as shared, n / norm as w from pairs join norms using (item_a)), halfsim as (select a.item as item_a, b.item as item_b, round(least(1.0, sum(a.w * b.w) + 1e-9), 6) as similarity from unit a join unit b on a.shared = b.shared and a.item < b.item group by all), sim as (select * from halfsim union all select item_b, item_a, similarity from halfsim)"
 _SERIES = "b as (select p_brand as brand, s_nationkey as town, date_trunc('month', l_shipdate) as t, floor(sum(cast(round(l_extendedprice * 100) as bigint)) * 100 / count(*)) / 10000.0 as price from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey group by all), series as (select *, row_number() over (partition by brand, town order by t) as position from b)"
 _TYPED = "typed as (select product_id as id, name, category || ' ' || brand as key, brand, size from products)"
 _CORR = "corr_pairs as (select a.brand, a.town as store_a, b.town as store_b, count(*) as points, round(coalesce(case when isnan(corr(a.price, b.price)) then 0 else corr(a.price, b.price) end, 0), 6) as correlation from series a join series b on a.brand = b.brand and a.t = b.t and a.town < b.town group by all having count(*) >= 10)"
@@ -146,7 +146,7 @@ ORACLES = {
     "flag_sellers": with_tables(f"with l as (select reviewer_id, count(*) as lifetime from reviews group by all), b as (select seller_id from reviews join l using (reviewer_id) where created_at >= timestamp '{AS_OF}' - interval 120 day group by seller_id having count(*) > 5 and count(*) filter (lifetime = 1) > 0) select seller_id, seller_id in (select * from b) as is_flagged, case when seller_id in (select * from b) then 'review burst' end as flag_reason, case when seller_id in (select * from b) then timestamp '{AS_OF}' end as flagged_at from sellers", "reviews", "sellers"),
     "seller_topk": with_tables(f"with {_SELLERS} select seller_id, credibility_score, row_number() over (order by credibility_score desc, seller_id) as position from scored qualify position <= 10", "sellers", "reviews"),
     "review_rate_limit": with_tables("with c as (select session_id, seller_id, case when session_id % 5 = 0 then -1 else reviewer_id end as reviewer_id, created_at as at_time from reviews where line_no = 1) select session_id, seller_id, reviewer_id from c where not exists (select 1 from reviews r where r.line_no > 1 and r.seller_id = c.seller_id and r.reviewer_id = c.reviewer_id and r.created_at < at_time and r.created_at >= at_time - interval 30 day)", "reviews"),
-    "session_party_join": with_tables("with u as (select seller_id as user_id from sellers where seller_id % 10 = 1) select user_id, 'buyer' as party, count(*) as n from reviews join u on reviewer_id = user_id group by all union all select user_id, 'seller', count(*) from reviews join u on seller_id = user_id group by all", "reviews", "sellers"),
+    "session_party_join": with_tables("with u as (select seller_id as user_id from sellers) select user_id, 'buyer' as party, count(*) as n from reviews join u on reviewer_id = user_id group by all union all select user_id, 'seller', count(*) from reviews join u on seller_id = user_id group by all", "reviews", "sellers"),
     "reviewer_totals_join": with_tables("with l as (select reviewer_id, count(*) as lifetime from reviews group by all) select seller_id, cast(sum(lifetime) as bigint) as lifetime from reviews join l using (reviewer_id) where rating = 5 group by seller_id", "reviews"),
     "knn_join": with_tables("with q as (select product_id as query_id, embedding as qe from vectors where product_id % 50 = 0), s as (select query_id, product_id, round(list_cosine_similarity(cast(qe as double[]), cast(embedding as double[])), 6) as score from q, vectors) select *, row_number() over (partition by query_id order by score desc, product_id) as rank from s qualify rank <= 20", "vectors"),
     "anomaly_features": with_tables("select product_id, store_id, batch_id, line_no, round(ln(price_kes + 1e-8), 6) as log_price from prices where price_kes > 0", "prices"),
@@ -156,9 +156,9 @@ ORACLES = {
     "union_keys": with_tables("select product_id from vectors union select product_id from products", "vectors", "products"),
     "halves_full_outer": with_tables("select product_id, count(*) filter (line_no <= 3) as old, count(*) filter (line_no > 3) as new from log_items group by product_id", "log_items"),
 }
-_LAGGED = f"{_SERIES}, n as (select brand, town, count(*) as n from series group by all having count(*) >= 10), pr as (select a.brand, a.town as store_a, b.town as store_b, a.n as n_a, b.n as n_b from n a join n b on a.brand = b.brand and a.town < b.town), lg as (select pr.*, lag from pr, range(-10, 11) r(lag) where abs(lag) <= least(n_a // 2, n_b // 2, 4)), pt as (select lg.brand, store_a, store_b, lag, round(coalesce(case when isnan(corr(a.price, b.price)) then 0 else corr(a.price, b.price) end, 0), 6) as c from lg join series a on a.brand = lg.brand and a.town = store_a join series b on b.brand = lg.brand and b.town = store_b and b.position = a.position + lag group by all having count(*) >= 10), z as (select *, row_number() over (partition by brand, store_a, store_b order by abs(c) desc, abs(lag), lag desc) as k, max(case when lag = 0 then c end) over (partition by brand, store_a, store_b) as c0 from pt), best as (select brand, store_a, store_b, coalesce(c0, 0.0) as correlation, lag, c as lag_correlation from z where k = 1 and abs(c) >= 0.1)"
+_LAGGED = f"{_SERIES}, n as (select brand, town, count(*) as n from series group by all having count(*) >= 10), pr as (select a.brand, a.town as store_a, b.town as store_b, a.n as n_a, b.n as n_b from n a join n b on a.brand = b.brand and a.town < b.town), lg as (select pr.*, lag from pr, range(-10, 11) r(lag) where abs(lag) <= least(n_a // 2, n_b // 2, 10)), pt as (select lg.brand, store_a, store_b, lag, round(coalesce(case when isnan(corr(a.price, b.price)) then 0 else corr(a.price, b.price) end, 0), 6) as c from lg join series a on a.brand = lg.brand and a.town = store_a join series b on b.brand = lg.brand and b.town = store_b and b.position = a.position + lag group by all having count(*) >= 10), z as (select *, row_number() over (partition by brand, store_a, store_b order by abs(c) desc, abs(lag), lag desc) as k, max(case when lag = 0 then c end) over (partition by brand, store_a, store_b) as c0 from pt), best as (select brand, store_a, store_b, coalesce(c0, 0.0) as correlation, lag, c as lag_correlation from z where k = 1 and abs(c) >= 0.1)"
 ORACLES["lead_lag"] = f"with {_LAGGED} select * from best"
-ORACLES["price_correlations"] = f"with {_LAGGED.replace('n_b // 2, 4)', 'n_b // 2, 2)')} select * from best union all select brand, store_b, store_a, correlation, -lag, lag_correlation from best"
+ORACLES["price_correlations"] = f"with {_LAGGED} select * from best union all select brand, store_b, store_a, correlation, -lag, lag_correlation from best"
 ORACLES["leader_followers"] = f"with {_LAGGED} select brand, correlation, lag, lag_correlation, case when lag > 0 then store_a else store_b end as leader, case when lag > 0 then store_b else store_a end as follower, abs(lag_correlation) as confidence from best where abs(lag_correlation) > abs(correlation) + 0.1 and abs(lag_correlation) > 0.3 and lag <> 0"
 ORACLES["anchored_sessions"] = with_tables("""with recursive e as (select user_id, ts, product_id, row_number() over (partition by user_id order by ts, product_id) as i from traffic),
 walk as (select user_id, ts, product_id, i, ts as anchor, 0 as session from e where i = 1

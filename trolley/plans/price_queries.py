@@ -54,14 +54,14 @@ QUERIES = {
     "store_basket_totals": _totals,
     "basket_recommendation": lambda t: P.basket_recommendation(_totals(t)),
     "sort_multi": lambda t: _totals(t).select("store_id", "items_found", "total").orderBy(F.col("items_found").desc(), "total", "store_id"),
-    "avg_price_7d": lambda t: P.avg_prices(t.prices(), AS_OF, 30),
+    "avg_price_7d": lambda t: P.avg_prices(t.prices(), AS_OF),
     "priced_products_semi": lambda t: P.priced_products(t.products(), t.prices()).select("product_id", "name"),
     "fallback_product_join": lambda t: P.fallback_products(_wanted(t), t.products(), _latest(t)),
     "cheapest_match": lambda t: P.cheapest_match(_matches(t), P.cheapest_per_product(_latest(t))),
     "ordered_id_lookup": lambda t: P.ordered_id_lookup(_requests(t), t.products()),
     "double_left_lookup": lambda t: P.recent_prices(t.prices(), t.products(), t.stores(), 50),
-    "cross_join_prices": lambda t: _basket(t).crossJoin(F.broadcast(t.stores())).select("product_id", "store_id", F.round(F.col("base_price") * (1 + F.col("store_id") % 10 / 100.0), 2).alias("price")),
-    "generate_prices": lambda t: P.generate_prices(_basket(t), t.stores(), {"Supplier#000000001": 1.1}),
+    "cross_join_prices": lambda t: t.products().crossJoin(t.stores()).select("product_id", "store_id", (F.floor((F.round(F.col("base_price") * 100).cast("long") * (100 + F.col("store_id") % 10) + 50) / 100) / 100.0).alias("price")),
+    "generate_prices": lambda t: P.generate_prices(t.products(), t.stores(), {"Supplier#000000001": 1.1}),
     "resolve_or_create_store": lambda t: P.resolve_or_create(t.stores().select("chain", "town"), t.stores().where("store_id % 2 = 0"), ["chain", "town"], "store_id")[0],
     "dedup_items": lambda t: P.dedup_items(_items(t)).select("product_id", "store_id", "source", "price_kes", "item_key"),
     "sink_daily_upsert": lambda t: P.daily_upsert(t.prices().where("batch_id % 3 > 0"), t.prices().where("batch_id % 3 = 0")),
@@ -91,13 +91,13 @@ ORACLES = {
     "store_basket_totals": with_tables(f"with {_LATEST}, w as (select product_id from products where {BASKET}), f as (select store_id, product_id, price_kes from latest join w using (product_id)), t as (select store_id, cast(sum(cast(price_kes as decimal(18,2))) as double) as total, count(*) as items_found from f group by store_id), l as (select t.store_id, string_agg(w.product_id || ':' || coalesce(cast(cast(f.price_kes as decimal(18,2)) as varchar), 'N/A'), ',' order by w.product_id) as items from t cross join w left join f on f.store_id = t.store_id and f.product_id = w.product_id group by t.store_id) select store_id, total, items_found, items from t join l using (store_id)", "prices", "products"),
     "basket_recommendation": with_tables(f"with {_LATEST}, t as (select store_id, cast(sum(cast(price_kes as decimal(18,2))) as double) as total, count(*) as items_found from latest join products using (product_id) where {BASKET} group by store_id) select store_id, total, items_found, round((select max(total) from t) - total, 2) as savings from t order by items_found desc, total, store_id limit 1", "prices", "products"),
     "sort_multi": with_tables(f"with {_LATEST} select store_id, count(*) as items_found, cast(sum(cast(price_kes as decimal(18,2))) as double) as total from latest join products using (product_id) where {BASKET} group by store_id", "prices", "products"),
-    "avg_price_7d": with_tables(f"select product_id, round(avg(price_kes), 4) as avg_price, count(*) as samples from prices where verified_at >= timestamp '{AS_OF}' - interval 30 day and verified_at < timestamp '{AS_OF}' group by product_id", "prices"),
+    "avg_price_7d": with_tables(f"select product_id, round(avg(price_kes), 4) as avg_price, count(*) as samples from prices where verified_at >= timestamp '{AS_OF}' - interval 7 day and verified_at < timestamp '{AS_OF}' group by product_id", "prices"),
     "priced_products_semi": with_tables("select product_id, name from products where product_id in (select product_id from prices)", "products", "prices"),
     "fallback_product_join": with_tables(f"with {_LATEST}, w as (select product_id, lower(name) as term, store_id from products cross join stores where {BASKET}), o as (select latest.store_id, lower(name) as term, price_kes, latest.product_id from latest join products using (product_id)), b as (select store_id, term, arg_min(product_id, struct_pack(a := price_kes, b := product_id)) as other, min(price_kes) as other_price from o group by all) select w.product_id, w.store_id, coalesce(l.price_kes, other_price) as price_kes, coalesce(case when l.price_kes is not null then w.product_id end, other) as used_id from w left join latest l on l.product_id = w.product_id and l.store_id = w.store_id left join b on b.term = w.term and b.store_id = w.store_id", "prices", "products", "stores"),
     "cheapest_match": with_tables(f"with {_LATEST}, c as (select product_id, min(price_kes) as price_kes from latest group by product_id), m as (select lower(name) as term, product_id, size / 50.0 as confidence from products qualify row_number() over (partition by lower(name) order by size / 50.0 desc, product_id) <= 5) select product_id, term, cast(confidence as double) as confidence, price_kes from m left join c using (product_id) qualify row_number() over (partition by term order by price_kes nulls last, confidence desc, product_id) = 1", "prices", "products"),
     "ordered_id_lookup": with_tables("with i as (select log_id, product_id * 2 as product_id, row_number() over (partition by log_id order by line_no, product_id) - 1 as place from log_items) select log_id as request, place, product_id, name from i join products using (product_id)", "log_items", "products"),
     "double_left_lookup": with_tables("with n as (select * from prices order by verified_at desc, batch_id desc, line_no desc, product_id desc, store_id desc, price_kes desc limit 50) select product_id, name, store_id, chain, price_kes, verified_at from n left join products using (product_id) left join stores using (store_id)", "prices", "products", "stores"),
-    "cross_join_prices": with_tables(f"select product_id, store_id, round(base_price * (1 + store_id % 10 / 100.0), 2) as price from products cross join stores where {BASKET}", "products", "stores"),
+    "cross_join_prices": with_tables(f"select product_id, store_id, floor((cast(round(base_price * 100) as bigint) * (100 + store_id % 10) + 50) / 100) / 100.0 as price from products cross join stores", "products", "stores"),
     "resolve_or_create_store": with_tables("select chain, town, case when store_id % 2 = 0 then cast(store_id as varchar) else 'new-' || substr(md5(lower(chain) || chr(31) || lower(town)), 1, 16) end as store_id from stores", "stores"),
     "dedup_items": with_tables("with i as (select product_id, store_id, source, round(price_kes / 10000, 0) * 10000 as price_kes from prices) select distinct product_id, store_id, source, price_kes, md5(product_id || '|' || store_id || '|' || cast(cast(price_kes as decimal(18,2)) as varchar) || '|' || lower(source)) as item_key from i", "prices"),
     "sink_daily_upsert": with_tables("with r as (select *, case when batch_id % 3 = 0 then 1 else 0 end as fresh, cast(verified_at as date) as day from prices) select product_id, store_id, source, day, price_kes, verified_at, is_promotional, min(verified_at) over (partition by product_id, store_id, source, day) as created_at from r qualify row_number() over (partition by product_id, store_id, source, day order by fresh desc, verified_at desc, batch_id desc, line_no desc, price_kes desc, is_promotional desc) = 1", "prices"),

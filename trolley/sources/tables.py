@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,17 @@ STORES = T.StructType([T.StructField(n, t) for n, t in (
     ("gps_latitude", T.DoubleType()), ("gps_longitude", T.DoubleType()), ("address", T.StringType()), ("phone_number", T.StringType()))])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); only a local session may do without one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="trolley-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/trolley/{name}-{uuid.uuid4().hex}"
+
+
 def scan_products_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) products of a JSON array or object."""
     rows = spark.read.schema(PRODUCTS).json(path, multiLine=True)

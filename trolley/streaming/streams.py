@@ -15,7 +15,7 @@ from trolley.operators import curation, validate
 from trolley.operators.anomaly import embed_text
 
 RAW_ITEMS = "product_id long, store_id string, price_kes string, source string, verified_at string, is_promotional string, promotion_details string, batch_id long, line_no int"
-CHANGES = "product_id long, intent string, created_at timestamp"
+CHANGES = "product_id long, intent string, status string, created_at timestamp"
 
 
 def stream_ingest_prices(spark: SparkSession, source: str, out: str, checkpoint: str, as_of: str) -> StreamingQuery:
@@ -51,7 +51,8 @@ def stream_dedup(items: DataFrame, time: str = "verified_at", late: str = "1 day
 
 
 def stream_outbox(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(CHANGES).parquet(path)
+    """The pending records of a folder of change records."""
+    return spark.readStream.schema(CHANGES).parquet(path).where(F.coalesce("status", F.lit("pending")) == "pending").drop("status")
 
 
 def embedded_changes(changes: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
