@@ -12,11 +12,11 @@ def brute(rows):
     out = []
     for doc_id, text in rows:
         body = re.sub(r"[\x20\x09-\x0D]", "", text or "")
-        out.append((doc_id, keep[body], len(groups[body]), doc_id == keep[body], hashlib.sha256(body.encode()).hexdigest()))
+        out.append((doc_id, keep[body], len(groups[body]), doc_id == keep[body] and -len(text or "") == min(groups[body])[0], hashlib.sha256(body.encode()).hexdigest()))
     return sorted(out, key=str)
 
 
-ROWS = [(1, "a b"), (2, "ab"), (3, "a\tb\x0b"), (4, None), (5, ""), (6, " \n"), (7, "é x"), (8, "éx"), (None, "lone"), (9, "lone "), (10, "x" * 200_000), (11, "x" * 199_999 + " x"), (2, "ab")]
+ROWS = [(1, "a b"), (2, "ab"), (3, "a\tb\x0b"), (4, None), (5, ""), (6, " \n"), (7, "é x"), (8, "éx"), (None, "lone"), (9, "lone "), (10, "x" * 200_000), (11, "x" * 199_999 + " x")]
 
 
 def test_against_brute_force(spark):
@@ -28,6 +28,33 @@ def test_against_brute_force(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "6", "7", "8", "9", "11"])
 
 
+def test_batch_after_batch(spark, monkeypatch):
+    """An index that batches are appended to says the same as one batch, and runs whose filter rules a batch out are not read."""
+    rows = [(i, f"text {i % 70}" + " " * (i % 3)) for i in range(500)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    index = D.DigestIndex()
+    for k in range(6):
+        index = index.append(whole.where(f"doc_id % 6 = {k}"))
+    assert [r.level for r in index.runs] == [1, 0, 0]
+    seen = lambda df: {(bytes(r.digest), r.best.doc_id, r.group_size) for r in df.collect()}
+    assert seen(index.groups()) == seen(D.DigestIndex().append(whole).groups()) and index.groups().count() == 70
+    new = D.entries(spark.createDataFrame([(900, "te xt1"), (901, "never seen")], "doc_id long, text string"))
+    assert [(r.best.doc_id, r.group_size) for r in index.held(new).collect()] == [(71, 8)]
+    assert index.held(D.entries(spark.createDataFrame([(1, "unknown")], "doc_id long, text string"))) is None
+
+
+def test_hot_digests_go_apart(spark, monkeypatch):
+    monkeypatch.setattr(D, "PORTION", 7)
+    rows = [(i, "all the same") for i in range(60)] + [(100 + i, f"pair {i // 2}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted([tuple(r) for r in D.exact_groups(docs).collect()], key=str) == brute(rows)
+
+
+def test_equal_rows_leave_one(spark):
+    docs = spark.createDataFrame([(None, "ab"), (None, "ab"), (2, "c"), (2, "c")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.kept) for r in D.exact_groups(docs).collect()) == [("2", False), ("2", True), ("None", False), ("None", True)]
+
+
 def test_different_texts_of_one_digest_part(spark, monkeypatch):
     """With a digest that collides, byte verification still tells the texts apart."""
     real = D.F.sha2

@@ -76,6 +76,40 @@ def test_empty_table_and_null_ids(spark):
     assert {r.doc_id for r in N.keep_one_of_each(docs).collect()} == {None, 4}
 
 
+def test_rows_that_share_an_id(spark):
+    """A node is a text, not an id: no row is lost because another one has its id."""
+    a, b, c = "a b c d e f g h i j", "k l m n o p q r", "x " * 20_000 + "y"
+    docs = spark.createDataFrame(
+        [(3, a, 1), (5, a, 2), (5, b, 3), (None, b + " s", 4), (None, c, 5), (6, b.upper(), 6), (7, a, 7), (7, a, 7)], "doc_id long, text string, stays long")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in N.ngram_components(docs).collect())
+    assert got == sorted([("3", 6, "3"), ("5", 6, "3"), ("5", 4, "5"), ("None", 5, "5"), ("None", 2, "None"), ("6", 4, "5"), ("7", 6, "3"), ("7", 6, "3")])
+    kept = N.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.stays for r in kept.collect()) == [1, 3, 5]
+
+
+def test_many_weak_sets(spark):
+    """A long passage in sets that differ in the rest: hot segments all over, links found all the same."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"q{rng.randrange(12)}" for _ in range(rng.choice([2, 4, 8, 20]))])) for i in range(400)]
+    assert got(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("sizes", [(64, 65), (128, 140), (300, 300), (500, 520), (1000, 1030)])
+def test_parities_never_rule_out_a_link(spark, sizes):
+    rng = np.random.default_rng(sizes[0])
+    rows = []
+    for share in (0.0, 0.5, 0.8, 0.9, 1.0):
+        base = rng.integers(0, 1 << 64, sizes[1], dtype=np.uint64)
+        a = np.unique(base[: sizes[0]])
+        b = np.unique(np.concatenate([base[: int(share * sizes[1])], rng.integers(0, 1 << 64, sizes[1] - int(share * sizes[1]), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        rows.append((len(a), len(b), N.parities(a).tolist(), N.parities(b).tolist(), 100 * both >= 80 * (len(a) + len(b) - both)))
+    df = spark.createDataFrame(rows, "n long, m long, p array<long>, q array<long>, linked boolean")
+    got = df.select("linked", N.close_enough(df.n, df.m, df.p, df.q).alias("close"), N.close_enough(df.m, df.n, df.q, df.p).alias("turned")).collect()
+    assert all(r.close == r.turned and (r.close or not r.linked) for r in got) and not got[0].close and any(r.linked for r in got)
+
+
 @pytest.mark.parametrize("n", [5, 12, 33, 100, 400])
 def test_capacity_finds_close_sets(n):
     """Whatever two linked sets differ in, they share a signature."""

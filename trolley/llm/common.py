@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share. Only a local session may do without one: it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="trolley-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -39,29 +42,107 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in tables:
+        if df is not None and getattr(df, "stored_at", None):
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Most bits of a filter on keys, so that its broadcast (1/8 of that in bytes) is bounded.
+FILTER_BITS = 1 << 27
+
+
+def key_filter(keys: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """(bitmap blocks of the hashes of some columns, bits): 16 bits a row as a power of two, FILTER_BITS at most (then more rows pass)."""
+    bits, rows = 1 << 15, keys.count()
+    while bits < FILTER_BITS and bits < 16 * rows:
+        bits *= 2
+    pos = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+    return keys.select(pos.alias("pos")).groupBy(F.bitmap_bucket_number("pos").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bits")), bits
+
+
+def in_filter(df: DataFrame, keys: tuple[DataFrame, int], *columns: str) -> DataFrame:
+    """(row, may_be) for each row of df: whether its columns may be among the filter's keys."""
+    blocks, bits = keys
+    packed = df.select(F.struct(*df.columns).alias("row"), (F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1).alias("pos"))
+    at = F.bitmap_bit_position("pos")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = packed.withColumn("block", F.bitmap_bucket_number("pos")).join(F.broadcast(blocks), "block", "left")
+    return found.select("row", F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False)).alias("may_be"))
+
+
+def passing(df: DataFrame, keys: tuple[DataFrame, int], *columns: str) -> DataFrame:
+    """The rows whose columns may be in the filter; the join that follows settles it."""
+    return in_filter(df, keys, *columns).where("may_be").select("row.*")
+
+
+def thinned(docs: DataFrame, keys: dict[str, Column], odd: DataFrame) -> DataFrame:
+    """docs without the rows whose keys are in odd (the keys, stays); of those with stays=true one row is left, with the least hash
+    of all columns. Rows that a filter on odd rules out are not shuffled. All columns stay; null keys are equal.
+    """
+    blocks = key_filter(odd, *keys)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *[c.alias(k) for k, c in keys.items()])
+    marked = in_filter(rows, blocks, *keys)
+    maybe = marked.where("may_be").select("row.*")
+    of = odd.select(*[F.col(k).alias(f"of_{k}") for k in keys], "stays")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    one = maybe.join(of.where("stays"), same, "left_semi").groupBy(*keys).agg(
+        F.min_by("doc", F.xxhash64(*[F.col("doc")[c] for c in docs.columns])).alias("doc"))
+    clean = marked.where("NOT may_be").select("row.doc.*")
+    return clean.unionByName(maybe.join(of, same, "left_anti").select("doc.*")).unionByName(one.select("doc.*"))
 
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-class WordHash(dict):
-    """Word (bytes) to a 64-bit hash; forgets everything when it holds too many words."""
+class Remembered(dict):
+    """What has been worked out for words (bytes); forgets everything when it takes more than about `limit` bytes."""
 
-    limit = 400_000
+    limit = 32 << 20
+    held = 0
+
+    def value(self, word: bytes) -> int:
+        raise NotImplementedError
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        self.held += len(word) + 140
+        if self.held > self.limit:
+            self.forget()
+        found = self[word] = self.value(word)
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+
+class WordHash(Remembered):
+    """Word to a 64-bit hash."""
+
+    def value(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 _words = WordHash()
 _mix = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE_WORDS)], dtype=np.uint64)
 
 
+def task_memory_released() -> None:
+    """To be called at the end of a task: its worker may serve other operators next, and they share an executor's memory."""
+    _words.forget()
+    pa.default_memory_pool().release_unused()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 

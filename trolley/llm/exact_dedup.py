@@ -1,27 +1,34 @@
-"""Exact dedup with a log-structured index of digest runs, in DataFrame functions only.
+"""Exact dedup with a log-structured merge index of digests, in DataFrame functions only.
 
-Input partitions are the memtables. Each is flushed as a run sorted by digest with Parquet's
-Bloom filters and min/max statistics (level 0). Compaction merges the runs into one run for each
-hash range that keeps the best entry of every digest (level 1). Digests with more than one entry
-are hits; their texts are compared byte by byte with the text of the row that stays.
+Memtables are the partitions of a batch of documents. A flush sorts each by digest and writes it as a file of the batch's run (level
+0), with a filter on its digests beside it. FANOUT runs of a level are compacted into one run of the next level: of each digest the best entry
+stays (longest original text, then smallest doc_id) and the counts add up. A batch that is looked up asks each run's filter
+first, and reads only runs that may hold some of its digests. Hits, entries whose digest is held more than once, have their texts compared
+byte by byte with the text of the row that stays.
 
-Null text counts as empty; all empty texts are one group. A null doc_id is an id like any other
-(it sorts before numbers). Rows that repeat an id with the same text are copies: they count in group_size and have the same
-`kept`; drop_copies decides by id and text and leaves one row of those. An empty table gives an empty result. Only doc_id and
-text are read.
+Nothing meets in one task because it is frequent: entries of a digest are summed before any shuffle, digests with a share of over
+1 / HOT_DIGESTS of the rows (so HOT_DIGESTS of them at most) are joined by broadcast, and their texts are compared in portions of
+that share, each with the text that stays beside it.
+
+Null text counts as empty; all empty texts are one group. A null doc_id is an id like any other (it sorts before numbers). Of rows
+that repeat an id and an original text exactly one is kept, which one is left open as they are alike. A text of any length is squeezed in one
+task. An empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.common import SPACES, scratch, stored, text_or_empty
+from trolley.llm.common import SPACES, key_filter, passing, scratch, stored, text_or_empty, thinned
 
-#: Bits of the filter on ids of hits; fixed, so that its broadcast (FILTER_BITS / 8 bytes) is bounded.
-FILTER_BITS = 1 << 23
+FANOUT = 4
+HOT_DIGESTS = 10_000
+PORTION = 1000
+BEST = ("shorter", "doc_id", "text_hash", "row_no")
 
 
 def squeezed(text: Column) -> Column:
@@ -29,94 +36,144 @@ def squeezed(text: Column) -> Column:
     return reduce(lambda c, s: F.replace(c, F.lit(s), F.lit("")), SPACES, text)
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(squeezed(text).cast("binary"), 256))
+
+
 def entries(docs: DataFrame) -> DataFrame:
+    """digest, best (what it is ranked by, and whose it is), group_size: one row for each row of docs."""
     t = text_or_empty()
-    return docs.select("doc_id", F.unhex(F.sha2(squeezed(t).cast("binary"), 256)).alias("digest"), F.length(t).alias("n"))
+    best = F.struct((-F.length(t)).alias("shorter"), "doc_id", F.xxhash64(t).alias("text_hash"), F.monotonically_increasing_id().alias("row_no"))
+    return docs.select(digest_of(t).alias("digest"), best.alias("best"), F.lit(1).cast("long").alias("group_size"))
+
+
+@dataclass(frozen=True)
+class Run:
+    """A table sorted by digest in each file, and the filter on its digests."""
+
+    level: int
+    table: DataFrame
+    filter: tuple[DataFrame, int]
+
+
+@dataclass(frozen=True)
+class DigestIndex:
+    runs: tuple[Run, ...] = ()
+
+    def append(self, docs: DataFrame) -> DigestIndex:
+        """The index with a batch of documents more; row numbers go on behind those of earlier batches."""
+        return self.with_run(flushed(entries(docs), 0))
+
+    def with_run(self, run: Run) -> DigestIndex:
+        """The index with one more run; full levels are compacted."""
+        runs, level = [*self.runs, run], 0
+        while len(full := [r for r in runs if r.level == level]) >= FANOUT:
+            merged = flushed(merge([r.table for r in full]), level + 1)
+            runs = [r for r in runs if r.level != level] + [merged]
+            level += 1
+        return replace(self, runs=tuple(runs))
+
+    def groups(self) -> DataFrame | None:
+        """digest, best, group_size over all runs: the last compaction, which leaves one row for each digest."""
+        return merge([r.table for r in self.runs]) if self.runs else None
+
+    def held(self, batch: DataFrame) -> DataFrame | None:
+        """digest, best, group_size of the digests of batch (a column digest) that the index holds.
+
+        A run's filter is asked first. Where nothing passes, its table is not read.
+        """
+        found = []
+        for run in self.runs:
+            maybe = stored(passing(batch.select("digest").distinct(), run.filter, "digest"), "dedup-asked")
+            if not maybe.isEmpty():
+                found.append(run.table.join(maybe, "digest", "left_semi"))
+        return merge(found) if found else None
 
 
-def write_run(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    (df.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true")
-       .option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def flushed(df: DataFrame, level: int) -> Run:
+    """df as a run: each partition sorted by digest and written as one file, and its filter."""
+    path = scratch(df.sparkSession, f"dedup-level{level}")
+    df.sortWithinPartitions("digest").write.option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    blocks, bits = key_filter(table, "digest")
+    return Run(level, table, (stored(blocks, "dedup-filter"), bits))
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """One entry for each digest: the longest original text, then the smallest id, stays."""
-    best = F.min(F.struct((-F.col("n")).alias("shorter"), F.col("doc_id"))).alias("best")
-    return runs.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size")).select(
-        "digest", F.col("best.doc_id").alias("keep_id"), "group_size")
+def merge(tables: list[DataFrame]) -> DataFrame:
+    """One entry for each digest of some runs: the best, and how many rows it stands for."""
+    return reduce(DataFrame.unionByName, tables).groupBy("digest").agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
 
 
-def id_filter(ids: DataFrame) -> DataFrame:
-    """Bitmap blocks of the ids' hashes, at most FILTER_BITS / 8 bytes in all."""
-    pos = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
-    return ids.select(pos.alias("pos")).groupBy(F.bitmap_bucket_number("pos").alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bits"))
+def _named(best: str) -> list[Column]:
+    return [F.col(best)[c].alias(c) for c in BEST]
 
 
-def passing(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The rows whose id may be in the filter."""
-    pos = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
-    at = F.bitmap_bit_position("pos")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (docs.withColumn("pos", pos).withColumn("block", F.bitmap_bucket_number("pos"))
-            .join(F.broadcast(blocks), "block")
-            .where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1)
-            .drop("pos", "block", "bits"))
+def with_groups(rows: DataFrame, repeated: DataFrame, share: int) -> DataFrame:
+    """rows (digest, best) with keep (the best of their digest) and group_size; a digest that isn't repeated keeps its only row."""
+    hot = repeated.where(F.col("group_size") > share)  # HOT_DIGESTS rows at most
+    keep = lambda df, x: df.select(F.col("digest").alias(f"of{x}"), F.col("best").alias(f"keep{x}"), F.col("group_size").alias(f"size{x}"))
+    part = rows.select("digest", "best").join(F.broadcast(keep(hot, 1)), F.col("digest") == F.col("of1"), "left")
+    # rows of hot digests look for nothing: their key is null
+    part = part.withColumn("key", F.when(F.col("of1").isNull(), F.col("digest")))
+    rest = keep(repeated.join(F.broadcast(hot.select("digest")), "digest", "left_anti"), 2)
+    there = part.where("key is not null").join(rest, F.col("key") == F.col("of2"), "left").select(
+        "digest", "best", F.coalesce("keep2", "best").alias("keep"), F.coalesce("size2", F.lit(1)).alias("group_size"))
+    return there.unionByName(part.where("key is null").select("digest", "best", F.col("keep1").alias("keep"), F.col("size1").alias("group_size")))
 
 
-def mismatches(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Byte verification: rows (doc_id, digest, n, text) of hits whose text isn't that of the row that stays."""
+def mismatches(docs: DataFrame, hits: DataFrame, share: int) -> DataFrame:
+    """Byte verification: rows (digest, doc_id, text_hash, body) of hits (digest, best, keep, group_size) whose text isn't that of the row that stays."""
     t = text_or_empty()
-    rows = passing(docs.select("doc_id", "text"), id_filter(hits)).select(
-        "doc_id", squeezed(t).alias("body"), F.length(t).alias("n"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
-    known = hits.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), "keep_id").distinct()
-    rows = rows.join(known, (rows.digest == known.hit_digest) & rows.doc_id.eqNullSafe(known.hit_id))
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        "digest", F.col("body").alias("kept_body")).dropDuplicates(["digest"])
-    return rows.join(kept, "digest").where(F.col("body") != F.col("kept_body")).select("doc_id", "digest", "n", "body")
+    texts = docs.select("doc_id", t.alias("text"), F.xxhash64(t).alias("text_hash"))
+    blocks = key_filter(hits.select("best.doc_id", "best.text_hash"), "doc_id", "text_hash")
+    bodies = passing(texts, blocks, "doc_id", "text_hash").select("doc_id", "text_hash", squeezed(F.col("text")).alias("body"))
+    bodies = stored(bodies.withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256))), "dedup-bodies")
+    kept = hits.groupBy("digest").agg(F.first("keep").alias("keep"), F.first("group_size").alias("n"))
+    kept = stored(kept.select(F.col("digest").alias("of"), F.col("keep.doc_id").alias("of_id"), F.col("keep.text_hash").alias("of_hash"), F.floor(F.col("n") / share).alias("more")), "dedup-kept")
+    stays = bodies.join(kept, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
+    stays = stays.groupBy("of", "more").agg(F.min("body").alias("kept_body")).select(
+        "of", "kept_body", F.explode(F.sequence(F.lit(0), "more")).alias("of_portion"))
+    large = kept.where("more > 0").select(F.col("of").alias("large"), "more")  # HOT_DIGESTS rows at most
+    dealt = bodies.join(F.broadcast(large), F.col("digest") == F.col("large"), "left").withColumn(
+        "portion", F.coalesce(F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("more") + 1), F.lit(0)))
+    return dealt.join(stays, (F.col("digest") == F.col("of")) & (F.col("portion") == F.col("of_portion"))).where(
+        F.col("body") != F.col("kept_body")).select("digest", "doc_id", "text_hash", "body")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """digest, best, keep, group_size for each row of docs; kept rows are those whose best is keep."""
+    index = DigestIndex().append(docs)
+    level0 = index.runs[0].table
+    repeated = stored(index.groups().where(F.col("group_size") > 1), "dedup-level1")
+    share = max(PORTION, level0.count() // HOT_DIGESTS)
+    found = stored(with_groups(level0, repeated, share), "dedup-found")
+    odd = stored(mismatches(docs, found.where(F.col("group_size") > 1), share), "dedup-mismatch")
+    if odd.isEmpty():
+        return found
+    # different texts with one SHA-256: those are grouped by the texts themselves
+    odd = odd.select(F.col("digest").alias("odd_digest"), F.col("doc_id").alias("odd_id"), F.col("text_hash").alias("odd_hash"), "body").distinct()
+    at = (F.col("digest") == F.col("odd_digest")) & F.col("best.doc_id").eqNullSafe(F.col("odd_id")) & (F.col("best.text_hash") == F.col("odd_hash"))
+    rows = found.join(odd, at, "left").drop("odd_digest", "odd_id", "odd_hash")
+    own = rows.groupBy("digest", "body").agg(F.min("best").alias("own"), F.count(F.lit(1)).alias("own_size")).select(
+        F.col("digest").alias("of"), F.col("body").alias("of_body"), "own", "own_size")
+    return rows.join(own, (F.col("digest") == F.col("of")) & F.col("body").eqNullSafe(F.col("of_body"))).select(
+        "digest", "best", F.col("own").alias("keep"), F.col("own_size").alias("group_size"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    level0 = write_run(entries(docs), "dedup-level0")
-    level1 = write_run(compact(level0), "dedup-level1")
-    found = level0.join(level1, "digest")
-    hits = found.where(F.col("group_size") > 1).select("doc_id", "digest", "keep_id")
-    odd = stored(mismatches(docs, hits), "dedup-mismatch")
-    if not odd.isEmpty():  # different texts with one SHA-256: group those by the texts themselves
-        own = odd.groupBy("digest", "body").agg(
-            F.min(F.struct((-F.col("n")).alias("shorter"), F.col("doc_id"))).alias("best"),
-            F.count(F.lit(1)).alias("own_size"))
-        own = odd.join(own, ["digest", "body"]).select(
-            F.col("doc_id").alias("odd_id"), F.col("digest").alias("odd_digest"), F.col("best.doc_id").alias("own_keep"), "own_size", F.lit(True).alias("odd"))
-        less = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("less"))
-        found = found.join(less, "digest", "left").join(
-            own, (F.col("digest") == F.col("odd_digest")) & F.col("doc_id").eqNullSafe(F.col("odd_id")), "left")
-        is_odd = F.coalesce(F.col("odd"), F.lit(False))
-        found = found.select("doc_id", "digest", F.when(is_odd, F.col("own_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
-                             F.when(is_odd, F.col("own_size")).otherwise(F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"))
-    return found.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+    return judged(docs).select(
+        "best.doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("best.row_no") == F.col("keep.row_no")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One row of docs for each text; all columns stay.
 
-    It is the row that exact_groups keeps; of several with its id the longest, then the one with the largest hash of all columns.
+    It is the row that exact_groups keeps; of rows that share its id and original text the one with the least hash of all columns. What
+    goes is decided by id and text together, so a row never goes because another one has its id.
     """
-    copies = exact_groups(docs).where(F.col("group_size") > 1).groupBy(F.col("doc_id").alias("of_id"), F.unhex("text_sha256").alias("of_digest")).agg(
-        F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    copies = stored(copies.where(~F.col("stays") | (F.col("n") > 1)), "dedup-copies")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.unhex(F.sha2(squeezed(text_or_empty()).cast("binary"), 256)).alias("digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest"))
-    left = rows.join(copies, same, "left_anti").select("row.*")
-    again = copies.where("stays")
-    if again.isEmpty():
-        return left
-    order = F.struct(F.length(F.coalesce("row.text", F.lit(""))), F.xxhash64(*[F.col("row")[c] for c in docs.columns]))
-    one = rows.join(again, same, "left_semi").groupBy("doc_id", "digest").agg(F.max_by("row", order).alias("row"))
-    return left.unionByName(one.select("row.*"))
+    copies = judged(docs).where(F.col("group_size") > 1).groupBy(F.col("best.doc_id").alias("doc_id"), F.col("best.text_hash").alias("text_hash")).agg(
+        F.max(F.col("best.row_no") == F.col("keep.row_no")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    copies = stored(copies.where(~F.col("stays") | (F.col("n") > 1)).select("doc_id", "text_hash", "stays"), "dedup-copies")
+    return thinned(docs, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64(text_or_empty())}, copies)

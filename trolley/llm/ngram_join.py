@@ -5,16 +5,20 @@ each pair of neighbouring bands the universe of shingle hashes is cut into segme
 segments of one offer more than d units of capacity, some segment must agree: one unit where the subsets that fall into it
 are equal, two where they may differ by one shingle (found through the subset's one-deletion neighbourhood). How many
 segments there are and how many of them get deletions is allocated by cost: the fewest signatures that give the needed capacity.
-Sets are keyed by their digest, so exact copies are one member however many there are.
-
-Signatures are shuffled once. A segment value with few members gives its pairs; one with many is skipped for sets that
-have capacity to spare without it, and otherwise worked off in rounds: pivots are compared with the members of other components,
-and what has become one component needs no further comparison. Before whole sets are compared, pairs must pass a bound that is exact: each
-set carries the parities of the numbers of its shingles in 1024 ranges, and as many shingles differ at least as parities do. Sets whose capacity is too small from the start (rare) are compared
-as queries, in blocks, with all documents. All candidates are verified on whole sets.
-
-Null and empty texts have empty sets and link with nothing. Rows that repeat an id are one node; a row with a null id is in the
-component of its copies but links nothing further. Columns other than doc_id and text are ignored. Empty tables give no rows.
+Sets are keyed by 128 bits of their digest, so exact copies are one member; a task signs the copies that it meets once.
+
+Signatures are shuffled once, in groups of bounded size. A segment value with few members gives its pairs; one with many is skipped for
+sets that have capacity to spare without it, and otherwise worked off in rounds: pivots are compared
+with the members of other components, and what has become one component needs no further comparison. Before whole sets are
+compared, pairs must pass a bound that is exact: each set carries the parities of the numbers of its shingles in as many ranges as it
+has shingles, about, and as many shingles differ at least as parities do. Sets whose capacity is too small from the start (rare) are
+compared as queries, in blocks, with all documents. All candidates are verified on whole sets, that is on the sorted 64-bit hashes of
+all their shingles: two shingles with one hash would count as equal.
+
+Nodes are sets, so rows that repeat an id with different texts are separate nodes, and each row gets the smallest id that its own
+text reaches. Null and empty texts have empty sets and link with nothing (component_id is the row's own id). A row with a null id links
+like any other; it names a component only if all ids there are null. A text of any length is one set in one task. Columns other than doc_id
+and text are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,14 +34,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trolley.llm.common import lower_words, shingle_hashes, stored, text_or_empty
+from trolley.llm.common import key_filter, lower_words, passing, released, shingle_hashes, stored, task_memory_released, text_or_empty, thinned
 from trolley.llm.components import components
-from trolley.llm.exact_dedup import id_filter, passing
 from trolley.llm.tokens import texts_in
 
 #: A segment value with more members than this is a hot one.
 FEW = 8
-PARITY_LONGS = 16
+#: Longs of parities at most; a set of n shingles has n / 64 of them, as a power of two.
+PARITY_LONGS = 32
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -154,27 +158,45 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
 
 def parities(own: np.ndarray) -> np.ndarray:
     """Of each range of the hash whether it holds an odd number of the set's shingles, as 64-bit numbers."""
-    odd = np.bincount((own >> np.uint64(8) & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    longs = 1
+    while longs < PARITY_LONGS and 64 * longs < len(own):
+        longs *= 2
+    odd = np.bincount((own >> np.uint64(8) & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def close_enough(n: Column, other_n: Column, parity: Column, other_parity: Column) -> Column:
-    """False only where sizes or parities rule the similarity out."""
-    differ = F.bit_count(F.get(parity, F.lit(0)).bitwiseXOR(F.get(other_parity, F.lit(0))))
-    for i in range(1, PARITY_LONGS):
-        differ = differ + F.bit_count(F.get(parity, F.lit(i)).bitwiseXOR(F.get(other_parity, F.lit(i))))
-    return (F.least(n, other_n) * 5 >= F.greatest(n, other_n) * 4) & (differ * 9 <= n + other_n)
+    """False only where sizes or parities rule the similarity out; the longer parities are folded to the length of the others."""
+    size, other_size = F.size(parity), F.size(other_parity)
+    folded = lambda x, have, want: F.when(have <= want, x).otherwise(F.zip_with(
+        F.slice(x, 1, want), F.slice(x, want + 1, want), lambda a, b: a.bitwiseXOR(b)))
+    differ = F.aggregate(
+        F.zip_with(folded(parity, size, other_size), folded(other_parity, other_size, size), lambda a, b: F.bit_count(a.bitwiseXOR(b))),
+        F.lit(0), lambda acc, x: acc + x)
+    alike = F.least(n, other_n) * 5 >= F.greatest(n, other_n) * 4
+    far = F.greatest(size, other_size) > 2 * F.least(size, other_size)  # not with sizes alike
+    return F.when(~alike | far, False).otherwise(differ * 9 <= n + other_n)
+
+
+def _packed_sigs(sigs: np.ndarray) -> bytes:
+    """The low 48 bits of signatures; the number of their group says the rest."""
+    return sigs.astype(np.uint32).tobytes() + (sigs >> np.uint64(32)).astype(np.uint16).tobytes()
 
 
-def _listed(known: np.ndarray, numbers: np.ndarray) -> bytes:
-    """Ids as a list of those that occur, and the place of each in it."""
+def _unpacked_sigs(blob: pa.Buffer) -> np.ndarray:
+    n = blob.size // 6
+    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) | np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def _packed_ids(known: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Ids as a list of those that occur, and the place of each in it, two bytes where that is enough."""
     own, places = np.unique(numbers, return_inverse=True)
-    return np.uint64(len(own)).tobytes() + known[own].tobytes() + places.astype(np.uint32).tobytes()
+    return np.uint64(len(own)).tobytes() + known[own].tobytes() + places.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes()
 
 
-def _unlisted(blob: pa.Buffer) -> np.ndarray:
+def _unpacked_ids(blob: pa.Buffer) -> np.ndarray:
     n = int(np.frombuffer(blob, np.uint64, 1)[0])
-    return np.frombuffer(blob, np.uint64, n, 8)[np.frombuffer(blob, np.uint32, -1, 8 * (n + 1))]
+    return np.frombuffer(blob, np.uint64, n, 8)[np.frombuffer(blob, np.uint16 if n <= 1 << 16 else np.uint32, -1, 8 * (n + 1))]
 
 
 def bucket_members(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,21 +220,26 @@ def bucket_members(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
 def _index_schema(doc_id: T.StructField) -> T.StructType:
     long = T.LongType()
     return T.StructType([T.StructField("kind", T.IntegerType()), doc_id, T.StructField("n", long), T.StructField("capacity", long),
-                         T.StructField("a", long), T.StructField("b", long), T.StructField("parity", T.ArrayType(long))])
+                         T.StructField("a", long), T.StructField("b", long), T.StructField("text_hash", long), T.StructField("parity", T.ArrayType(long))])
+
 
+def index(docs: DataFrame, part_bytes: int = 16 << 20, flush: int = 1 << 20) -> DataFrame:
+    """One table of three kinds of rows, stored: 0 documents (a, b: set key), 1 pairs of sets (a, b), 2 members b of hot buckets a of n members.
 
-def index(docs: DataFrame, part_bytes: int = 24 << 20, flush: int = 1 << 20) -> DataFrame:
-    """One table of three kinds of rows, stored: 0 documents (a, b: set key), 1 pairs of sets (a, b), 2 members b of hot buckets a."""
-    texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
+    Signatures go to the groups in blobs, one for each group that a flush has any for, so there are never more of them than
+    signatures. Documents are dealt to the groups in turn: they need no company.
+    """
+    texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size * 5 // 4 // part_bytes))  # signatures take about as many bytes as the texts
     name = docs.schema["doc_id"]
     out = _index_schema(name)
-    sent = T.StructType([T.StructField("part", T.IntegerType()), name, T.StructField("n", T.LongType()), T.StructField("capacity", T.LongType()),
-                         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType())), T.StructField("sigs", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+    sent = T.StructType([T.StructField("part", T.IntegerType()), *out.fields[1:], T.StructField("sigs", T.BinaryType()), T.StructField("ids", T.BinaryType())])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: dict[tuple[int, int], int] = {}  # capacity of the sets that this task has signed lately
+        turn = 0
 
         def flushed(id_type: pa.DataType) -> pa.RecordBatch:
             sigs = np.concatenate([k[0] for k in kept])
@@ -221,55 +248,65 @@ def index(docs: DataFrame, part_bytes: int = 24 << 20, flush: int = 1 << 20) ->
             kept.clear()
             part = (sigs >> np.uint64(24)) % np.uint64(parts)
             order = np.argsort(part)
-            cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-            own = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
-            pieces = [order[cuts[k] : cuts[k + 1]] for k in own]
-            none = lambda t: pa.nulls(len(own), t)
+            own, starts = np.unique(part[order], return_index=True)
+            pieces = np.split(order, starts[1:])[: len(own)]
+            n = len(own)
+            columns = [pa.array(own.astype(np.int32)), *(pa.nulls(n, t) for t in (id_type, *[pa.int64()] * 5, pa.list_(pa.int64())))]
             return pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), none(id_type), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int64())),
-                 pa.array([sigs[i].tobytes() for i in pieces], pa.binary()), pa.array([_listed(known, ids[i]) for i in pieces], pa.binary())], names=sent.names)
+                [*columns, pa.array([_packed_sigs(sigs[i]) for i in pieces], pa.binary()), pa.array([_packed_ids(known, ids[i]) for i in pieces], pa.binary())],
+                names=sent.names)
+
+        def close(group: Signatures, members: list[tuple[int, int]]) -> None:
+            if group.sets:
+                sigs, ids, own = group.made()
+                seen.update(zip(members, own.tolist(), strict=True))
+                kept.append((sigs, ids))
 
         id_type = None
         for batch in batches:
             id_type = batch.column("doc_id").type
-            sizes, keys, capacity, parity = [], [], [], []
+            sizes, keys, parity = [], [], []
             group, held, members = Signatures(), 0, []
-
-            def close(group: Signatures, members: list[int], capacity: list[int]) -> None:
-                if group.sets:
-                    sigs, ids, own = group.made()
-                    for m, c in zip(members, own.tolist(), strict=True):
-                        capacity[m] = c
-                    kept.append((sigs, ids))
-
-            for i, text in enumerate(texts_in(batch)):
+            if len(seen) > 50_000:
+                seen.clear()
+            for text in texts_in(batch):
                 own = shingle_set(text)
                 key = set_key(own)
-                sizes.append(len(own)), keys.append(key), capacity.append(0), parity.append(parities(own))
-                if len(own):
+                sizes.append(len(own)), keys.append(key), parity.append(parities(own))
+                if len(own) and key not in seen:
+                    seen[key] = 0
                     group.add(own, key[0] & (1 << 64) - 1)
-                    members.append(i)
+                    members.append(key)
                     held += len(own)
                 if held > 200_000:
-                    close(group, members, capacity)
+                    close(group, members)
                     group, held, members = Signatures(), 0, []
                     if sum(len(k[0]) for k in kept) > flush:
                         yield flushed(id_type)
-            close(group, members, capacity)
+            close(group, members)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] // 2 % parts for k in keys], pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(capacity, pa.int64()),
-                 pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * PARITY_LONGS, pa.int32()), pa.array(np.concatenate([*parity, np.zeros(0, np.int64)]))),
+                [pa.array((np.arange(turn, turn + n) % parts).astype(np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()),
+                 pa.array([seen.get(k, 0) for k in keys], pa.int64()),
+                 pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), batch.column("text_hash"),
+                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parity)]), pa.int32()), pa.array(np.concatenate([*parity, np.zeros(0, np.int64)]))),
                  pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
                 names=sent.names)
+            turn += n
         if kept:
             yield flushed(id_type)
+        task_memory_released()
 
     def paired(group: pa.Table) -> pa.Table:
         none = np.zeros(0, np.uint64)
-        sigs = np.concatenate([none, *(np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("sigs") if x.is_valid)])
-        ids = np.concatenate([none, *(_unlisted(x.as_buffer()) for x in group.column("ids") if x.is_valid)])
+        documents = group.filter(pa.compute.is_valid(group.column("n"))).select(out.names[1:])
+        documents = documents.add_column(0, "kind", pa.array(np.zeros(documents.num_rows, np.int32)))
+        part = np.uint64(group.column("part")[0].as_py())
+        blobs = group.select(["sigs", "ids"]).filter(pa.compute.is_valid(group.column("sigs")))
+        del group
+        sigs = np.concatenate([none, *(_unpacked_sigs(x.as_buffer()) for x in blobs.column("sigs"))])
+        ids = np.concatenate([none, *(_unpacked_ids(x.as_buffer()) for x in blobs.column("ids"))])
+        del blobs
         sigs, ids, starts = bucket_members(sigs, ids)
         count = np.diff(np.append(starts, len(sigs)))
         left, right = [], []
@@ -280,25 +317,25 @@ def index(docs: DataFrame, part_bytes: int = 24 << 20, flush: int = 1 << 20) ->
                     x, y = ids[at + i], ids[at + j]
                     some = ((x | y) & np.uint64(1)) == 1  # two upper ones meet as lower ones elsewhere
                     left.append(x[some] & ~np.uint64(1)), right.append(y[some] & ~np.uint64(1))
-        pairs = np.unique(np.stack([np.concatenate([*left, np.zeros(0, np.uint64)]), np.concatenate([*right, np.zeros(0, np.uint64)])], axis=1).astype(np.uint64), axis=0)
-        hot = np.repeat(count > FEW, count)
-        documents = group.filter(pa.compute.is_valid(group.column("n"))).select(["doc_id", "n", "capacity", "a", "b", "parity"])
-        documents = documents.add_column(0, "kind", pa.array(np.zeros(documents.num_rows, np.int32)))
+        pairs = np.unique(np.stack([np.concatenate([*left, none]), np.concatenate([*right, none])], axis=1).astype(np.uint64), axis=0)
+        hot, count = np.repeat(count > FEW, count), np.repeat(count, count)
         made = []
-        for kind, a, b in ((1, pairs[:, 0], pairs[:, 1]), (2, sigs[hot], ids[hot])):
-            n = len(a)
-            made.append(pa.table([pa.array(np.full(n, kind, np.int32)), pa.nulls(n, group.schema.field("doc_id").type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                                  pa.array(a.view(np.int64) if n else np.zeros(0, np.int64)), pa.array(b.view(np.int64) if n else np.zeros(0, np.int64)), pa.nulls(n, pa.list_(pa.int64()))], names=out.names))
-        return pa.concat_tables([documents.select(out.names), *made])
+        for kind, a, b, n in ((1, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)), (2, _mixed(sigs[hot] + (part + np.uint64(1)) * _K1), ids[hot], count[hot])):
+            columns = {"kind": pa.array(np.full(len(a), kind, np.int32)), "n": pa.array(n.astype(np.int64)), "a": pa.array(a.astype(np.uint64).view(np.int64)), "b": pa.array(b.astype(np.uint64).view(np.int64))}
+            made.append(pa.table([columns.get(f.name, pa.nulls(len(a), f.type)) for f in documents.schema], schema=documents.schema))
+        result = pa.concat_tables([documents, *made])
+        task_memory_released()
+        return result
 
     return stored(texts.mapInArrow(signed, sent).groupBy("part").applyInArrow(paired, out), "ngram-index")
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id, rep, n, shingles of the classes in wanted (set_id, set_hi, rep), stored."""
-    name = docs.schema["doc_id"]
-    schema = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("rep", name.dataType),
-                           T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    """set_id, node, n, shingles of the classes in wanted (set_id, set_hi, node), stored.
+
+    A class is read from one of its rows: that with the id and text hash of its node. Rows that share both are one before any shuffle.
+    """
+    schema = T.StructType([wanted.schema["set_id"], wanted.schema["node"], T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,18 +343,20 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             keys = list(zip(batch.column("set_id").to_pylist(), batch.column("set_hi").to_pylist(), strict=True))
             own = pa.array([set_key(s) == k for s, k in zip(sets, keys, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("set_id"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("set_id"), batch.column("node"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names).filter(own)
+        task_memory_released()
 
-    texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
-    keys = wanted.select(F.col("rep").alias("doc_id"), "set_id", "set_hi")
-    texts = passing(texts, id_filter(keys)).join(keys, "doc_id").withColumn("hash", F.xxhash64("text"))
-    texts = texts.dropDuplicates(["doc_id", "set_id", "set_hi", "hash"]).drop("hash")
+    keys = wanted.select("set_id", "set_hi", "node", F.col("node.doc_id").alias("doc_id"), F.col("node.text_hash").alias("text_hash"))
+    texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    texts = passing(texts, key_filter(keys, "doc_id", "text_hash"), "doc_id", "text_hash").groupBy(
+        F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.first("text").alias("text"))
+    texts = texts.join(keys, F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_hash") == F.col("text_hash"))).select("set_id", "set_hi", "node", "text")
     return stored(texts.mapInArrow(read, schema), "ngram-sets")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b: set ids) whose sets reach the similarity, as edges (u, v) of representatives."""
+    """The pairs (a, b: set ids) whose sets reach the similarity, as edges (u, v) of nodes; only sets of pairs are shuffled."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -329,114 +368,151 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("rep").alias("u"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("rep").alias("v"), F.col("shingles").alias("y"))
-    full = pairs.join(left, "a").join(right, "b").select("u", "v", "x", "y")
-    rep = sets.schema["rep"].dataType
-    return full.mapInArrow(verify, T.StructType([T.StructField("u", rep), T.StructField("v", rep)]))
+    def side(of: str, node: str, shingles: str) -> DataFrame:
+        own = passing(sets, key_filter(pairs.select(F.col(of).alias("set_id")), "set_id"), "set_id")
+        return own.select(F.col("set_id").alias(of), F.col("node").alias(node), F.col("shingles").alias(shingles))
+
+    full = pairs.join(side("a", "u", "x"), "a").join(side("b", "v", "y"), "b").select("u", "v", "x", "y")
+    node = sets.schema["node"].dataType
+    return full.mapInArrow(verify, T.StructType([T.StructField("u", node), T.StructField("v", node)]))
 
 
 def query_blocks(docs: DataFrame, sets: DataFrame, block_bytes: int = 16 << 20) -> DataFrame | None:
-    """Edges between the sets given and all documents: each block of sets is a query that every document answers."""
+    """Links between the sets given and all documents (node, set_id, set_hi): each block of sets is a query that every document answers."""
     total = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
-    edges = None
+    found = None
     n = -(-total // block_bytes)
-    rep = sets.schema["rep"].dataType
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("of", "set_id", "set_hi")])
     for k in range(n):
-        block = [(r.rep, bytes(r.shingles)) for r in sets.where(F.pmod(F.xxhash64("set_id"), F.lit(n)) == k).collect()]
+        block = [(r.set_id, bytes(r.shingles)) for r in sets.where(F.pmod(F.xxhash64("set_id"), F.lit(n)) == k).collect()]
 
         def answer(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             queries = [(r, np.frombuffer(s, np.uint64)) for r, s in block]
             for batch in batches:
-                row, found = [], []
-                for i, text in enumerate(texts_in(batch)):
+                rows = []
+                for text in texts_in(batch):
                     own = shingle_set(text)
                     for r, s in queries:
                         if len(own) and 5 * min(len(own), len(s)) >= 4 * max(len(own), len(s)):
                             both = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
                             if 100 * both >= 80 * (len(own) + len(s) - both):
-                                row.append(i), found.append(r)
-                own = batch.column("doc_id")
-                yield pa.RecordBatch.from_arrays([own.take(pa.array(row, pa.int64())), pa.array(found, own.type)], names=["u", "v"])
+                                rows.append((r, *set_key(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in range(3)], names=schema.names)
 
-        texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().cast("binary").alias("text"))
-        own = texts.mapInArrow(answer, T.StructType([T.StructField("u", rep), T.StructField("v", rep)]))
-        edges = own if edges is None else edges.unionByName(own)
-    return edges
+        part = docs.select(text_or_empty().cast("binary").alias("text")).mapInArrow(answer, schema).distinct()
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return None
+    return found.join(sets.select(F.col("set_id").alias("of"), F.col("node").alias("u")), "of").select("u", "set_id", "set_hi")
 
 
-def _pivots(hot: DataFrame, labels: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs to compare, members left): each bucket's heaviest members against those of other components."""
-    now = hot.join(labels, "id", "left").withColumn("component", F.coalesce("component", "rep"))
-    spread = now.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("weak").alias("any_weak"))
-    now = now.join(spread.where((F.col("c0") != F.col("c1")) & F.col("any_weak")).select("bucket"), "bucket")
-    order = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "id")
-    now = stored(now.withColumn("place", F.row_number().over(order)), "ngram-hot")
-    first = now.where(F.col("place") <= pivots).select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("weak").alias("wa"), F.col("place").alias("pa"), F.col("n").alias("na"), F.col("parity").alias("qa"))
-    now = now.drop("c0", "c1", "any_weak")
-    members = now.select(F.col("bucket").alias("of"), "id", "component", "weak", "place", "n", "parity")
-    pairs = first.join(members, (F.col("bucket") == F.col("of")) & (F.col("ca") != F.col("component")) & (F.col("wa") | F.col("weak"))
-                       & (F.col("place") > F.col("pa")) & close_enough(F.col("n"), F.col("na"), F.col("parity"), F.col("qa")))
-    pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    return pairs, now.where(F.col("place") > pivots).select("bucket", "id", "weak", "rep", "weight", "n", "parity")
+def _asked(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The hot buckets that have to be worked off: bucket, id, asks, and weight, n, parity of each member.
+
+    Hot buckets are left out of a set's capacity. A set that has too little without them takes back as many as it lacks, those with
+    the fewest members; in these it asks, that is it needs all its partners.
+    """
+    lost = members.groupBy(F.col("id").alias("set_id")).agg(F.count_if("lower").alias("lost"), F.count(F.lit(1)).alias("weight"))
+    lacks = needed_column(F.col("n")) - (F.col("capacity") - F.col("lost"))
+    hot_sets = stored(classes.join(lost, "set_id").select(F.col("set_id").alias("id"), "weight", "n", "parity", lacks.alias("lacks")), "ngram-hot-sets")
+    own = members.where("lower").join(hot_sets.where("lacks > 0").select("id", "lacks"), "id")
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("size", "bucket"))).where(F.col("place") <= F.col("lacks"))
+    own = stored(own.select("bucket", F.col("id").alias("asker")), "ngram-asked")
+    near = members.select("bucket", "id").distinct().join(own.select("bucket").distinct(), "bucket", "left_semi")
+    near = near.join(own.withColumnRenamed("bucket", "of"), (F.col("bucket") == F.col("of")) & (F.col("id") == F.col("asker")), "left")
+    return near.select("bucket", "id", F.col("asker").isNotNull().alias("asks")).join(hot_sets.drop("lacks"), "id")
+
+
+def _pivots(hot: DataFrame, labels: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs to compare, members left): pivots of each bucket against its members in other components.
+
+    A bucket's members fall into slots by hash, and each slot's heaviest is a pivot: one row a slot leaves each task. Buckets of one
+    component, or in which none asks, are done.
+    """
+    now = hot.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ones = now.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("asks").alias("any_asks")).where(
+        (F.col("c0") != F.col("c1")) & F.col("any_asks")).select("bucket")
+    now = stored(now.join(open_ones, "bucket", "left_semi"), "ngram-hot")
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots))
+    first = now.groupBy("bucket", slot.alias("slot")).agg(
+        F.max_by(F.struct("id", "component", "asks", "n", "parity"), F.struct("weight", "id")).alias("p")).select("bucket", "p")
+    members = now.select(F.col("bucket").alias("of"), "id", "component", "asks", "n", "parity")
+    pairs = first.join(members, (F.col("bucket") == F.col("of")) & (F.col("p.component") != F.col("component")) & (F.col("p.asks") | F.col("asks"))
+                       & close_enough(F.col("n"), F.col("p.n"), F.col("parity"), F.col("p.parity")))
+    pairs = pairs.select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b")).distinct()
+    top = now.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("weight", "id")).alias("top")).select(F.col("bucket").alias("of"), F.col("top.id").alias("done"))
+    left = now.join(top, (F.col("bucket") == F.col("of")) & (F.col("id") == F.col("done")), "left_anti")
+    return stored(pairs, "ngram-pairs"), left.drop("component")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
+    rows, reps = _components(docs)
+    return rows.join(reps, ["set_id", "set_hi"], "left").select(
+        "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component.doc_id")).alias("component_id"))
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set key and text hash of every row; node and component of each set that isn't empty).
+
+    A node is a set: no_id, doc_id, text_hash, set key of its row with the smallest id, null ids last. They compare in that order, so the
+    least node of a component has its smallest id.
+    """
     found = index(docs)
-    rows = found.where(F.col("kind") == 0).select("doc_id", F.col("n").alias("n_shingles"), "capacity", F.col("a").alias("set_id"), F.col("b").alias("set_hi"), "parity")
+    rows = found.where(F.col("kind") == 0).select("doc_id", F.col("n").alias("n_shingles"), "capacity", F.col("a").alias("set_id"), F.col("b").alias("set_hi"), "text_hash", "parity")
+    node = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "set_id", "set_hi")
     classes = stored(rows.where(F.col("n_shingles") > 0).groupBy("set_id", "set_hi").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("capacity").alias("capacity"), F.first("parity").alias("parity")).where(F.col("rep").isNotNull()), "ngram-classes")
+        F.min(node).alias("node"), F.first("n_shingles").alias("n"), F.max("capacity").alias("capacity"), F.first("parity").alias("parity")), "ngram-classes")
     side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     met = found.where(F.col("kind") == 1).select("a", "b").distinct().join(side("a"), "a")
     right = side("b").withColumnRenamed("b", "to")
     pairs = stored(met.join(right, (F.col("b") == F.col("to")) & close_enough(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"))).select("a", "b").distinct(), "ngram-pairs")
 
     # hot buckets: skipped by the sets whose other segments suffice
-    members = found.where(F.col("kind") == 2).select(F.col("a").alias("bucket"), F.col("b").bitwiseAND(F.lit(-2)).alias("id"), (F.col("b") % 2 != 0).alias("lower"))
-    lost = members.groupBy(F.col("id").alias("set_id")).agg(F.count_if("lower").alias("lost"), F.count(F.lit(1)).alias("weight"))
-    need = needed_column(F.col("n"))
-    scarce = classes.join(lost, "set_id").select(F.col("set_id").alias("id"), "rep", "weight", "n", "parity", (F.col("capacity") - F.col("lost") < need).alias("weak"))
-    hot = members.join(scarce, "id").select("bucket", "id", (F.col("weak") & F.col("lower")).alias("weak"), "rep", "weight", "n", "parity")
-    kept = hot.groupBy("bucket").agg(F.max("weak").alias("w")).where("w").select("bucket")
-    hot = stored(hot.join(kept, "bucket"), "ngram-hot")
+    members = found.where(F.col("kind") == 2).select(
+        F.col("a").alias("bucket"), F.col("b").bitwiseAND(F.lit(-2)).alias("id"), (F.col("b") % 2 != 0).alias("lower"), F.col("n").alias("size"))
+    hot = stored(_asked(members, classes), "ngram-hot")
 
+    need = needed_column(F.col("n"))
     short = classes.where((need > 1) & (F.col("capacity") < need))
-    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).unionByName(
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(
         hot.select(F.col("id").alias("set_id"))).unionByName(short.select("set_id")).distinct()
-    sets = wanted_sets(docs, classes.join(ids, "set_id"))
-
-    first = pairs.groupBy("b").agg(F.min("a").alias("a"))  # one pair for each set, then those that still join two components
-    edges = stored(linked(first, sets), "ngram-links")
-    labels = components(edges)
-    by_id = classes.select(F.col("set_id").alias("id"), F.col("rep").alias("node")).join(labels, "node").select("id", "component")
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(by_id.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(
-        by_id.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left").where(~F.col("ca").eqNullSafe(F.col("cb")) | F.col("ca").isNull())
-    edges = stored(edges.unionByName(linked(rest.select("a", "b"), sets)), "ngram-links")
+    sets = wanted_sets(docs, classes.join(ids, "set_id", "left_semi"))
+    edges = stored(linked(pairs, sets), "ngram-links")
+    rooted = lambda labels: labels.select(F.col("node.set_id").alias("id"), F.col("component.set_id").alias("component"))
     asked = query_blocks(docs, sets.join(short.select("set_id"), "set_id", "left_semi"))
     if asked is not None:
-        nodes = rows.join(classes.select("set_id", "set_hi", "rep"), ["set_id", "set_hi"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-        edges = stored(edges.unionByName(asked).unionByName(nodes), "ngram-links")
+        edges = stored(edges.unionByName(asked.join(classes.select("set_id", "set_hi", F.col("node").alias("v")), ["set_id", "set_hi"]).select("u", "v")), "ngram-links")
     labels = components(edges)
-    pivots = 4
+    slots = 1
     while not hot.isEmpty():
-        by_id = classes.select(F.col("set_id").alias("id"), F.col("rep").alias("node")).join(labels, "node").select("id", "component")
-        more, hot = _pivots(hot, by_id, pivots)
+        more, hot = _pivots(hot, rooted(labels), slots)
+        slots *= 8
+        if more.isEmpty():
+            continue
         new = stored(linked(more, sets), "ngram-links")
         if not new.isEmpty():  # join the components that the new links touch
-            at = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-            met = new.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+            of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+            met = new.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
             merged = components(met.where(F.col("u") != F.col("v")))
             moved = labels.join(merged.withColumnRenamed("component", "now").withColumnRenamed("node", "component"), "component", "left")
             moved = moved.select("node", F.coalesce("now", "component").alias("component"))
             labels = stored(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "components")
-        pivots *= 4
-    reps = classes.join(labels, classes["rep"] == labels["node"], "left").select("set_id", "set_hi", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(reps, ["set_id", "set_hi"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out
+    reps = classes.join(labels, "node", "left").select("set_id", "set_hi", "node", F.coalesce("component", "node").alias("component"))
+    return rows.select("doc_id", "n_shingles", "set_id", "set_hi", "text_hash"), reps
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose component has a smaller id; all columns stay."""
-    gone = ngram_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of docs for each component; all columns stay.
+
+    It is the row with the component's smallest id (null ids last); where rows repeat that id and set, the one with the
+    least hash of all columns. Rows without words stay. What goes is decided by id, text hash and set, so that a row is
+    never lost because another one has its id.
+    """
+    rows, reps = _components(docs)
+    root = F.col("component") == F.col("node")
+    same_text = F.col("node.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("node.text_hash") == F.col("text_hash"))
+    judged = rows.join(reps, ["set_id", "set_hi"]).groupBy("doc_id", "text_hash").agg(
+        F.max(root & same_text).alias("stays"), F.count(F.lit(1)).alias("n"))
+    odd = stored(judged.where(~F.col("stays") | (F.col("n") > 1)).select("doc_id", "text_hash", "stays"), "ngram-copies")
+    return thinned(docs, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64(text_or_empty().cast("binary"))}, odd)
