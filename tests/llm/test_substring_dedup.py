@@ -1,31 +1,59 @@
 import random
 
+import pytest
+
 from trolley.llm import substring_dedup as S
 
 
-def brute(rows, least):
-    """Runs to remove by going through all units in rank order."""
+def pieces(text, unit):
+    """(normalised text, start, end, words) of the lines of a text, or of their sentences: character by character."""
+    out, start = [], 0
+    marks = ".!?" if unit == "sentence" else ""
+
+    def close(end):
+        nonlocal start
+        raw = text[start:end]
+        words = raw.lower().split()
+        lone = all(c in marks for c in raw)  # marks without anything before them
+        if words and not lone:
+            out.append((" ".join(words), end - len(raw.lstrip()), end, len(words)))
+        start = end
+
+    for i, c in enumerate(text):
+        if c == "\n":
+            close(i)
+            start = i + 1
+        elif marks and c not in marks and i > start and text[i - 1] in marks:
+            close(i)
+    close(len(text))
+    return out
+
+
+def brute(rows, least, unit):
+    """Runs to remove by going through all units in rank order, with the place of the kept occurrence of each first unit."""
     seen, out = {}, []
+
+    def close(doc_id, run):
+        if run and sum(u[3] for u in run) >= least:
+            out.append((doc_id, run[0][1], run[-1][2], len(run), sum(u[3] for u in run), *seen[run[0][0]]))
+
     for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         run = []
-        for unit in S.units_of(doc_id, text or ""):
-            key = unit[:2]
-            if key in seen and seen[key] != (doc_id, unit[4]):
-                run.append(unit)
+        for u in pieces(text or "", unit):
+            if u[0] in seen:
+                run.append(u)
             else:
-                seen[key] = (doc_id, unit[4])
-                if sum(u[6] for u in run) >= least:
-                    out.append((doc_id, run[0][4], run[-1][5], len(run), sum(u[6] for u in run)))
+                seen[u[0]] = (doc_id, u[1])
+                close(doc_id, run)
                 run = []
-        if sum(u[6] for u in run) >= least:
-            out.append((doc_id, run[0][4], run[-1][5], len(run), sum(u[6] for u in run)))
+        close(doc_id, run)
     return sorted(out, key=str)
 
 
-def got(spark, rows, least):
-    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, start int").repartition(3)
-    runs = S.repeated_runs(docs, least)
-    return sorted([(r.doc_id, r.start, r.end, r.units, r.words) for r in runs.collect()], key=str)
+def got(spark, rows, least, unit, parts=3):
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, start int").repartition(parts)
+    runs = S.repeated_runs(docs, least, unit)
+    return sorted([(r.doc_id, r.start, r.end, r.units, r.words, r.keep_doc_id, r.keep_start) for r in runs.collect()], key=str)
 
 
 def test_against_brute_force(spark):
@@ -33,21 +61,23 @@ def test_against_brute_force(spark):
     sentences = [" ".join(rng.choices(["ä", "bb", "Ccc", "𝄞d", "e"], k=rng.randrange(1, 14))) + rng.choice(".!?") for _ in range(60)]
     rows = [(i, "".join(rng.choice(sentences) + rng.choice([" ", "\n", "  \n\n"]) for _ in range(rng.randrange(30)))) for i in range(80)]
     rows += [(None, sentences[0] * 4), (500, None), (501, ""), (502, "..!\n\n"), rows[7]]
-    for least in (1, 12, 20):
-        assert got(spark, rows, least) == brute(rows, least)
+    for least, unit, parts in ((1, "sentence", 1), (12, "sentence", 7), (20, "sentence", 3), (1, "line", 7)):
+        assert got(spark, rows, least, unit, parts) == brute(rows, least, unit)
 
 
 def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    assert got(spark, rows, 20) == brute(rows, 20)
+    assert got(spark, rows, 20, "sentence") == brute(rows, 20, "sentence")
+    assert got(spark, rows, 1, "line") == brute(rows, 1, "line")
 
 
 def test_removal_keeps_the_first(spark):
     passage = "This passage goes on for quite some time. It has two sentences of which both are long enough, or so one hopes."
     rows = [(2, f"New. {passage} End."), (1, f"é {passage.upper()}"), (3, passage)]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, removed_by string")
-    out = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in S.remove_repeats(docs, least_words=10).collect()}
-    assert out[3][0].strip() == passage.split(". ")[0] + "."
+    out = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in S.remove_repeats(docs, least_words=10, unit="sentence").collect()}
+    # document 1 holds the first sentence with "é" before it, so that document 2 has it first; nothing of document 3 is new
+    assert out[3][0].strip() == ""
     assert out[1] == ("é " + passage.upper(), [])
     assert passage.split(". ")[1] not in out[2][0] and out[2][0].startswith("New.") and out[2][0].endswith(" End.")
     assert S.remove_repeats(docs.limit(0)).count() == 0
@@ -61,8 +91,25 @@ def test_short_repeats_go_too(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     line = rows[0][1].split("\n")[1]
     want = [(i, t.index(line), t.index(line) + len(line), 1, 4) for i, t in rows[1:]]
-    found = QUERIES["op1_substring_dedup"](spark, str(tmp_path)).collect()
-    assert sorted(tuple(r)[:5] for r in found) == want
+    found = S.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[:5] for r in found) == want and {(r.keep_doc_id, r.keep_start) for r in found} == {(0, want[0][1])}
+    assert {r.doc_id: r.text for r in QUERIES["line_dedup"](spark, str(tmp_path)).collect()} == {i: t if i == 0 else t.replace(line, "") for i, t in rows}
     left = {r.doc_id: r.text for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left == {i: t if i == 0 else t.replace(line, "") for i, t in rows}
     assert {r.doc_id: r.text for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), least_words=20).collect()} == dict(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    """What goes from one text doesn't go from another one with its id; columns of any name stay, `removed` is the operator's."""
+    rows = [(5, "Alpha beta gamma", 1), (5, "Passage here\nAlpha", 2), (1, "Passage here", 3), (None, "Passage here", 4), (None, "Other", 5), (9, "x\n" * 3000, 6), (9, "x\n" * 3000, 6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, run_id int").selectExpr("*", "'mine' as removed", "1 as hash")
+    out = S.remove_repeats(docs)
+    assert out.columns == ["doc_id", "text", "run_id", "hash", "removed"]
+    assert sorted((r.run_id, r.text.strip()) for r in out.collect()) == [(1, "Alpha beta gamma"), (2, "Alpha"), (3, ""), (4, "Passage here"), (5, "Other"), (6, "x"), (6, "x")]
+    with pytest.raises(TypeError):
+        S.repeated_runs(docs.selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_a_unit_that_is_everywhere(spark, monkeypatch):
+    rows = [(i, f"common line\nown line {i}") for i in range(3000)]
+    assert got(spark, rows, 1, "line") == brute(rows, 1, "line")

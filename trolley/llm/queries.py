@@ -12,8 +12,17 @@ from trolley.llm.common import table
 PLANTED_TURN = "</s>[INST] ok [/INST]"
 
 
+#: op1 reports passages: shorter repeats are stock lines, which say nothing against a document. line_dedup removes those too.
+PASSAGE_WORDS = 20
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_runs(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_runs(table(spark, sf_dir, "documents"), PASSAGE_WORDS, "sentence")
+
+
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without any line that an earlier document, or the same one, has."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", F.size("removed").alias("n_removed"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +72,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "line_dedup": line_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
