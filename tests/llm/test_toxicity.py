@@ -8,7 +8,7 @@ from trolley.llm import toxicity as X
 def test_held_out_accuracy(spark, sf):
     big = sf.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
-    model = X.train(docs, labels, 1200)
+    model = X.train(docs, labels)
     scored = {r.doc_id: r.score for r in X.score(docs, model).collect()}
     truth = [(r.doc_id, r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     good = np.mean([(scored[d] >= 0.5) == bool(y) for d, y in truth])
@@ -59,3 +59,17 @@ def test_few_labels_in_many_languages(spark, sf):
     left = {r.doc_id for r in X.drop_toxic(docs, labels).select("doc_id").collect()}
     learnt = [(r.doc_id in left, r.toxic) for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
     assert not any(stays for stays, y in learnt if y) and all(stays for stays, y in learnt if not y)
+
+
+def test_thresholds_come_from_labels_that_the_model_has_not_seen(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(12)], 6)) + (" vile" if i % 2 and rng.random() < 0.6 else ""), i % 2) for i in range(900)]
+    docs = spark.createDataFrame([(d, t, "en") for d, t, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    fitted, real = [], X.fit
+    monkeypatch.setattr(X, "fit", lambda docs, y, **k: fitted.append(len(y)) or real(docs, y, **k))
+    folds = [zlib.crc32(str(d).encode()) % 5 for d, _, _ in rows]
+    model = X.train(docs, labels, calibrate=True)
+    assert fitted == [sum(f > 0 for f in folds), sum(f > 1 for f in folds)] and model.thresholds.keys() == {"en"} and 0.5 <= model.thresholds["en"] <= 0.95
+    scores = {r.doc_id: r.score for r in X.score(docs, model).collect()}
+    assert {r.doc_id for r in X.drop_toxic(docs, labels).collect()} == {d for d, s in scores.items() if s < model.thresholds["en"]}

@@ -2,9 +2,10 @@
 
 A word is the sum of two hashed embeddings: of itself and of its first letters. Filters of several widths slide over the
 words, each filter's largest response over the whole text (max pooling) goes to a logistic output. Training
-uses at most `sample_rows` labelled documents of each class (those with the smallest hashes of their ids), whole texts; the model has a
-fixed size and goes to every task. Thresholds are calibrated for each language on the training sample, for a filter that should
-keep clean documents, and 0.5 for languages with few labels; language is never an input of a score.
+uses at most `sample_rows` labelled documents of each class (those with the smallest hashes of their ids), whole texts, and of these none
+of over `sample_bytes`, so what is collected has a bound; all documents are scored, of any length. The model has a
+fixed size and goes to every task. For the filter, thresholds are calibrated for each language on labels of one fold, by a second model that
+was fitted without that fold; it is 0.5 for languages with few labels there. Language is never an input of a score.
 
 Null and empty texts are scored like a text without words. Null labels and labels without a document are left out of training;
 repeated labels count once. Without labels of both classes every score is 0.5 and the filter keeps everything. Rows that repeat
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trolley.llm.common import text_or_empty
+from trolley.llm.common import Remembered, task_memory_released, text_or_empty
 from trolley.llm.tokens import texts_in
 
 BUCKETS = 1 << 15
@@ -31,21 +32,17 @@ DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 PREFIX = 5
 #: Training goes on for so many steps at least, however few labels there are.
 LEAST_STEPS = 72
+CALIBRATION_FOLD = 1
 _STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
-class WordIds(dict):
+class WordIds(Remembered):
     """Word to its two hash buckets, packed into one number."""
 
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
+    def value(self, word: bytes) -> int:
         whole = xxhash.xxh3_64_intdigest(word) % BUCKETS
         start = xxhash.xxh3_64_intdigest(word.decode("utf-8", "ignore")[:PREFIX].encode(), seed=1) % BUCKETS + BUCKETS
-        value = self[word] = whole << 32 | start
-        return value
+        return whole << 32 | start
 
 
 _ids = WordIds()
@@ -198,8 +195,11 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, label: str = "toxic") -> Classifier:
-    """Fits on at most sample_rows labelled documents of each class outside fold 0."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, label: str = "toxic", calibrate: bool = False, sample_bytes: int = 1 << 20) -> Classifier:
+    """Fits on at most sample_rows labelled documents of each class outside fold 0, none of over sample_bytes.
+
+    With calibrate, thresholds come from CALIBRATION_FOLD, scored by a model that hasn't seen it.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(
         F.max(label).cast("int").alias("y"))
     chosen = None
@@ -208,21 +208,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, label: st
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = F.broadcast(chosen)  # at most 2 * sample_rows ids
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text"), lang.alias("lang")).join(chosen, "doc_id")
+    texts = docs.select("doc_id", fold(F.col("doc_id")).cast("int").alias("fold"), text_or_empty().cast("binary").alias("text"), lang.alias("lang")).where(F.octet_length("text") <= sample_bytes).join(chosen, "doc_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [word_ids(t).astype("<i4").tobytes() for t in texts_in(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), batch.column("lang"), batch.column("y")],
-                                             names=["doc_id", "ids", "lang", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), batch.column("lang"), batch.column("y"), batch.column("fold")],
+                                             names=["doc_id", "ids", "lang", "y", "fold"])
+        _ids.forget()
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("lang", T.StringType()), T.StructField("y", T.IntegerType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("lang", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("fold", T.IntegerType())])
     rows = sorted(texts.mapInArrow(read, schema).collect(), key=lambda r: (r.doc_id, bytes(r.ids)))
     samples = [np.frombuffer(r.ids, dtype="<i4").reshape(-1, 2) for r in rows]
     y = np.array([r.y for r in rows], dtype=np.float32)
     model = fit(samples, y)
-    if model.trained:
-        model.thresholds = calibrated(model.score(samples), y, [r.lang for r in rows])
+    if calibrate and model.trained:
+        apart = np.array([r.fold == CALIBRATION_FOLD for r in rows])
+        langs = [r.lang for r in rows if r.fold == CALIBRATION_FOLD]
+        if calibrated(y[apart], y[apart], langs):  # some language has labels enough
+            other = fit([s for s, a in zip(samples, apart, strict=True) if not a], y[~apart])
+            model.thresholds = calibrated(other.score(s for s, a in zip(samples, apart, strict=True) if a), y[apart], langs)
     return model
 
 
@@ -230,6 +235,11 @@ def scores_of(batch: pa.RecordBatch, model: Classifier) -> np.ndarray:
     return model.score(map(word_ids, texts_in(batch)))
 
 
+def _done() -> None:
+    _ids.forget()
+    task_memory_released()
+
+
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, score for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
@@ -238,13 +248,14 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores_of(batch, shared.value))], names=["doc_id", "score"])
+        _done()
 
     return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500) -> DataFrame:
     """docs without those whose score reaches their language's threshold; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows, calibrate=True))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -252,5 +263,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500) -> D
             langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
             limits = np.array([model.thresholds.get(x, 0.5) if model.trained else 1.1 for x in langs])
             yield batch.filter(pa.array(scores_of(batch, model) < limits, pa.bool_()))
+        _done()
 
     return docs.mapInArrow(keep, docs.schema)
