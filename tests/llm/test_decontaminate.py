@@ -48,3 +48,37 @@ def test_documents(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert got(spark, docs, items)[0] == brute(docs, items)
+
+
+def test_short_items_are_never_missed(spark):
+    """Items of five to eight words, verbatim anywhere in a document, at its start and its end."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    items = [(k, " ".join(word() for _ in range(5 + k % 4))) for k in range(120)]
+    docs = []
+    for k, text in items:
+        before, after = rng.choice([(0, 200), (200, 0), (150, 150)])
+        docs.append((k, " ".join([*(word() for _ in range(before)), text, *(word() for _ in range(after))])))
+    assert got(spark, docs, items)[0] == brute(docs, items) >= {(k, k) for k, _ in items}
+
+
+def test_recall_just_at_the_threshold(spark):
+    """Items of which 0.8 of the shingles are left, in pieces far apart: at least 0.9 of them are found, and nothing wrong."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    items = [(k, " ".join(word() for _ in range(rng.choice([20, 40, 80, 200, 500])))) for k in range(150)]
+    docs = []
+    for k, text in items:
+        own = text.split()
+        n = len(own) - 4
+        cut = n // 5  # the shingles that go
+        docs.append((k, " ".join([*(word() for _ in range(100)), *own[: len(own) - cut], *(word() for _ in range(300))])))
+    found, want = got(spark, docs, items)[0], brute(docs, items)
+    assert len(want) == 150 and found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_ids_of_other_types_and_a_very_long_text(spark):
+    item = "seven words that are in one document only once"
+    d = spark.createDataFrame([(1, "w " * 300_000 + item), (2, "nothing")], "doc_id short, text string")
+    i = spark.createDataFrame([(b"k", item)], "item_id binary, text string")
+    assert [(r.doc_id, bytes(r.item_id)) for r in D.find_leaks(d, i).collect()] == [(1, b"k")]

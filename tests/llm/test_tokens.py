@@ -109,3 +109,27 @@ def test_scan_of_bare_blocks(spark):
     got = token_counts.count_tokens(stream, end_id=9).collect()
     assert sorted((r.stream, r.ordinal, r.start, r.n_tokens, r.complete) for r in got) == [
         (0, 0, 0, 5, True), (0, 1, 6, 0, True), (0, 2, 7, 1, True), (0, 3, 9, 1, False), (1, 0, 0, 0, True)]
+
+
+def test_the_fullest_combination_is_found():
+    """Against all combinations of up to nine pieces."""
+    from itertools import combinations
+    from random import Random
+
+    from trolley.llm.packing import fullest
+
+    rng = Random(2)
+    for _ in range(200):
+        have = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 10))]
+        room = rng.randrange(0, 60)
+        counts = {n: have.count(n) for n in have}
+        used = fullest(sorted(counts, reverse=True), counts, room)
+        best = max(sum(c) for k in range(len(have) + 1) for c in combinations(have, k) if sum(c) <= room)
+        assert sum(n * k for n, k in used.items()) == best and all(k <= counts[n] for n, k in used.items())
+
+
+def test_token_counts_of_odd_tables(spark):
+    from trolley.llm import token_counts as C
+
+    count = lambda rows, kind: sorted((r.doc_id, r.n_tokens) for s in [C.write_stream(spark.createDataFrame(rows, f"doc_id {kind}, text string"))] for r in C.name_documents(s, C.count_tokens(s)).collect())
+    assert count([], "long") == [] and count([(3, None), (3, "a")], "short") == [(3, 0), (3, 1)]

@@ -6,15 +6,19 @@ compared with sets of its own size wherever it lies in a long document. An item
 window shares one of its `permutations` MinHash values. Candidates are verified on whole texts: the share of the item's distinct
 shingles that occur in the document must reach the threshold.
 
+Items of so few shingles that all of them must occur (four, at 0.8) are found by one of these, looked up exactly; windows might miss them.
+
 Words are lower-cased (A-Z) and lose ASCII punctuation; shingles are runs of five words. An item of one to four words is one
 shingle, looked for as a run of words. A null or empty text contains nothing, an empty item is in nothing. Null ids stay null;
 rows that repeat give rows that repeat. Empty tables give no rows. The other columns of either table are ignored.
 
-Items go to the tasks in blocks of at most `block_bytes` of text (a single longer item is a block), each block one pass over the documents.
+Items go to the tasks in blocks of at most `block_bytes` of text (a single longer item is a block), each block one pass over the documents;
+a worker builds a block's index once. Ids are of any type. A text of any length is searched in one task.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from trolley.llm.common import SHINGLE_WORDS, shingle_hashes, text_or_empty
+from trolley.llm.common import SHINGLE_WORDS, shingle_hashes, task_memory_released, text_or_empty
 from trolley.llm.tokens import texts_in
 
 THRESHOLD = 0.8
@@ -54,9 +59,11 @@ class ItemIndex:
 
     table_bits = 20
 
-    def __init__(self, items: list[tuple[object, bytes]], permutations: int):
+    def __init__(self, items: list[tuple[object, bytes]], permutations: int, threshold: float):
         self.mult = _permutations(permutations)
+        self.threshold = threshold
         self.ids, self.sets, self.classes, self.short = [], [], {}, {}
+        whole: dict[int, list[int]] = {}  # by one shingle: items that need all of theirs
         for item_id, text in items:
             words = plain_words(text)
             if not words:
@@ -66,9 +73,14 @@ class ItemIndex:
             self.sets.append(np.unique(shingle_hashes(words)))
             if len(words) < SHINGLE_WORDS:
                 self.short.setdefault(len(words), []).append(i)
+            elif threshold * len(self.sets[i]) > len(self.sets[i]) - 1 + 1e-9:
+                whole.setdefault(int(self.sets[i][0]), []).append(i)
             else:
                 self.classes.setdefault(window_blocks(len(self.sets[i])), []).append(i)
         shift = np.uint64(64 - self.table_bits)
+        bits = np.zeros(1 << self.table_bits, dtype=bool)
+        bits[(np.array(list(whole), dtype=np.uint64) >> shift)] = True
+        self.whole = bits, whole, shift
         for blocks, members in self.classes.items():
             values = np.array([[(self.sets[i] * m).min() for m in self.mult] for i in members], dtype=np.uint64)
             bits = np.zeros(1 << self.table_bits, dtype=bool)
@@ -85,7 +97,8 @@ class ItemIndex:
         minima = np.empty((len(self.mult), len(starts)), dtype=np.uint64)
         for k, m in enumerate(self.mult):
             minima[k] = np.minimum.reduceat(shingles * m, starts)
-        found: set[int] = set()
+        bits, whole, shift = self.whole
+        found = {i for v in np.unique(shingles[bits[shingles >> shift]]).tolist() for i in whole.get(v, ())} if whole else set()
         for blocks, (bits, owners, shift) in self.classes.items():
             low, reach = minima, 1  # the minimum over `blocks` neighbours, by doubling
             while reach < blocks and low.shape[1] > 1:
@@ -97,11 +110,12 @@ class ItemIndex:
                 found.update(owners.get(v, ()))
         return found
 
-    def contained(self, text: bytes, threshold: float) -> list[tuple[int, int]]:
+    def contained(self, text: bytes) -> list[tuple[int, int]]:
         """(item, shingles found) of the items that the text contains to the threshold."""
+        threshold = self.threshold
         words = plain_words(text)
         out = []
-        if len(words) >= SHINGLE_WORDS and self.classes:
+        if len(words) >= SHINGLE_WORDS and len(self.ids) > sum(map(len, self.short.values())):
             shingles = shingle_hashes(words)
             found = self.candidates(shingles)
             if found:
@@ -120,6 +134,17 @@ class ItemIndex:
         return out
 
 
+_built: dict[str, ItemIndex] = {}
+
+
+def built(name: str, items: list[tuple[object, bytes]], permutations: int, threshold: float) -> ItemIndex:
+    """The index of a block, made once for each worker, which keeps the last one only."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = ItemIndex(items, permutations, threshold)
+    return _built[name]
+
+
 def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, bytes]]]:
     """The items in blocks of bounded size; one block is in the driver at a time."""
     t = text_or_empty()
@@ -139,22 +164,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     spark = docs.sparkSession
 
     def search(block: list[tuple[object, bytes]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, permutations)
+            index = built(name, shared.value, permutations, threshold)
             for batch in batches:
                 row, ids, sizes, found = [], [], [], []
                 for i, text in enumerate(texts_in(batch)):
-                    for item, both in index.contained(text, threshold):
+                    for item, both in index.contained(text):
                         row.append(i), ids.append(index.ids[item]), sizes.append(len(index.sets[item])), found.append(both)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(ids, arrow_type), pa.array(sizes, pa.int64()), pa.array(found, pa.int64())],
                     names=["doc_id", "item_id", "item_shingles", "found_shingles"])
+            task_memory_released()
 
         return texts.mapInArrow(scan, schema)
 
-    arrow_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[items.schema["item_id"].dataType.simpleString()]
+    arrow_type = to_arrow_type(items.schema["item_id"].dataType)
     passes = [search(block) for block in item_blocks(items, block_bytes)]
     found = reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], schema)
     return found.withColumn("containment", F.col("found_shingles") / F.col("item_shingles"))
@@ -163,12 +189,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, permutations: int = 32, block_bytes: int = 16 << 20) -> DataFrame:
     """docs without those that contain a benchmark item; all columns stay."""
     def kept(docs: DataFrame, block: list[tuple[object, bytes]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, permutations)
+            index = built(name, shared.value, permutations, threshold)
             for batch in batches:
-                yield batch.filter(pa.array([not index.contained(t, threshold) for t in texts_in(batch)], pa.bool_()))
+                yield batch.filter(pa.array([not index.contained(t) for t in texts_in(batch)], pa.bool_()))
+            task_memory_released()
 
         return docs.mapInArrow(scan, docs.schema)
 

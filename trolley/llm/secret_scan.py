@@ -5,7 +5,8 @@ Strong parts are found by their own form: `assign` (a key word, = or :, a value
 `bare` (an unmarked word of exactly 40 base64 characters that holds a digit and both cases) and `endpoint`
 (the host part of a URL or an IPv4 address). Scopes are windows of `reach` code points: an interval join links
 a weak candidate to the parts near it, and it is reported only where complementary parts co-occur: a bare
-secret with an access identifier or an endpoint, an endpoint with an access identifier, an assigned secret or a hex key.
+secret with an access identifier or an endpoint, an endpoint with an access identifier, an assigned, bare or hex secret. The relation
+holds both ways, so what one weak candidate is reported for is reported too.
 
 Spans are start (inclusive) and end (exclusive) in code points of the whole text. A null text counts as empty. Every
 row of the input gives one row, rows that repeat included; null ids stay null. An empty table gives no rows.
@@ -29,7 +30,7 @@ ENDPOINT = r"(?:https?://[A-Za-z0-9.-]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3})"
 KINDS = ("assign", "access", "hex", "bare", "endpoint")
 PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, BARE, ENDPOINT), strict=True))
 #: What must be near a weak candidate, by kind.
-PARTNERS = {"bare": ("access", "endpoint"), "endpoint": ("access", "assign", "hex")}
+PARTNERS = {"bare": ("access", "endpoint"), "endpoint": ("access", "assign", "hex", "bare")}
 REACH = 400
 
 

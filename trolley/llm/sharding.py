@@ -15,7 +15,6 @@ An empty table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,19 +83,15 @@ def assign_shards(docs: DataFrame, shards: int = 40, virtual_nodes: int = 64) ->
 
     ranks = ranked(keys, "arc", ["h", "doc_id", "size", "text_crc32"], largest)
 
-    by_arc: dict[int, list] = {}
-    for arc, first, shard, slot in plan:
-        by_arc.setdefault(arc, []).append((first, shard, slot))
+    arc, first, shard, slot = (np.array(c, dtype=np.int64) for c in zip(*sorted(plan), strict=True)) if plan else [np.zeros(1, dtype=np.int64)] * 4
+    stretch = (arc << 48) + first  # as arcs and ranks are far below 2 ** 15 and 2 ** 48, these sort like pairs
 
     @F.pandas_udf("shard int, slot long")
     def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        starts = {arc: [x[0] for x in xs] for arc, xs in by_arc.items()}
         for arcs, ranks in batches:
-            out = []
-            for arc, rank in zip(arcs, ranks, strict=True):
-                first, shard, slot = by_arc[arc][bisect.bisect_right(starts[arc], rank) - 1]
-                out.append((shard, slot + rank - first))
-            yield pd.DataFrame(out, columns=["shard", "slot"])
+            rank = ranks.to_numpy()
+            i = np.searchsorted(stretch, (arcs.to_numpy().astype(np.int64) << 48) + rank, side="right") - 1
+            yield pd.DataFrame({"shard": shard[i].astype(np.int32), "slot": slot[i] + rank - first[i]})
 
     placed = ranks.withColumn("at", place("arc", "rank"))
     return placed.select("doc_id", "size", "text_crc32", F.col("at.shard").alias("shard"), F.col("at.slot").alias("slot"))

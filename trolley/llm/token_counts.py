@@ -4,7 +4,8 @@ A token stream is cut into blocks of a fixed number of ids wherever that falls;
 begins. Each block is searched for the end-of-document id at once (numpy), and a prefix scan over the blocks'
 summaries (ids before, separators before, last separator before) stitches the documents that cross blocks.
 
-write_stream turns documents into such streams, one for each partition, with the names of the documents beside them.
+write_stream turns documents into such streams, one for each partition, with the names of the documents beside them. A block is a row of a
+Parquet table: what a flat file holds at one place, in a form that tasks can share out.
 Null text: no tokens, one separator. Ids after the last separator of a stream are a document too, with
 complete=false. Null and repeated ids are documents of their own. Empty tables give no rows.
 """
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trolley.llm.common import stored, text_or_empty
 from trolley.llm.tokens import texts_in, tokenizer_path, word_tokens
@@ -32,7 +34,7 @@ def write_stream(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     """stream, block, payload (unsigned 16-bit ids), names (ids of the documents that end here), in the shared folder."""
     path = path or tokenizer_path()
     name = docs.schema["doc_id"]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name.dataType.simpleString()]
+    arrow = to_arrow_type(name.dataType)
     schema = T.StructType([T.StructField("stream", T.IntegerType()), T.StructField("block", T.LongType()),
                            T.StructField("payload", T.BinaryType()), T.StructField("names", T.ArrayType(name.dataType))])
 

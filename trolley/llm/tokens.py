@@ -1,7 +1,7 @@
 """Token ids of whole texts, word by word.
 
 In the vocabularies used here no token crosses white space, so the ids of a text are those of its words in
-turn. Each worker remembers the ids of words it has seen (a bounded number of them).
+turn. Each worker remembers the ids of words it has seen, up to a number of bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordTokens:
     """Encodes texts (bytes); ids come as little-endian unsigned integers of the given width, joined."""
 
-    limit = 1_000_000
+    limit = 128 << 20
+    entry = 190  # bytes that an entry takes besides its word and ids
     chunk_bytes = 2 << 20
     #: ASCII marks between an ASCII letter or digit and white space are cut off either way; apart, the word is more often a known one.
     mark = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
@@ -40,18 +41,20 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype(dtype)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def learn(self, words: set[bytes]) -> None:
         new = list(words - self.known.keys())
-        if len(self.known) + len(new) > self.limit:
+        if self.held > self.limit:
             self.known.clear()
-            new = list(words)
+            self.held, new = 0, list(words)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             ids = [e.ids for e in found]
             joined = np.fromiter(chain.from_iterable(ids), dtype=self.dtype).tobytes()
             ends = (np.cumsum([0, *map(len, ids)]) * self.dtype.itemsize).tolist()
+            self.held += len(part) * self.entry + sum(map(len, part)) + len(joined)
             self.known.update((w, joined[a:b]) for w, a, b in zip(part, ends, ends[1:], strict=False))
 
     def words(self, text: bytes) -> list[bytes]:
