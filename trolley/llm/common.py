@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these six characters; bytes.split() cuts at the same ones.
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 SHINGLE_WORDS = 5
+TEXTS = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,6 +146,16 @@ def task_memory_released() -> None:
     """To be called at the end of a task: its worker may serve other operators next, and they share an executor's memory."""
     _words.forget()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can give back what is free
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow for whole texts: in batches of TEXTS rows, unless the session says how many; the default of 10,000 rows is for short ones."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_ROWS) == "10000":
+        conf.set(_BATCH_ROWS, str(TEXTS))
+    return df.mapInArrow(task, schema)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trolley.llm.common import SHINGLE_WORDS, shingle_hashes, task_memory_released, text_or_empty
+from trolley.llm.common import SHINGLE_WORDS, mapped, shingle_hashes, task_memory_released, text_or_empty
 from trolley.llm.tokens import texts_in
 
 THRESHOLD = 0.8
@@ -178,7 +178,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                     names=["doc_id", "item_id", "item_shingles", "found_shingles"])
             task_memory_released()
 
-        return texts.mapInArrow(scan, schema)
+        return mapped(texts, scan, schema)
 
     arrow_type = to_arrow_type(items.schema["item_id"].dataType)
     passes = [search(block) for block in item_blocks(items, block_bytes)]
@@ -197,6 +197,6 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                 yield batch.filter(pa.array([not index.contained(t) for t in texts_in(batch)], pa.bool_()))
             task_memory_released()
 
-        return docs.mapInArrow(scan, docs.schema)
+        return mapped(docs, scan, docs.schema)
 
     return reduce(kept, item_blocks(items, block_bytes), docs)

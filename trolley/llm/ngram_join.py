@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trolley.llm.common import key_filter, lower_words, passing, released, shingle_hashes, stored, task_memory_released, text_or_empty, thinned
+from trolley.llm.common import key_filter, lower_words, mapped, passing, released, shingle_hashes, stored, task_memory_released, text_or_empty, thinned
 from trolley.llm.components import components
 from trolley.llm.tokens import texts_in
 
@@ -301,7 +301,7 @@ def index(docs: DataFrame, part_bytes: int = 16 << 20, flush: int = 1 << 20) ->
         none = np.zeros(0, np.uint64)
         documents = group.filter(pa.compute.is_valid(group.column("n"))).select(out.names[1:])
         documents = documents.add_column(0, "kind", pa.array(np.zeros(documents.num_rows, np.int32)))
-        part = np.uint64(group.column("part")[0].as_py())
+        place = np.uint64((group.column("part")[0].as_py() + 1) * int(_K1) & (1 << 64) - 1)
         blobs = group.select(["sigs", "ids"]).filter(pa.compute.is_valid(group.column("sigs")))
         del group
         sigs = np.concatenate([none, *(_unpacked_sigs(x.as_buffer()) for x in blobs.column("sigs"))])
@@ -320,14 +320,14 @@ def index(docs: DataFrame, part_bytes: int = 16 << 20, flush: int = 1 << 20) ->
         pairs = np.unique(np.stack([np.concatenate([*left, none]), np.concatenate([*right, none])], axis=1).astype(np.uint64), axis=0)
         hot, count = np.repeat(count > FEW, count), np.repeat(count, count)
         made = []
-        for kind, a, b, n in ((1, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)), (2, _mixed(sigs[hot] + (part + np.uint64(1)) * _K1), ids[hot], count[hot])):
+        for kind, a, b, n in ((1, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)), (2, _mixed(sigs[hot] + place), ids[hot], count[hot])):
             columns = {"kind": pa.array(np.full(len(a), kind, np.int32)), "n": pa.array(n.astype(np.int64)), "a": pa.array(a.astype(np.uint64).view(np.int64)), "b": pa.array(b.astype(np.uint64).view(np.int64))}
             made.append(pa.table([columns.get(f.name, pa.nulls(len(a), f.type)) for f in documents.schema], schema=documents.schema))
         result = pa.concat_tables([documents, *made])
         task_memory_released()
         return result
 
-    return stored(texts.mapInArrow(signed, sent).groupBy("part").applyInArrow(paired, out), "ngram-index")
+    return stored(mapped(texts, signed, sent).groupBy("part").applyInArrow(paired, out), "ngram-index")
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = passing(texts, key_filter(keys, "doc_id", "text_hash"), "doc_id", "text_hash").groupBy(
         F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.first("text").alias("text"))
     texts = texts.join(keys, F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_hash") == F.col("text_hash"))).select("set_id", "set_hi", "node", "text")
-    return stored(texts.mapInArrow(read, schema), "ngram-sets")
+    return stored(mapped(texts, read, schema), "ngram-sets")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     full = pairs.join(side("a", "u", "x"), "a").join(side("b", "v", "y"), "b").select("u", "v", "x", "y")
     node = sets.schema["node"].dataType
-    return full.mapInArrow(verify, T.StructType([T.StructField("u", node), T.StructField("v", node)]))
+    return mapped(full, verify, T.StructType([T.StructField("u", node), T.StructField("v", node)]))
 
 
 def query_blocks(docs: DataFrame, sets: DataFrame, block_bytes: int = 16 << 20) -> DataFrame | None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trolley.llm.common import ranked, stored, text_or_empty
+from trolley.llm.common import mapped, ranked, stored, task_memory_released, text_or_empty
 from trolley.llm.tokens import texts_in, tokenizer_path, word_tokens
 
 END_ID = 1
@@ -47,8 +47,9 @@ def cut_pieces(docs: DataFrame, limit: int = 4096, path: str | None = None) -> D
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        task_memory_released()
 
-    return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(cut, schema)
+    return mapped(docs.select("doc_id", text_or_empty().cast("binary").alias("text")), cut, schema)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:

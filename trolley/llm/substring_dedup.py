@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trolley.llm.common import stored, text_or_empty
+from trolley.llm.common import mapped, stored, text_or_empty
 
 UNITS = {"line": re.compile(r"[^\n]+"), "sentence": re.compile(r"[^\n.!?]+[.!?]*")}
 LEAST_WORDS = 1
@@ -113,7 +113,7 @@ def repeated_units(docs: DataFrame, unit: str = "line", part_bytes: int = 24 <<
         firsts, repeats = split_firsts(blobs("firsts"))
         return pa.concat_tables([found_table(0, repeats), found_table(0, blobs("repeats")), found_table(1, firsts[firsts["count"] > 1])])
 
-    return stored(texts.mapInArrow(hashed, sent).groupBy("part").applyInArrow(grouped, FOUND), "repeated-units")
+    return stored(mapped(texts, hashed, sent).groupBy("part").applyInArrow(grouped, FOUND), "repeated-units")
 
 
 def _runs(docs: DataFrame, least_words: int, unit: str) -> DataFrame:

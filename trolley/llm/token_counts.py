@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trolley.llm.common import stored, text_or_empty
+from trolley.llm.common import mapped, stored, text_or_empty
 from trolley.llm.tokens import texts_in, tokenizer_path, word_tokens
 
 #: The separator in word_bpe_49k.json (its end-of-text token); texts that spell it out are encoded as ordinary text.
@@ -61,7 +61,7 @@ def write_stream(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
         if kept:
             yield row(bytes(kept), names)
 
-    return stored(docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(write, schema), "token-stream")
+    return stored(mapped(docs.select("doc_id", text_or_empty().cast("binary").alias("text")), write, schema), "token-stream")
 
 
 def scan_blocks(stream: DataFrame, end_id: int = END_ID) -> DataFrame:

@@ -26,7 +26,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordTokens:
     """Encodes texts (bytes); ids come as little-endian unsigned integers of the given width, joined."""
 
-    limit = 128 << 20
+    limit = 80 << 20
     entry = 190  # bytes that an entry takes besides its word and ids
     chunk_bytes = 2 << 20
     #: ASCII marks between an ASCII letter or digit and white space are cut off either way; apart, the word is more often a known one.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trolley.llm.common import Remembered, task_memory_released, text_or_empty
+from trolley.llm.common import Remembered, mapped, task_memory_released, text_or_empty
 from trolley.llm.tokens import texts_in
 
 BUCKETS = 1 << 15
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, label: st
         _ids.forget()
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("lang", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("fold", T.IntegerType())])
-    rows = sorted(texts.mapInArrow(read, schema).collect(), key=lambda r: (r.doc_id, bytes(r.ids)))
+    rows = sorted(mapped(texts, read, schema).collect(), key=lambda r: (r.doc_id, bytes(r.ids)))
     samples = [np.frombuffer(r.ids, dtype="<i4").reshape(-1, 2) for r in rows]
     y = np.array([r.y for r in rows], dtype=np.float32)
     model = fit(samples, y)
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores_of(batch, shared.value))], names=["doc_id", "score"])
         _done()
 
-    return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", text_or_empty().cast("binary").alias("text")), run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500) -> DataFrame:
@@ -265,4 +265,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500) -> D
             yield batch.filter(pa.array(scores_of(batch, model) < limits, pa.bool_()))
         _done()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return mapped(docs, keep, docs.schema)
