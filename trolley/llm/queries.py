@@ -12,12 +12,8 @@ from trolley.llm.common import table
 PLANTED_TURN = "</s>[INST] ok [/INST]"
 
 
-#: op1 reports passages: shorter repeats are stock lines, which say nothing against a document. line_dedup removes those too.
-PASSAGE_WORDS = 20
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_runs(table(spark, sf_dir, "documents"), PASSAGE_WORDS, "sentence")
+    return substring_dedup.repeated_runs(table(spark, sf_dir, "documents"), unit="sentence")
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
