@@ -57,6 +57,27 @@ def test_shopping_list(spark):
     assert column(spark, ["buy milk, bread and sugar", "milk", "find sellers fruit", ""], X.message_intent) == ["shopping_list", "single_product", "seller_search", "empty"]
 
 
+def test_shopping_list_items(spark):
+    texts = ["Can you show me prices for Fresh Milk, 2 kg and sandwich bread + salt!", "buy the the the", "12, 500", ""]
+    assert column(spark, texts, X.list_items) == [[["fresh", "milk"], ["2", "kg"], ["sandwich", "bread"], ["salt"]], [["the", "the", "the"]], [["12"], ["500"]], []]
+    assert column(spark, texts, X.shopping_list_terms) == [["fresh milk", "2 kg", "sandwich bread", "salt", "milk", "sandwich", "bread"], ["the the the"], [], []]
+    assert column(spark, texts, X.meaningful_terms)[0] == ["fresh milk", "sandwich bread", "salt", "milk", "sandwich", "bread"]
+
+
+def test_search_uses_every_part_of_a_query(spark):
+    shelf = spark.createDataFrame(
+        [(1, "Fresh Milk", "Daima", "milk", 500, "ml", ["maziwa"]), (2, "Fresh Milk", "Daima", "milk", 1000, "ml", ["maziwa"]), (3, "Fresh Milk", "Jogoo", "milk", 500, "ml", ["maziwa"]),
+         (4, "White Sugar", "Mumias", "sugar", 1, "kg", ["sukari"]), (5, "Soap", None, None, None, None, None)],
+        "product_id long, name string, brand string, category string, size int, unit string, aliases array<string>")
+    queries = spark.createDataFrame([(1, "Daima fresh milk 1l"), (2, "daima fresh mlk 500ml"), (3, "sukari 1000 g"), (4, ""), (5, None)], "query_id long, text string")
+    found = {}
+    for r in search.search_products(queries, shelf, X.Vocabulary()).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.product_id, r.final_score))
+    assert found[1][0][0] == 2 and found[2][0][0] == 1
+    assert found[1][0][1] > found[1][1][1]
+    assert 4 not in found and 5 not in found
+
+
 def test_jsonld(spark):
     script = lambda body: f'<html><script type="application/ld+json">{body}</script></html>'
     rows = [(1, script('{"@type":"Product","name":"A &amp; B","offers":{"price":"10","priceCurrency":"KES"}}')), (2, script('[{"@type":"Thing"},{"@type":"Product","name":"C","offers":[{"price":5}]}]')),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.functions import scores as S
+from trolley.functions import text as X
+from trolley.operators.anomaly import embed_text
 from trolley.operators.windows import best_per_key, top_n_per_group
 
 
@@ -103,13 +105,30 @@ def keep_best_score(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id", "product_id").agg(F.max("score").alias("score"))
 
 
-def search_products(queries: DataFrame, products: DataFrame, vectors: DataFrame, candidates: int = 50, limit: int = 20) -> DataFrame:
-    """Queries (query_id, text, embedding, brand, category) to ranked products: vector and fuzzy candidates, scored on all parts."""
-    near = knn_join(queries, vectors, candidates, threshold=0.1).select("query_id", "product_id", F.col("score").alias("vector"))
-    fuzzy = fuzzy_cross_match(queries, product_terms(products)).select("query_id", "product_id", F.col("score").alias("fuzzy"), "match_type")
-    both = near.join(fuzzy, ["query_id", "product_id"], "full_outer").join(products.select("product_id", "name", F.col("brand").alias("has_brand"), F.col("category").alias("has_category")), "product_id")
-    both = both.join(queries.select("query_id", F.col("brand").alias("asked_brand"), F.col("category").alias("asked_category")), "query_id")
-    parts = {"vector": F.col("vector"), "fuzzy": F.col("fuzzy"), "brand": S.containment_score(F.col("asked_brand"), F.col("has_brand")), "category": S.containment_score(F.col("asked_category"), F.col("has_category"))}
+def search_products(
+    queries: DataFrame, products: DataFrame, words: X.Vocabulary, encode: Callable[[DataFrame, str], DataFrame] = embed_text,
+    candidates: int = 50, limit: int = 20,
+) -> DataFrame:
+    """Texts of queries (query_id, text) to ranked products (product_id, name, brand, category, size, unit, aliases).
+
+    A query is parsed into brand, category, quantity and keywords, and encoded as the products' texts are. Candidates are the nearest
+    vectors and the fuzzy matches of names and brands; each is scored on vector, name, brand, category, quantity and aliases.
+    """
+    parsed = X.parse_query(queries.select("query_id", "text"), "text", words).withColumn("plain", X.normalize_text_search(F.col("text")))
+    asked = encode(parsed, "plain").select("query_id", "embedding")
+    shown = X.normalize_text_search(F.concat_ws(" ", "name", "brand", "category"))
+    near = knn_join(asked, encode(products.select("product_id", shown.alias("shown")), "shown"), candidates, threshold=0.1)
+    near = near.select("query_id", "product_id", F.col("score").alias("vector"))
+    named = F.concat_ws(" ", F.array_join("keywords", " "), F.col("query_category"))
+    fuzzy = fuzzy_cross_match(parsed.select("query_id", named.alias("text")), product_terms(products)).select("query_id", "product_id", F.col("score").alias("fuzzy"), "match_type")
+    both = near.join(fuzzy, ["query_id", "product_id"], "full_outer")
+    both = both.join(products.select("product_id", "name", X.normalize_text_search(F.col("brand")).alias("has_brand"), F.col("category").alias("has_category"), "size", "unit", "aliases"), "product_id")
+    both = both.join(parsed.select("query_id", "keywords", "query_brand", "query_category", "query_size", "query_unit"), "query_id")
+    parts = {
+        "vector": F.col("vector"), "fuzzy": F.col("fuzzy"),
+        "brand": S.containment_score(F.col("query_brand"), F.col("has_brand")), "category": S.containment_score(F.col("query_category"), F.col("has_category")),
+        "quantity": S.quantity_score(F.col("query_size"), F.col("query_unit"), F.col("size").cast("double"), F.col("unit")),
+        "alias": S.alias_score(F.col("keywords"), F.col("aliases"))}
     scored = both.withColumn("final_score", F.round(S.final_score(parts), 6)).withColumn("match_type", F.coalesce("match_type", F.lit("vector")))
     return top_n_per_group(scored, ["query_id"], [F.col("final_score").desc(), "product_id"], limit).select("query_id", "rank", "product_id", "name", "final_score", "match_type")
 

@@ -12,6 +12,7 @@ from trolley.operators import search as Q
 from trolley.operators import trust as U
 from trolley.plans.bindings import AS_OF, EVENTS_AS_OF, Tables, with_tables
 from trolley.plans.price_queries import _LATEST
+from trolley.plans.text_queries import RAW_UNITS, WORDS
 
 
 def _cooccur(t: Tables) -> DataFrame:
@@ -54,6 +55,18 @@ def _asked(t: Tables) -> DataFrame:
     return t.products().where("product_id % 50 = 0").select(F.col("product_id").alias("query_id"), F.concat(F.substring("name", 1, 1), F.substring("name", 3, 100)).alias("text"), "brand", "category")
 
 
+def _shelf(t: Tables) -> DataFrame:
+    """Products with the unit that their titles are written with, and their category's last word as an alias."""
+    unit = F.element_at(F.array(*map(F.lit, RAW_UNITS)), (F.col("product_id") % 5 + 1).cast("int"))
+    return t.products().withColumns({"unit": unit, "aliases": F.array(F.lower(F.element_at(F.split("category", " "), -1)))})
+
+
+def _misspelt(t: Tables) -> DataFrame:
+    """Whole searches: a name without its second letter, then brand and quantity."""
+    return _shelf(t).where("product_id % 50 = 0").select(
+        F.col("product_id").alias("query_id"), F.concat(F.substring("name", 1, 1), F.expr("substring(name, 3)"), F.lit(" "), F.col("brand"), F.lit(" "), F.col("size").cast("string"), F.col("unit")).alias("text"))
+
+
 def _submitted(t: Tables) -> DataFrame:
     return t.reviews().where("line_no = 1").select("session_id", "seller_id", F.when(F.col("session_id") % 5 == 0, -1).otherwise(F.col("reviewer_id")).alias("reviewer_id"), F.col("created_at").alias("at"))
 
@@ -110,8 +123,8 @@ QUERIES = {
     "suggest_corrections": lambda t: Q.suggest_corrections(_asked(t), Q.product_terms(t.products())),
     "keep_best_score": lambda t: Q.keep_best_score(Q.fuzzy_cross_match(_asked(t), Q.product_terms(t.products()))),
     "find_product": lambda t: Q.find_product(_asked(t), Q.product_terms(t.products())),
-    "search_products": lambda t: Q.search_products(_asked(t).join(t.vectors().select(F.col("product_id").alias("query_id"), "embedding"), "query_id"), t.products(), t.vectors()),
-    "embed_text": lambda t: A.embed_text(t.products(), "name").select("product_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm")),
+    "search_products": lambda t: Q.search_products(_misspelt(t), _shelf(t), WORDS),
+    "embed_text": lambda t: A.embed_text(t.products(), "name").select("product_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding")),
     "anomaly_features": lambda t: A.anomaly_features(t.prices()).select("product_id", "store_id", "batch_id", "line_no", F.round("log_price", 6).alias("log_price")),
     "flag_anomalies": lambda t: A.flag_by_median(t.prices(), "source").select("product_id", "store_id", "batch_id", "line_no", "is_anomaly"),
     "iforest_fit": lambda t: A.iforest_fit(t.prices(), AS_OF, 400),

@@ -11,13 +11,13 @@ from trolley.operators import validate as V
 from trolley.plans.bindings import AS_OF, Tables, with_tables
 
 WORDS = X.Vocabulary(brands=tuple(f"Brand#{i}" for i in range(1, 26)), categories=("ring", "small ring", "widget", "gear", "bolt", "nut"))
-_RAW_UNITS = ("kgs", "ml", "Litres", "grams", "pcs")
+RAW_UNITS = ("kgs", "ml", "Litres", "grams", "pcs")
 SYNONYMS = {"ring": "pete", "small": "ndogo"}
 
 
 def titles(t: Tables) -> DataFrame:
     """Product titles as a shop writes them: name, brand, size and a unit spelling."""
-    unit = F.element_at(F.array(*map(F.lit, _RAW_UNITS)), (F.col("product_id") % 5 + 1).cast("int"))
+    unit = F.element_at(F.array(*map(F.lit, RAW_UNITS)), (F.col("product_id") % 5 + 1).cast("int"))
     return t.products().withColumn("title", F.concat(F.initcap("name"), F.lit(", "), F.col("brand"), F.lit(" ("), F.col("size").cast("string"), unit, F.lit(")!")))
 
 
@@ -80,7 +80,7 @@ QUERIES = {
     "normalize_text_product": lambda t: titles(t).select("product_id", X.normalize_text_product(F.col("title"), SYNONYMS).alias("normal")),
     "normalize_query_vs_product": lambda t: t.raw("benchmark").select("item_id", X.normalize_text_product(F.col("text"), None, X.STOPWORDS).alias("normal")),
     "normalize_nfkc": lambda t: t.raw("documents").select("doc_id", F.length(X.nfkc(F.col("text"))).cast("long").alias("n")),
-    "normalize_unit": lambda t: titles(t).select("product_id", X.normalize_unit(F.element_at(F.array(*map(F.lit, _RAW_UNITS)), (F.col("product_id") % 5 + 1).cast("int"))).alias("unit")),
+    "normalize_unit": lambda t: titles(t).select("product_id", X.normalize_unit(F.element_at(F.array(*map(F.lit, RAW_UNITS)), (F.col("product_id") % 5 + 1).cast("int"))).alias("unit")),
     "indexing_text": lambda t: t.products().select("product_id", X.normalize_text_search(F.concat_ws(" ", "name", "brand", "category")).alias("indexed")),
     "extract_size_unit": lambda t: titles(t).select("product_id", X.extract_size_unit(F.col("name"), F.col("title")).alias("s")).select("product_id", "s.size", "s.unit"),
     "to_base_units": lambda t: _attributes(t).select("product_id", F.round(X.to_base_units(F.col("size"), F.col("unit")), 4).alias("base"), X.dimension(F.col("unit")).alias("dimension")),
@@ -104,9 +104,9 @@ QUERIES = {
     "quantity_score": lambda t: _pairs(t).select("product_id", S.quantity_score(F.col("size").cast("double"), F.lit("kg"), F.col("other_size") * 1000.0, F.lit("g")).alias("score")),
     "alias_score": lambda t: _pairs(t).select("product_id", S.alias_score(F.split("name", " "), F.array("other")).alias("score")),
     "final_score": _scored,
-    "shopping_list_terms": lambda t: _messages(t).select("conv_id", "turn", X.shopping_list_terms(F.col("text")).alias("terms")),
-    "is_meaningless_phrase": lambda t: t.raw("benchmark").select("item_id", X.is_meaningless_phrase(F.array_join(F.slice(F.split("text", " "), 1, 3), " ")).alias("meaningless")),
-    "meaningful_terms": lambda t: _messages(t).select("conv_id", "turn", F.size(X.meaningful_terms(F.col("text"))).cast("long").alias("n")),
+    "shopping_list_terms": lambda t: _messages(t).select("conv_id", "turn", F.array_join(X.shopping_list_terms(F.col("text")), "|").alias("terms")),
+    "is_meaningless_phrase": lambda t: t.raw("benchmark").select("item_id", X.is_meaningless_phrase(F.col("text")).alias("meaningless")),
+    "meaningful_terms": lambda t: _messages(t).select("conv_id", "turn", F.array_join(X.meaningful_terms(F.col("text")), "|").alias("terms")),
     "message_intent": lambda t: _messages(t).select("conv_id", "turn", X.message_intent(F.col("text")).alias("intent")),
     "parse_seller_search": lambda t: t.sellers().select("seller_id", X.parse_seller_search(F.concat(F.lit("find sellers "), F.col("display_name"), F.lit(" in "), F.col("town"))).alias("q")).select("seller_id", "q.term", "q.town", "q.category"),
     "validate_items": lambda t: _checked(t).select("batch_id", "line_no", "product_id", "reject_reason", "price_kes", F.size("warnings").cast("long").alias("n_warnings")),
@@ -160,3 +160,38 @@ ORACLES = {
     "valid_price_filter": with_tables("select source, count(*) as n from prices where line_no not in (4, 5, 6) group by source", "prices"),
 }
 ORACLES["score_threshold"] = f"select * from ({ORACLES['final_score']}) where score >= 0.3"
+
+
+def _sql_list(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _meaningless(words: str) -> str:
+    content = f"len(list_filter({words}, lambda v: not list_contains({_sql_list((*X.FUNCTION_WORDS, 'a', 'an'))}, v)))"
+    return f"(coalesce(list_contains({_sql_list(X.FUNCTION_WORDS)}, {words}[1]), false) or (len({words}) > 0 and {content} < 0.3 * len({words})))"
+
+
+def _runs(n: int) -> str:
+    return f"flatten(list_transform(items, lambda ws: list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i : i + {n} - 1], ' '))))"
+
+
+_WORD_LISTS = _sql_list((*X.STOPWORDS, *X.FUNCTION_WORDS, *X.UNIT_WORDS, *X.DESCRIPTORS))
+_TERMS = f"""messages as (
+  select conv_id, turn, text, list_filter(list_transform(
+    string_split_regex(regexp_replace(lower(coalesce(text, '')), '{X.ASKING}', ' ', 'g'), '{X.BETWEEN}'),
+    lambda piece: list_filter(list_transform(string_split_regex(piece, '\\s+'), lambda w: regexp_replace(w, '{X.EDGE_MARKS}', '', 'g')), lambda w: w <> '')),
+    lambda ws: len(ws) > 0) as items from conversations where role = 'user'),
+every_term as (
+  select conv_id, turn, text, list_concat(
+    list_filter(list_transform(items, lambda ws: array_to_string(ws, ' ')), lambda x: length(x) > 2 and not regexp_full_match(x, '[0-9]+')),
+    list_filter(list_concat({_runs(3)}, {_runs(2)}), lambda x: length(x) > 3 and not {_meaningless("string_split(x, ' ')")}),
+    list_filter(flatten(items), lambda x: length(x) > 2 and not list_contains({_WORD_LISTS}, x) and not regexp_full_match(x, '[0-9]+'))) as found from messages),
+terms as (select conv_id, turn, text, list_filter(found, lambda x, i: list_position(found, x) = i) as terms from every_term),
+meant as (select *, list_filter(terms, lambda x: length(x) >= 3 and not list_contains({_sql_list((*X.UNIT_WORDS, *X.FUNCTION_WORDS))}, x)
+  and not regexp_full_match(x, '[0-9]+([.][0-9]+)?\\s*({"|".join(X.UNIT_WORDS)})?')) as meaningful from terms)"""
+ORACLES["is_meaningless_phrase"] = f"with w as (select item_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') as words from benchmark) select item_id, {_meaningless('words')} as meaningless from w"
+ORACLES["shopping_list_terms"] = f"with {_TERMS} select conv_id, turn, array_to_string(terms, '|') as terms from meant"
+ORACLES["meaningful_terms"] = f"with {_TERMS} select conv_id, turn, array_to_string(meaningful, '|') as terms from meant"
+ORACLES["message_intent"] = f"""with {_TERMS}, said as (select *, lower(trim(coalesce(text, ''))) as low from meant)
+select conv_id, turn, case when low = '' then 'empty' when regexp_matches(low, '^(find|search) (grocer|seller)s? ') then 'seller_search'
+  when regexp_matches(low, 'shopping list|,|\\band\\b|&|\\+') and len(meaningful) >= 2 then 'shopping_list' else 'single_product' end as intent from said"""
