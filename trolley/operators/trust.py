@@ -67,8 +67,8 @@ def admit_ratings(submitted: DataFrame, sessions: DataFrame, reviews: DataFrame)
     """submitted (session_id, seller_id, reviewer_id, at) with its outcome; of a session's admitted ones the first stays admitted."""
     buyers = sessions.groupBy("session_id").agg(F.min("buyer_id").alias("buyer_id"))
     df = submitted.join(buyers, "session_id", "left")
-    free = review_rate_limit(submitted, reviews).select("session_id", "reviewer_id", "at", F.lit(True).alias("_free")).distinct()
-    df = df.join(free, ["session_id", "reviewer_id", "at"], "left")
+    free = review_rate_limit(submitted, reviews).select("session_id", "seller_id", "reviewer_id", "at", F.lit(True).alias("_free")).distinct()
+    df = df.join(free, ["session_id", "seller_id", "reviewer_id", "at"], "left")
     outcome = F.when(F.col("buyer_id").isNull(), "no session").when(F.col("buyer_id") != F.col("reviewer_id"), "not the buyer").when(F.col("_free").isNull(), "rate limited").otherwise("ok")
     df = df.withColumn("_outcome", outcome)
     first = best_per_key(df.where(F.col("_outcome") == "ok"), ["session_id"], ["at", "seller_id"]).select("session_id", F.col("at").alias("_at"), F.col("seller_id").alias("_seller"))

@@ -67,8 +67,8 @@ def _misspelt(t: Tables) -> DataFrame:
         F.col("product_id").alias("query_id"), F.concat(F.substring("name", 1, 1), F.expr("substring(name, 3)"), F.lit(" "), F.col("brand"), F.lit(" "), F.col("size").cast("string"), F.col("unit")).alias("text"))
 
 
-def _submitted(t: Tables) -> DataFrame:
-    return t.reviews().where("line_no = 1").select("session_id", "seller_id", F.when(F.col("session_id") % 5 == 0, -1).otherwise(F.col("reviewer_id")).alias("reviewer_id"), F.col("created_at").alias("at"))
+def _submitted(t: Tables, lines: int = 1) -> DataFrame:
+    return t.reviews().where(F.col("line_no") <= lines).select("session_id", "seller_id", F.when(F.col("session_id") % 5 == 0, -1).otherwise(F.col("reviewer_id")).alias("reviewer_id"), F.col("created_at").alias("at"))
 
 
 def _buyers(t: Tables) -> DataFrame:
@@ -114,7 +114,7 @@ QUERIES = {
     "flag_sellers": lambda t: U.flag_sellers(t.sellers(), U.review_bursts(t.reviews(), AS_OF, 120, 5, 0.0), AS_OF).select("seller_id", "is_flagged", "flag_reason", "flagged_at"),
     "seller_topk": lambda t: U.seller_topk(U.credibility_score(_sellers(t), t.reviews(), AS_OF), "supplier").select("seller_id", "credibility_score", "position"),
     "review_rate_limit": lambda t: U.review_rate_limit(_submitted(t), t.reviews().where("line_no > 1")).select("session_id", "seller_id", "reviewer_id"),
-    "admit_ratings": lambda t: U.admit_ratings(_submitted(t), _buyers(t), t.reviews().where("line_no > 1")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
+    "admit_ratings": lambda t: U.admit_ratings(_submitted(t, 2), _buyers(t), t.reviews().where("line_no > 2")).select("session_id", "seller_id", "reviewer_id", "outcome"),
     "session_party_join": lambda t: U.session_party_join(t.reviews().select("session_id", "seller_id", F.col("reviewer_id").alias("buyer_id")), t.sellers().select(F.col("seller_id").alias("user_id"))).groupBy("user_id", "party").agg(F.count(F.lit(1)).alias("n")),
     "reviewer_totals_join": lambda t: t.reviews().where("rating = 5").join(t.reviews().groupBy("reviewer_id").agg(F.count(F.lit(1)).alias("lifetime")), "reviewer_id").groupBy("seller_id").agg(F.sum("lifetime").alias("lifetime")),
     "knn_join": lambda t: Q.knn_join(_queries(t), t.vectors(), 20),
@@ -177,3 +177,27 @@ ORACLES["anchored_sessions"] = with_tables("""with recursive e as (select user_i
 walk as (select user_id, ts, product_id, i, ts as anchor, 0 as session from e where i = 1
   union all select e.user_id, e.ts, e.product_id, e.i, case when e.ts - walk.anchor > interval 30 minute then e.ts else walk.anchor end, case when e.ts - walk.anchor > interval 30 minute then walk.session + 1 else walk.session end from walk join e on e.user_id = walk.user_id and e.i = walk.i + 1)
 select user_id, ts, product_id, cast(session as bigint) as session from walk""", "traffic").replace("with traffic", "with recursive traffic", 1).replace(", recursive e as", ", e as")
+_GRAPH = f"""{_TYPED}, sess as ({ORACLES["anchored_sessions"]}),
+visits as (select distinct user_id, session, product_id as id from sess where product_id in (select product_id from products)),
+co_queried as (select distinct a.id as src, b.id as dst from visits a join visits b using (user_id, session) where a.id <> b.id),
+edges as (
+  select a.id as src, b.id as dst, 'same_category' as edge_type from typed a join typed b on a.key = b.key and a.id <> b.id
+  union all select a.id, b.id, 'size_variant' from typed a join typed b on lower(a.name) = lower(b.name) and lower(a.brand) = lower(b.brand) and a.size <> b.size
+  union all select a.id, b.id, 'substitute' from typed a join typed b on a.key = b.key and a.brand <> b.brand
+  union all select src, dst, 'co_queried' from co_queried)"""
+ORACLES["co_queried_pairs"] = with_tables(f"with {_GRAPH} select * from co_queried", "products")
+ORACLES["build_graph"] = with_tables(f"with {_GRAPH} select * from edges", "products")
+ORACLES["graph_stats"] = with_tables(f"with {_GRAPH} select edge_type, count(*) as edges, count(distinct src) as nodes from edges group by all", "products")
+ORACLES["align_vectors"] = with_tables("select product_id, embedding is not null as known, round(coalesce(list_sum(cast(embedding as double[])), 0), 4) as total from products left join vectors using (product_id)", "products", "vectors")
+ORACLES["recommend_for_basket"] = with_tables(f"""with {_COSINE}, basket as (select product_id from products where product_id % 40 = 3),
+lists as (select *, row_number() over (partition by item_a order by similarity desc, item_b) as place from sim where item_a in (from basket) qualify place <= 100),
+other as (
+  select item_b, sum(similarity) filter (place <= 20) as total, count(*) as n, list(item_a order by similarity desc, item_a) filter (place <= 20) as why
+  from lists where item_b not in (from basket) group by item_b)
+select item_b as product_id, round(total / n, 6) as score, array_to_string(list_transform(why[1:2], lambda x: 'Users who viewed ' || x), '; ') as reasons
+from other where total is not null order by score desc, item_b limit 10""", "log_items", "products")
+ORACLES["admit_ratings"] = with_tables("""with asked as (select session_id, seller_id, case when session_id % 5 = 0 then -1 else reviewer_id end as reviewer_id, created_at as at_time from reviews where line_no <= 2),
+judged as (select asked.*, case when o_custkey is null then 'no session' when o_custkey <> reviewer_id then 'not the buyer'
+  when exists (select 1 from reviews r where r.line_no > 2 and r.seller_id = asked.seller_id and r.reviewer_id = asked.reviewer_id and r.created_at < at_time and r.created_at >= at_time - interval 30 day) then 'rate limited'
+  else 'ok' end as outcome from asked left join orders on o_orderkey = session_id and o_orderkey % 7 > 0)
+select session_id, seller_id, reviewer_id, case when outcome = 'ok' and rank() over (partition by session_id, outcome order by at_time, seller_id) > 1 then 'already rated' else outcome end as outcome from judged""", "reviews")

@@ -195,3 +195,16 @@ ORACLES["meaningful_terms"] = f"with {_TERMS} select conv_id, turn, array_to_str
 ORACLES["message_intent"] = f"""with {_TERMS}, said as (select *, lower(trim(coalesce(text, ''))) as low from meant)
 select conv_id, turn, case when low = '' then 'empty' when regexp_matches(low, '^(find|search) (grocer|seller)s? ') then 'seller_search'
   when regexp_matches(low, 'shopping list|,|\\band\\b|&|\\+') and len(meaningful) >= 2 then 'shopping_list' else 'single_product' end as intent from said"""
+
+
+def _first_contained(words: tuple[str, ...]) -> str:
+    return "case " + " ".join(f"when contains(lower(title), '{w}') then '{w}'" for w in words) + " end"
+
+
+ORACLES["extract_colour"] = with_tables(f"with {_TITLES} select product_id, {_first_contained(WORDS.colours)} as colour, {_first_contained(WORDS.packages)} as package_type from titles", "products")
+_KIND = "case when name = 'small ring' then name when split_part(name, ' ', -1) in ('ring', 'widget', 'gear', 'bolt', 'nut') then split_part(name, ' ', -1) end"
+ORACLES["parse_query"] = with_tables(f"""with {_TITLES} select product_id, title, lower(replace(brand, '#', ' ')) as query_brand, {_KIND} as query_category, cast(size as double) as query_size,
+  (['kg', 'ml', 'L', 'g', 'pcs'])[product_id % 5 + 1] as query_unit,
+  case when {_KIND} is null then name when name = 'small ring' then '' else split_part(name, ' ', 1) end as keywords from titles""", "products")
+ORACLES["normalize_query_vs_product"] = f"""select item_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\\pL\\pN_\\s]', '', 'g'), '\\s+'),
+  lambda w: w <> '' and not list_contains({_sql_list(X.STOPWORDS)}, w)), ' ') as normal from benchmark"""
