@@ -175,7 +175,7 @@ def _runs(n: int) -> str:
     return f"flatten(list_transform(items, lambda ws: list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i : i + {n} - 1], ' '))))"
 
 
-_WORD_LISTS = _sql_list((*X.STOPWORDS, *X.FUNCTION_WORDS, *X.UNIT_WORDS, *X.DESCRIPTORS))
+_WORD_LISTS = _sql_list((*X.LIST_STOPWORDS, *X.UNIT_WORDS, *X.DESCRIPTORS))
 _TERMS = f"""messages as (
   select conv_id, turn, text, list_filter(list_transform(
     string_split_regex(regexp_replace(lower(coalesce(text, '')), '{X.ASKING}', ' ', 'g'), '{X.BETWEEN}'),
