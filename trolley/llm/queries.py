@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, secret_scan, sharding, substring_dedup, token_counts, toxicity
+from trolley.llm import (
+    chat_format, collocations, decontaminate, exact_dedup, fill_middle, near_vectors, ngram_join, packing, secret_scan, sharding,
+    substring_dedup, token_counts, toxicity,
+)
 from trolley.llm.common import table
 
 #: One conversation beside the table: both its texts look like another template's control strings.
@@ -66,6 +69,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "line_dedup": line_dedup,
@@ -78,6 +93,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 _WHITE = r"[\x20\x09-\x0D]"
@@ -105,5 +123,48 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(n + case when opens then length(role) + 4 + 7 else 8 end) as bigint) as formatted_chars
 from e group by conv_id
+""",
+    "op11_collocations": r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+t as (select lang, sum(len(ws)) as n from w group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) as phrase from w, (values (1), (2), (3), (4), (5)) ks(k) where len(ws) >= k),
+f as (select lang, k, phrase, string_split(phrase, ' ') as ws, count(*) as a from g group by lang, k, phrase having count(*) >= 100),
+dropped as (
+  select lang, a, array_to_string(ws[1 : k - 1], ' ') as phrase from f where k > 2
+  union select lang, a, array_to_string(ws[2 : k], ' ') from f where k > 2),
+cut as (
+  select f.lang, f.phrase, f.a, c.k, l.a as l, r.a as r, t.n, cast(1000 * cast(f.a as hugeint) * cast(t.n as hugeint) // (cast(l.a as hugeint) * cast(r.a as hugeint)) as bigint) as score
+  from f join (values (1), (2), (3), (4)) c(k) on c.k < f.k join t on t.lang = f.lang
+  join f l on l.lang = f.lang and l.phrase = array_to_string(f.ws[1 : c.k], ' ') join f r on r.lang = f.lang and r.phrase = array_to_string(f.ws[c.k + 1 : f.k], ' ')
+  where f.k > 1 and not exists (select 1 from dropped d where d.lang = f.lang and d.phrase = f.phrase and d.a = f.a)),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, cast(n as bigint) as n, score
+from best qualify rank <= 2000
+""",
+    "op12_near_vectors": """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: isfinite(x))) and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as u, b.vec_id as w from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select u, w from links union select r.u, l.w from reach r join links l on l.u = r.w),
+n as (select u, count(*) as n from links group by u),
+c as (select u, least(u, min(w)) as c from reach group by u)
+select vec_id, coalesce(n.n, 0) as n_links, coalesce(c.c, vec_id) as component_id, vec_id = coalesce(c.c, vec_id) as kept
+from embeddings left join n on n.u = vec_id left join c on c.u = vec_id
+""",
+    "op13_fill_middle": r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units, sha256('1:' || doc_id) as h from documents),
+e as (select *, len(units) as n, [cast(('0x' || substr(h, 8 * k + 1, 8)) as bigint) for k in range(0, 4)] as hs from d),
+c as (select *, least(hs[1] % (n + 1), hs[2] % (n + 1)) as a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or hs[3] % 100 >= 90 then 'plain' when hs[4] % 100 < 20 then 'spm' else 'psm' end as form from e),
+p as (select *, coalesce(array_to_string(units[1 : a], ''), '') as x, coalesce(array_to_string(units[a + 1 : b], ''), '') as y, coalesce(array_to_string(units[b + 1 : n], ''), '') as z from c)
+select doc_id, n, form, case when form <> 'plain' then length(x) end as prefix_chars, case when form <> 'plain' then length(y) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
 """,
 }
