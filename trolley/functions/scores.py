@@ -28,9 +28,14 @@ def string_similarity(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(n, F.lit(0)) == 0) | (F.coalesce(m, F.lit(0)) == 0), 0.0).otherwise(score)
 
 
+def phonetic_code(text: Column) -> Column:
+    """What texts that sound alike have in common."""
+    return F.soundex(text)
+
+
 def phonetic_score(a: Column, b: Column) -> Column:
     """1 where the words sound alike by Soundex, else 0."""
-    return F.when((a == "") | (b == ""), 0.0).otherwise(F.coalesce((F.soundex(a) == F.soundex(b)).cast("double"), F.lit(0.0)))
+    return F.when((a == "") | (b == ""), 0.0).otherwise(F.coalesce((phonetic_code(a) == phonetic_code(b)).cast("double"), F.lit(0.0)))
 
 
 def combined_match_score(similarity: Column, phonetic: Column, exact: Column, alias: Column) -> Column:

@@ -2,58 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.functions import scores as S
 from trolley.functions import text as X
+from trolley.operators import fuzzy
+from trolley.operators import vectors as nearest
 from trolley.operators.anomaly import embed_text
 from trolley.operators.windows import best_per_key, top_n_per_group
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 50, block_rows: int = 4096, threshold: float = -1.0) -> DataFrame:
-    """The k nearest vectors by cosine for each query (query_id, embedding), exactly.
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 50, block_rows: int = 1024, threshold: float = -1.0) -> DataFrame:
+    """The k nearest vectors by cosine for each query (query_id, embedding), exactly; by an inverted file of the vectors.
 
-    Queries go to the tasks in blocks of block_rows; each task keeps the k best of its own rows, and those are ranked.
+    Queries go to the tasks in blocks of block_rows; a ring of vectors is compared only with the queries it can matter to.
     """
-    spark = vectors.sparkSession
-    n = max(1, -(-queries.count() // block_rows))
-    out = None
-    for b in range(n):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r.query_id for r in rows], unit_rows(np.array([r.embedding for r in rows], dtype=np.float64))))
-
-        def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for df in batches:
-                sims = unit_rows(np.stack(df["embedding"].to_numpy()).astype(np.float64)) @ q.T
-                own = df["product_id"].to_numpy()
-                sims = np.round(sims, 6)
-                # rows that reach the k-th largest value of each query (all ties), in one selection over the block
-                floor = np.partition(sims, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(ids), -2.0)
-                row, j = np.nonzero(sims >= floor)
-                order = np.lexsort((own[row], -sims[row, j], j))
-                row, j = row[order], j[order]
-                place = np.arange(len(j)) - np.searchsorted(j, j)
-                row, j = row[place < k], j[place < k]
-                yield pd.DataFrame({"query_id": np.asarray(ids)[j], "product_id": own[row], "score": sims[row, j]})
-
-        part = vectors.select("product_id", "embedding").mapInPandas(near, "query_id long, product_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, product_id long, score double, rank long")
-    return top_n_per_group(out.where(F.col("score") >= threshold), ["query_id"], [F.col("score").desc(), "product_id"], k)
-
-
-def unit_rows(m: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(size == 0, 1, size)
+    none = vectors.sparkSession.createDataFrame([], "query_id long, product_id long, score double, rank long")
+    if vectors.isEmpty():
+        return none
+    return nearest.knn(queries, nearest.build(vectors), k, block_rows).where(F.col("score") >= threshold)
 
 
 def product_terms(products: DataFrame) -> DataFrame:
@@ -65,24 +35,31 @@ def product_terms(products: DataFrame) -> DataFrame:
 def fuzzy_cross_match(queries: DataFrame, terms: DataFrame, threshold: float = 0.6, block_rows: int = 2048) -> DataFrame:
     """Best term of each product for each query (query_id, text), where the combined score reaches the threshold.
 
-    Exact: low thresholds leave no key that all matches share, so distinct query texts go to the distinct terms in blocks of block_rows,
-    each block one pass over the terms. Pairs whose lengths rule the threshold out aren't compared.
+    Exact. Different query texts meet different terms by shared keys (`fuzzy.candidates`). Thresholds below about 0.56 leave no key that all
+    matches share; there, queries go to the terms in blocks of block_rows, each block one pass over the terms.
     """
     q = queries.select(F.lower(F.trim("text")).alias("asked")).where(F.length("asked") > 0).distinct()
     t = terms.select("term").where(F.length("term") > 0).distinct()
     asked, term = F.col("asked"), F.col("term")
+    score = S.combined_match_score(S.string_similarity(asked, term), S.phonetic_score(asked, term), asked == term, F.lit(False))
+    pairs = fuzzy.candidates(q, t, threshold, S.phonetic_code) if fuzzy.indexed(threshold) else _all_pairs(q, t, threshold, block_rows)
+    good = pairs.withColumn("score", score).where(F.col("score") >= threshold)
+    full = queries.select("query_id", F.lower(F.trim("text")).alias("asked")).join(good, "asked").join(terms, "term")
+    return best_per_key(full, ["query_id", "product_id"], [F.col("score").desc(), "term", "term_type"]).select("query_id", "product_id", "score", F.col("term").alias("matched_term"), F.col("term_type").alias("match_type"))
+
+
+def _all_pairs(q: DataFrame, t: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """All pairs but those whose lengths rule the threshold out."""
+    asked, term = F.col("asked"), F.col("term")
     shorter, longer = F.least(F.length(asked), F.length(term)), F.greatest(F.length(asked), F.length(term))
     best = 0.7 * F.greatest(1.1 - 1.3 * (longer - shorter) / longer, 0.7 + 0.3 * shorter / longer) + 0.4  # of any pair with these lengths
     blocks = max(1, -(-q.count() // block_rows))
-    good = None
+    out = None
     for k in range(blocks):
         block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == k)
-        pairs = t.join(F.broadcast(block), best >= threshold)
-        score = S.combined_match_score(S.string_similarity(asked, term), S.phonetic_score(asked, term), asked == term, F.lit(False))
-        part = pairs.withColumn("score", score).where(F.col("score") >= threshold)
-        good = part if good is None else good.unionByName(part)
-    full = queries.select("query_id", F.lower(F.trim("text")).alias("asked")).join(good, "asked").join(terms, "term")
-    return best_per_key(full, ["query_id", "product_id"], [F.col("score").desc(), "term", "term_type"]).select("query_id", "product_id", "score", F.col("term").alias("matched_term"), F.col("term_type").alias("match_type"))
+        part = t.join(F.broadcast(block), best >= threshold)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def exact_then_fuzzy(queries: DataFrame, terms: DataFrame, threshold: float = 0.6) -> DataFrame:
