@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from trolley.llm import secret_scan as S
 
@@ -45,6 +46,26 @@ def test_documents(spark, sf):
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == want[r.doc_id]
 
 
+def test_links_name_the_nearest_partner(spark):
+    text = "AKIA" + "B" * 16 + " " * 30 + KEY + " " * 100 + "AKIA" + "C" * 16 + " token=abcdefg https://example.org/" + " " * 2000 + "10.0.0.1"
+    got = S.digests(S.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    bare, second = text.index(KEY), text.index("AKIAC")
+    assert got.links == f"bare:{bare}>access:0,endpoint:{text.index('https')}>assign:{text.index('token')}" and second > bare
+
+
+def test_many_parts_and_long_values(spark):
+    """Work grows with the parts of a text, not with their square; every kind occurs thousands of times."""
+    hexes = " ".join(f"{i:024x}" for i in range(20_000)) + " é " * 300_000
+    mixed = " ".join(f"token={i:08d} AKIA{i:016d} {KEY} https://h{i}.example.org" for i in range(4000))
+    docs = spark.createDataFrame([(1, hexes), (2, mixed), (3, "secret=" + "a1" * 750_000)], "doc_id long, text string").repartition(3)
+    began = time.monotonic()
+    got = {r.doc_id: r for r in S.digests(S.scan_secrets(docs)).collect()}
+    assert time.monotonic() - began < 60
+    assert (got[1].n_hex, got[2].n_assign, got[2].n_access, got[3].n_assign) == (20_000, 4000, 4000, 1)
+    assert got[2].spans.count("bare:") == got[2].spans.count("endpoint:") == 4000
+    assert (got[3].base_sha256, got[1].base_sha256) == (brute("secret=" + "a1" * 750_000)[3], brute(hexes)[3])
+
+
 def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.scan_secrets(docs).count() == 0

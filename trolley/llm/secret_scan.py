@@ -9,7 +9,8 @@ secret with an access identifier or an endpoint, an endpoint with an access iden
 holds both ways, so what one weak candidate is reported for is reported too.
 
 Spans are start (inclusive) and end (exclusive) in code points of the whole text. A null text counts as empty. Every
-row of the input gives one row, rows that repeat included; null ids stay null. An empty table gives no rows.
+row of the input gives one row, rows that repeat included; null ids stay null. An empty table gives no rows. A text of any length is searched in one
+task, in time that grows with its length and its number of parts.
 Columns other than doc_id and text are ignored.
 """
 
@@ -35,23 +36,20 @@ REACH = 400
 
 
 def _found(kind: str, text: Column) -> Column:
-    """Matches of one kind in order: the text before each (after the one before) and the match, as lengths."""
+    """Matches of one kind in order: the text before each (after the one before) and the match, as lengths.
+
+    Gaps, matches and values are zipped, so each is found once for a text, however many matches there are.
+    """
     pattern = PATTERNS[kind]
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if kind == "assign":
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-        good = lambda h, i: F.length(F.get(values, i)) >= 6
-    elif kind == "access":
-        good = lambda h, i: F.length(h) >= 20
-    elif kind == "hex":
-        good = lambda h, i: F.lit(True)
-    elif kind == "bare":
-        good = lambda h, i: (F.length(h) == 40) & h.rlike("[0-9]") & h.rlike("[a-z]") & h.rlike("[A-Z]")
-    else:
-        good = lambda h, i: F.lit(True)
-    each = F.transform(hits, lambda h, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), F.length(h).alias("length"), good(h, i).alias("good")))
+    all_of = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    hits = all_of(0)
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), (all_of(2) if kind == "assign" else hits).alias("value"))
+    good = {
+        "assign": lambda z: F.length(z["value"]) >= 6, "access": lambda z: F.length(z["hit"]) >= 20,
+        "bare": lambda z: (F.length(z["hit"]) == 40) & z["hit"].rlike("[0-9]") & z["hit"].rlike("[a-z]") & z["hit"].rlike("[A-Z]"),
+    }.get(kind, lambda z: F.lit(True))
+    each = F.transform(F.filter(zipped, lambda z: z["hit"].isNotNull()), lambda z, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("i"), F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("length"), good(z).alias("good")))
     none = F.array().cast("array<struct<kind:string,i:int,gap:int,length:int,good:boolean>>")
     return F.when(text.rlike(pattern), each).otherwise(none)
 
@@ -68,10 +66,11 @@ def find_parts(docs: DataFrame) -> DataFrame:
 
 
 def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """The parts without weak candidates that no complementary part starts within `reach` of.
+    """row, kind, start, end and the partner (kind, start) of the parts, without weak candidates that no complementary part starts within `reach` of.
 
     Interval join over cells of `reach` code points: a part in the same cell is near; of the cells beside it only the
-    last start before and the first start after can be the nearest, so a cell is one row however full it is.
+    last start before and the first start after can be the nearest, so a cell is one row however full it is. The partner
+    is the nearest of these, of equals the one of the kind that stands first in PARTNERS; strong parts have none of their own.
     """
     parts = parts.where(F.col("good")).withColumn("cell", F.floor(F.col("start") / reach))
     ends = [f(F.when(F.col("kind") == k, F.col("start"))).alias(f"{n}_{k}") for k in KINDS for n, f in (("first", F.min), ("last", F.max))]
@@ -82,32 +81,25 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
             beside = step("cell").over(by_row) == F.col("cell") + (-1 if n == "last" else 1)
             cells = cells.withColumn(f"beside_{n}_{k}", F.when(beside, step(f"{n}_{k}").over(by_row)))
 
-    def near(kind: str) -> Column:
-        return F.coalesce(
-            F.col(f"first_{kind}").isNotNull()
-            | (F.col("start") - F.col(f"beside_last_{kind}") <= reach)
-            | (F.col(f"beside_first_{kind}") - F.col("start") <= reach), F.lit(False))
-
-    def any_near(kinds: tuple[str, ...]) -> Column:
-        out = near(kinds[0])
-        for k in kinds[1:]:
-            out = out | near(k)
-        return out
+    def partner(kinds: tuple[str, ...]) -> Column:
+        starts = [(i, k, F.col(f"{n}_{k}")) for i, k in enumerate(kinds) for n in ("first", "last", "beside_last", "beside_first")]
+        each = [F.when(F.abs(F.col("start") - at) <= reach, F.struct(F.abs(F.col("start") - at).alias("apart"), F.lit(i).alias("i"), F.lit(k).alias("kind"), at.alias("start"))) for i, k, at in starts]
+        return F.array_min(F.array_compact(F.array(*each)))
 
     joined = parts.join(cells, ["row", "cell"])
-    keep = F.when(F.col("kind") == "bare", any_near(PARTNERS["bare"])).when(
-        F.col("kind") == "endpoint", any_near(PARTNERS["endpoint"])).otherwise(True)
-    return joined.where(keep).select("row", "kind", "start", "end")
+    found = F.when(F.col("kind") == "bare", partner(PARTNERS["bare"])).when(F.col("kind") == "endpoint", partner(PARTNERS["endpoint"]))
+    joined = joined.withColumn("partner", found).where(~F.col("kind").isin(*PARTNERS) | F.col("partner").isNotNull())
+    return joined.select("row", "kind", "start", "end", F.col("partner.kind").alias("partner_kind"), F.col("partner.start").alias("partner_start"))
 
 
 def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id and spans (array of start, order, kind, end; sorted) for every row of docs."""
+    """doc_id and spans (array of start, order, kind, end, partner_kind, partner_start; sorted) for every row of docs."""
     parts = stored(find_parts(docs), "secret-parts")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     linked = link_parts(parts, reach).groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("start", order.alias("rank"), "kind", "end"))).alias("spans"))
+        F.array_sort(F.collect_list(F.struct("start", order.alias("rank"), "kind", "end", "partner_kind", "partner_start"))).alias("spans"))
     rows = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"))
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
+    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,partner_kind:string,partner_start:bigint>>")
     return rows.join(linked, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
 
@@ -115,5 +107,7 @@ def digests(scanned: DataFrame) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    link = lambda s: F.concat(F.concat_ws(":", s["kind"], s["start"]), F.lit(">"), F.concat_ws(":", s["partner_kind"], s["partner_start"]))
+    links = F.array_join(F.transform(F.filter("spans", lambda s: s["partner_kind"].isNotNull()), link), ",")
     return scanned.select("doc_id", count("assign"), count("access"), count("hex"),
-                          F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+                          F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), links.alias("links"))
