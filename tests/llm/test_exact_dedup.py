@@ -43,6 +43,20 @@ def test_batch_after_batch(spark, monkeypatch):
     assert index.held(D.entries(spark.createDataFrame([(1, "unknown")], "doc_id long, text string"))) is None
 
 
+def test_query_goes_through_runs_filters_and_compaction(spark, monkeypatch):
+    rows = [(i, f"text {i % 470}" + " " * (i % 3)) for i in range(500)] + [(900 + i, "hot one") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    level0, index = D.indexed(docs, run_rows=80)
+    assert level0.count() == 700 and [r.level for r in index.runs] == [1, 1, 0]
+    w = index.work
+    assert (w.flushed, w.compacted) == (9, 2) and w.carried_rows > 300 and 0 < w.merged_rows < 150
+    repeated = {r.best.doc_id: r.group_size for r in index.repeated().collect()}
+    assert repeated == {**{(i if i % 3 > (i + 470) % 3 or i % 3 == (i + 470) % 3 else i + 470): 2 for i in range(30)}, 900: 200}
+    assert index.groups().count() == 471
+    monkeypatch.setattr(D, "indexed", lambda docs, f=D.indexed: f(docs, 80))
+    assert sorted([tuple(r) for r in D.exact_groups(docs).collect()], key=str) == brute(rows)
+
+
 def test_hot_digests_go_apart(spark, monkeypatch):
     monkeypatch.setattr(D, "PORTION", 7)
     rows = [(i, "all the same") for i in range(60)] + [(100 + i, f"pair {i // 2}") for i in range(20)]

@@ -43,10 +43,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/trolley/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df written as Parquet in the shared folder, each file in an order, and read again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.sortWithinPartitions(*order) if order else df).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -65,14 +65,25 @@ def released(*tables: DataFrame | None) -> None:
 FILTER_BITS = 1 << 27
 
 
-def key_filter(keys: DataFrame, *columns: str) -> tuple[DataFrame, int]:
-    """(bitmap blocks of the hashes of some columns, bits): 16 bits a row as a power of two, FILTER_BITS at most (then more rows pass)."""
-    bits, rows = 1 << 15, keys.count()
+def filter_bits(rows: int) -> int:
+    """16 bits a row as a power of two, FILTER_BITS at most."""
+    bits = 1 << 15
     while bits < FILTER_BITS and bits < 16 * rows:
         bits *= 2
+    return bits
+
+
+def filter_blocks(keys: DataFrame, bits: int, *columns: str) -> DataFrame:
+    """Bitmap blocks (block, bits) of the hashes of some columns."""
     pos = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
     return keys.select(pos.alias("pos")).groupBy(F.bitmap_bucket_number("pos").alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bits")), bits
+        F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bits"))
+
+
+def key_filter(keys: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """(bitmap blocks, bits) of some columns of a table; where FILTER_BITS are too few more rows pass."""
+    bits = filter_bits(keys.count())
+    return filter_blocks(keys, bits, *columns), bits
 
 
 def in_filter(df: DataFrame, keys: tuple[DataFrame, int], *columns: str) -> DataFrame:

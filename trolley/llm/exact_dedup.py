@@ -1,10 +1,10 @@
 """Exact dedup with a log-structured merge index of digests, in DataFrame functions only.
 
-Memtables are the partitions of a batch of documents. A flush sorts each by digest and writes it as a file of the batch's run (level
-0), with a filter on its digests beside it. FANOUT runs of a level are compacted into one run of the next level: of each digest the best entry
-stays (longest original text, then smallest doc_id) and the counts add up. A batch that is looked up asks each run's filter
-first, and reads only runs that may hold some of its digests. Hits, entries whose digest is held more than once, have their texts compared
-byte by byte with the text of the row that stays.
+Memtables are files of entries, sorted by digest, that one pass over the documents writes. They are dealt to runs; each run is flushed in turn, with one
+entry for each digest (longest original text, then smallest doc_id; counts add up) and a filter on its digests beside it. FANOUT runs of a level
+are compacted into one run of the next level. Compaction asks filters first: what no other run may hold is carried over as it is, and only the rest is shuffled and
+merged. Likewise a batch that is looked up (`held`) reads only runs whose filter may hold some of its digests. Hits, entries whose
+digest is held more than once, have their texts compared byte by byte with the text of the row that stays.
 
 Nothing meets in one task because it is frequent: entries of a digest are summed before any shuffle, digests with a share of over
 1 / HOT_DIGESTS of the rows (so HOT_DIGESTS of them at most) are joined by broadcast, and their texts are compared in portions of
@@ -17,15 +17,17 @@ task. An empty table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.common import SPACES, key_filter, passing, scratch, stored, text_or_empty, thinned
+from trolley.llm.common import SPACES, filter_bits, filter_blocks, in_filter, key_filter, passing, scratch, stored, text_or_empty, thinned
 
 FANOUT = 4
+#: Rows of a memtable, of a run before it is flushed, and the most runs (beyond that, runs are larger).
+MEMTABLE_ROWS, RUN_ROWS, MOST_RUNS = 1_000_000, 32_768, 64
 HOT_DIGESTS = 10_000
 PORTION = 1000
 BEST = ("shorter", "doc_id", "text_hash", "row_no")
@@ -49,33 +51,77 @@ def entries(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Run:
-    """A table sorted by digest in each file, and the filter on its digests."""
+    """A table sorted by digest in each file, one entry for each digest, and the filter on its digests (blocks, bits)."""
 
     level: int
     table: DataFrame
     filter: tuple[DataFrame, int]
 
 
+@dataclass
+class Work:
+    """What an index has done: runs flushed, compactions, rows that a filter let through to a merge, rows that it kept out, runs not read."""
+
+    flushed: int = 0
+    compacted: int = 0
+    merged_rows: int = 0
+    carried_rows: int = 0
+    skipped_runs: int = 0
+
+
 @dataclass(frozen=True)
 class DigestIndex:
     runs: tuple[Run, ...] = ()
+    bits: int | None = None  # of all filters; those of indexes without it are sized by their first run
+    work: Work = field(default_factory=Work)
 
     def append(self, docs: DataFrame) -> DigestIndex:
         """The index with a batch of documents more; row numbers go on behind those of earlier batches."""
-        return self.with_run(flushed(entries(docs), 0))
-
-    def with_run(self, run: Run) -> DigestIndex:
-        """The index with one more run; full levels are compacted."""
-        runs, level = [*self.runs, run], 0
-        while len(full := [r for r in runs if r.level == level]) >= FANOUT:
-            merged = flushed(merge([r.table for r in full]), level + 1)
-            runs = [r for r in runs if r.level != level] + [merged]
+        return self.with_memtables(entries(docs))
+
+    def with_memtables(self, rows: DataFrame) -> DigestIndex:
+        """The index with one more run, flushed from entries; full levels are compacted."""
+        bits = self.bits or filter_bits(rows.count())
+        self.work.flushed += 1
+        index = replace(self, bits=bits, runs=(*self.runs, flushed(merge([rows]), 0, bits)))
+        level = 0
+        while len(full := [r for r in index.runs if r.level == level]) >= FANOUT:
+            self.work.compacted += 1
+            index = replace(index, runs=(*[r for r in index.runs if r.level != level], index.compacted(full, level + 1)))
             level += 1
-        return replace(self, runs=tuple(runs))
+        return index
+
+    def compacted(self, runs: list[Run], level: int) -> Run:
+        """Some runs as one. Filters are asked first: entries that no other run may hold are carried over, only the others are shuffled."""
+        maybe, sure = self.asked(runs)
+        table = stored(merge(maybe).unionByName(reduce(DataFrame.unionByName, sure)), f"dedup-level{level}", "digest")
+        return Run(level, table, (stored(either([r.filter for r in runs]), "dedup-filter"), self.bits))
+
+    def asked(self, runs: list[Run]) -> tuple[list[DataFrame], list[DataFrame]]:
+        """(entries that another one of the runs may hold too, entries that none does), by run."""
+        maybe, sure = [], []
+        for run in runs:
+            others = either([r.filter for r in runs if r is not run])
+            marked = stored(in_filter(run.table, (others, self.bits), "digest"), "dedup-asked")
+            let = marked.where("may_be").count()
+            self.work.merged_rows += let
+            self.work.carried_rows += marked.count() - let
+            maybe.append(marked.where("may_be").select("row.*"))
+            sure.append(marked.where("NOT may_be").select("row.*"))
+        return maybe, sure
 
     def groups(self) -> DataFrame | None:
         """digest, best, group_size over all runs: the last compaction, which leaves one row for each digest."""
-        return merge([r.table for r in self.runs]) if self.runs else None
+        if len(self.runs) < 2:
+            return self.runs[0].table if self.runs else None
+        return self.compacted(list(self.runs), max(r.level for r in self.runs) + 1).table
+
+    def repeated(self) -> DataFrame:
+        """The groups of more than one row. Entries of one row that no other run may hold are left where they are."""
+        if len(self.runs) < 2:
+            return self.runs[0].table.where(F.col("group_size") > 1)
+        maybe, sure = self.asked(list(self.runs))
+        return reduce(DataFrame.unionByName, [merge(maybe), *sure]).where(F.col("group_size") > 1)
 
     def held(self, batch: DataFrame) -> DataFrame | None:
         """digest, best, group_size of the digests of batch (a column digest) that the index holds.
@@ -85,18 +131,22 @@ class DigestIndex:
         found = []
         for run in self.runs:
             maybe = stored(passing(batch.select("digest").distinct(), run.filter, "digest"), "dedup-asked")
-            if not maybe.isEmpty():
+            if maybe.isEmpty():
+                self.work.skipped_runs += 1
+            else:
                 found.append(run.table.join(maybe, "digest", "left_semi"))
         return merge(found) if found else None
 
 
-def flushed(df: DataFrame, level: int) -> Run:
-    """df as a run: each partition sorted by digest and written as one file, and its filter."""
-    path = scratch(df.sparkSession, f"dedup-level{level}")
-    df.sortWithinPartitions("digest").write.option("compression", "zstd").parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    blocks, bits = key_filter(table, "digest")
-    return Run(level, table, (stored(blocks, "dedup-filter"), bits))
+def flushed(df: DataFrame, level: int, bits: int) -> Run:
+    """df as a run: each partition sorted by digest and written, and its filter."""
+    table = stored(df, f"dedup-level{level}", "digest")
+    return Run(level, table, (stored(filter_blocks(table, bits, "digest"), "dedup-filter"), bits))
+
+
+def either(filters: list[tuple[DataFrame, int]]) -> DataFrame:
+    """The blocks of a filter that lets through what one of some filters (of one size) lets through."""
+    return reduce(DataFrame.unionByName, [f[0] for f in filters]).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def merge(tables: list[DataFrame]) -> DataFrame:
@@ -140,11 +190,25 @@ def mismatches(docs: DataFrame, hits: DataFrame, share: int) -> DataFrame:
         F.col("body") != F.col("kept_body")).select("digest", "doc_id", "text_hash", "body")
 
 
+def indexed(docs: DataFrame, run_rows: int = RUN_ROWS, most_runs: int = MOST_RUNS) -> tuple[DataFrame, DigestIndex]:
+    """(entries of all rows, the index over them). Memtables are written once; runs of them are flushed one after the other."""
+    rows = docs.count()
+    runs = max(1, min(most_runs, -(-rows // run_rows)))
+    memtables = entries(docs).withColumn("run", F.pmod(F.xxhash64("best.row_no"), F.lit(runs)).cast("int"))
+    path = scratch(docs.sparkSession, "dedup-memtables")
+    memtables.sortWithinPartitions("run", "digest").write.option("compression", "zstd").option("maxRecordsPerFile", MEMTABLE_ROWS).partitionBy("run").parquet(path)
+    level0 = docs.sparkSession.read.schema(memtables.schema).parquet(path)
+    index = DigestIndex(bits=filter_bits(rows))
+    for run in range(runs if rows else 0):
+        index = index.with_memtables(level0.where(F.col("run") == run).drop("run"))
+    return level0.drop("run"), index
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """digest, best, keep, group_size for each row of docs; kept rows are those whose best is keep."""
-    index = DigestIndex().append(docs)
-    level0 = index.runs[0].table
-    repeated = stored(index.groups().where(F.col("group_size") > 1), "dedup-level1")
+    level0, index = indexed(docs)
+    repeated = index.repeated() if index.runs else level0.where("false")
+    repeated = stored(repeated, "dedup-repeated")
     share = max(PORTION, level0.count() // HOT_DIGESTS)
     found = stored(with_groups(level0, repeated, share), "dedup-found")
     odd = stored(mismatches(docs, found.where(F.col("group_size") > 1), share), "dedup-mismatch")
