@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -45,5 +47,14 @@ def test_any_text_round_trips(spark, turns):
     check(spark, turns)
 
 
+def test_many_turns_and_long_ones(spark):
+    """Reading back grows with the length, whether turns alternate, are merged into one block, or are long."""
+    turns = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(16_000)] + [(2, i, "assistant", f"[{i}|") for i in range(16_000)]
+    turns += [(3, 0, "user", "é<" * 200_000), (3, 1, "assistant", "𝄞&" * 200_000)]
+    began = time.monotonic()
+    check(spark, turns)
+    assert time.monotonic() - began < 90
+
+
 def test_long_conversation(spark):
     check(spark, [(1, i, ("user", "assistant")[i // 3 % 2], f"t{i}") for i in range(1500)])

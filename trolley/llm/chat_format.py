@@ -59,27 +59,23 @@ def format_conversations(turns: DataFrame, learn_role: str = "assistant") -> Dat
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (array of role and text, as they were), loss_text: parsed from the formatted string and its mask."""
-    blocks = F.filter(F.split("formatted", r"<\|end\|>"), lambda b: b != "")
-    turns = F.flatten(F.transform(blocks, lambda b: F.transform(
-        F.split(_body(b), r"<\|part\|>"),
-        lambda p: F.struct(unescape(_role(b)).alias("role"), unescape(p).alias("text")))))
-    ends = F.aggregate("loss_mask", F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
-                       lambda acc, r: F.struct(
-                           (acc["at"] + r["length"]).alias("at"),
-                           F.when(r["loss"], F.concat(acc["out"], F.array(F.substring(F.col("formatted"), acc["at"].cast("int"), r["length"].cast("int")))))
-                           .otherwise(acc["out"]).alias("out")))
-    return formatted.select("conv_id", "formatted", turns.alias("turns"),
-                            unescape(F.array_join(ends["out"], "")).alias("loss_text"))
-
-
-def _role(block: Column) -> Column:
-    return F.substring_index(F.substring(block, F.lit(len(OPEN) + 1), F.length(block)), SHUT, 1)
-
-
-def _body(block: Column) -> Column:
-    rest = F.substring(block, F.lit(len(OPEN) + 1), F.length(block))
-    return F.substring(rest, F.length(_role(block)) + len(SHUT) + 1, F.length(rest))
+    """conv_id, turns (array of role and text, as they were), loss_text: parsed from the formatted string and its mask.
+
+    Work grows with the length of the string: each block is parsed once, and the mask's runs are laid beside the characters.
+    """
+    blocks = F.transform(F.filter(F.split("formatted", r"<\|end\|>"), lambda b: b != ""), _parsed)
+    turns = F.flatten(F.transform(blocks, lambda b: F.transform(b["parts"], lambda p: F.struct(b["role"].alias("role"), unescape(p).alias("text")))))
+    masked = F.flatten(F.transform("loss_mask", lambda r: F.array_repeat(r["loss"], r["length"].cast("int"))))
+    both = F.arrays_zip(F.split("formatted", "").alias("char"), masked.alias("loss"))
+    lost = F.array_join(F.transform(F.filter(both, lambda z: F.coalesce(z["loss"], F.lit(False))), lambda z: z["char"]), "")
+    return formatted.select("conv_id", "formatted", turns.alias("turns"), unescape(lost).alias("loss_text"))
+
+
+def _parsed(block: Column) -> Column:
+    """role and parts of a block without its end mark."""
+    role = F.substring_index(F.substring(block, len(OPEN) + 1, 1 << 30), SHUT, 1)
+    body = F.substring(block, F.length(role) + len(OPEN + SHUT) + 1, F.length(block))
+    return F.struct(unescape(role).alias("role"), F.split(body, r"<\|part\|>").alias("parts"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ A word is the sum of two hashed embeddings: of itself and of its first letters.
 words, each filter's largest response over the whole text (max pooling) goes to a logistic output. Training
 uses at most `sample_rows` labelled documents of each class (those with the smallest hashes of their ids), whole texts, and of these none
 of over `sample_bytes`, so what is collected has a bound; all documents are scored, of any length. The model has a
-fixed size and goes to every task. For the filter, thresholds are calibrated for each language on labels of one fold, by a second model that
-was fitted without that fold; it is 0.5 for languages with few labels there. Language is never an input of a score.
+fixed size and goes to every task. For the filter, thresholds are calibrated for each language on scores out of fold: two more models are fitted on
+a half of the training folds each and score the other half. A language with few labels is drawn to the threshold of all languages, and that one to 0.5
+where labels are few altogether. Language is never an input of a score. The filter drops whatever reaches its threshold, empty texts too: fitted on a
+handful of labels it can drop anything that looks like them.
 
 Null and empty texts are scored like a text without words. Null labels and labels without a document are left out of training;
 repeated labels count once. Without labels of both classes every score is 0.5 and the filter keeps everything. Rows that repeat
@@ -32,7 +34,7 @@ DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 PREFIX = 5
 #: Training goes on for so many steps at least, however few labels there are.
 LEAST_STEPS = 72
-CALIBRATION_FOLD = 1
+STEPS = np.round(np.arange(0.5, 0.951, 0.05), 2)
 _STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -64,12 +66,13 @@ class Classifier:
     offset: float
     trained: bool = False  # on labels of both classes
     thresholds: dict[str | None, float] = field(default_factory=dict)
+    pooled_threshold: float = 0.5
 
     def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
         """Largest response of every filter over each document, two zero words after each."""
         lengths = np.array([max(1, len(d)) for d in docs])
         starts = np.concatenate([[0], np.cumsum(lengths + max(WIDTHS) - 1)])
-        x = np.zeros((starts[-1] + max(WIDTHS), DIM), dtype=np.float32)
+        x = np.zeros((starts[-1] + max(WIDTHS), DIM), dtype=self.embedding.dtype)
         for d, s in zip(docs, starts, strict=False):
             if len(d):
                 np.add(self.embedding[d[:, 0]], self.embedding[d[:, 1]], out=x[s : s + len(d)])
@@ -119,7 +122,6 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
     parts = [model.embedding, *model.filters.values(), *model.bias.values(), model.output]
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     seen, step = np.zeros(2 * BUCKETS, dtype=bool), 0
-    pad = np.zeros((max(WIDTHS), DIM), np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
@@ -127,35 +129,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
             grads = [np.zeros_like(p) for p in parts[1:]]
             rows, values, step = [], [], step + 1
             offset_grad = 0.0
-            for i in chosen:
-                ids = docs[i]
-                if not len(ids):
-                    ids = np.zeros((0, 2), np.int64)
-                x = np.concatenate([model.embedding[ids[:, 0]] + model.embedding[ids[:, 1]], pad])
-                n = max(1, len(ids))
-                places, tops = [], []
-                for w in WIDTHS:
-                    h = sum(x[j : n + j] @ model.filters[w][j] for j in range(w)) + model.bias[w]
-                    top = h.argmax(axis=0)
-                    places.append(top)
-                    tops.append(h[top, np.arange(FILTERS)])
-                pooled = np.maximum(np.concatenate(tops), 0)
-                p = 1 / (1 + np.exp(-np.clip(pooled @ model.output + model.offset, -30, 30)))
-                g = np.float32((p - labels[i]) / len(chosen))
-                offset_grad += g
-                grads[-1] += g * pooled
-                back = g * model.output * (pooled > 0)
-                for k, w in enumerate(WIDTHS):
-                    d = back[k * FILTERS : (k + 1) * FILTERS]
-                    grads[len(WIDTHS) + k] += d
-                    for j in range(w):
-                        where = places[k] + j
-                        grads[k][j] += (x[where] * d[:, None]).T
-                        inside = where < len(ids)
-                        if inside.any():
-                            v = (model.filters[w][j] * d).T[inside]
-                            rows += [ids[where[inside], 0], ids[where[inside], 1]]
-                            values += [v, v]
+            for some in _portions(chosen, docs):
+                offset_grad += _gradients(model, [docs[i] for i in some], labels[some], len(chosen), grads, rows, values)
             model.offset -= rate * offset_grad
             touched, inverse = np.unique(np.concatenate(rows), return_inverse=True) if rows else (np.zeros(0, np.int64), None)
             sparse = np.zeros((len(touched), DIM), np.float32)
@@ -173,22 +148,65 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
     return model
 
 
-def calibrated(scores: np.ndarray, labels: np.ndarray, langs: list[str | None], least: int = 20) -> dict[str | None, float]:
-    """For each language the threshold of the best F1 (clean documents weighted fully), no lower than 0.5; 0.5 where labels are few."""
-    out: dict[str | None, float] = {}
-    for lang in set(langs):
-        own = np.array([x == lang for x in langs])
-        s, y = scores[own], labels[own]
-        if y.sum() < least or (1 - y).sum() < least:
-            continue
-        best, chosen = -1.0, 0.5
-        for t in np.arange(0.5, 0.951, 0.05):
-            hit = s >= t
-            f1 = 2 * (hit & (y == 1)).sum() / max(1, hit.sum() + y.sum())
-            if f1 > best + 1e-9:
-                best, chosen = f1, float(round(t, 2))
-        out[lang] = chosen
-    return out
+def _portions(chosen: np.ndarray, docs: list[np.ndarray], words_at_once: int = 100_000) -> Iterator[np.ndarray]:
+    """The documents of a batch in portions of about so many words, so that long texts don't meet in memory."""
+    size = np.cumsum([len(docs[i]) for i in chosen])
+    cuts = np.flatnonzero(np.diff(size // words_at_once)) + 1
+    yield from np.split(chosen, cuts)
+
+
+def _gradients(model: Classifier, docs: list[np.ndarray], labels: np.ndarray, batch: int, grads: list[np.ndarray], rows: list, values: list) -> float:
+    """Adds the gradients of some documents of a batch: to grads those of filters, biases and output, to rows and values those of word buckets; returns the offset's."""
+    pad = max(WIDTHS) - 1
+    lengths = np.array([max(1, len(d)) for d in docs])
+    starts = np.concatenate([[0], np.cumsum(lengths + pad)])
+    words = np.full((starts[-1] + pad, 2), -1, np.int64)
+    for d, s in zip(docs, starts, strict=False):
+        words[s : s + len(d)] = d
+    x = model.embedding[words[:, 0]] + model.embedding[words[:, 1]]
+    x[words[:, 0] < 0] = 0
+    n, places, tops = starts[-1], [], []
+    for w in WIDTHS:
+        h = sum(x[j : n + j] @ model.filters[w][j] for j in range(w)) + model.bias[w]
+        place = np.stack([s + h[s : s + k].argmax(axis=0) for s, k in zip(starts, lengths, strict=False)])
+        places.append(place)
+        tops.append(np.take_along_axis(h, place, axis=0))
+    pooled = np.maximum(np.concatenate(tops, axis=1), 0)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ model.output + model.offset, -30, 30)))
+    g = ((p - labels) / batch).astype(np.float32)
+    grads[-1] += g @ pooled
+    back = g[:, None] * model.output * (pooled > 0)
+    for k, w in enumerate(WIDTHS):
+        d = back[:, k * FILTERS : (k + 1) * FILTERS]
+        grads[len(WIDTHS) + k] += d.sum(axis=0)
+        for j in range(w):
+            where = places[k] + j
+            grads[k][j] += np.einsum("dfk,df->kf", x[where], d)
+            inside = words[where, 0] >= 0
+            v = (d[:, :, None] * model.filters[w][j].T)[inside]
+            rows += [words[where[inside], 0], words[where[inside], 1]]
+            values += [v, v]
+    return float(g.sum())
+
+
+def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The threshold of the best F1, from 0.5 to 0.95; the lowest of equals."""
+    f1 = [2 * ((scores >= t) & (labels == 1)).sum() / max(1, (scores >= t).sum() + labels.sum()) for t in STEPS]
+    return float(STEPS[int(np.argmax(np.round(f1, 9)))])
+
+
+def calibrated(scores: np.ndarray, labels: np.ndarray, langs: list[str | None], few: int = 20) -> tuple[dict[str | None, float], float]:
+    """(a threshold for each language, the one for languages without labels).
+
+    The best threshold of a language counts by n / (n + few), n being the labels of its rarer class; the rest is the pooled threshold, and
+    of that likewise 0.5. So few labels move a threshold little.
+    """
+    def shrunk(own: np.ndarray, base: float) -> float:
+        n = min(labels[own].sum(), (1 - labels[own]).sum())
+        return float(base + n / (n + few) * (best_threshold(scores[own], labels[own]) - base)) if n else base
+
+    pooled = shrunk(np.ones(len(labels), bool), 0.5)
+    return {lang: shrunk(np.array([x == lang for x in langs]), pooled) for lang in set(langs)}, pooled
 
 
 def fold(doc_id: Column) -> Column:
@@ -198,7 +216,7 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, label: str = "toxic", calibrate: bool = False, sample_bytes: int = 1 << 20) -> Classifier:
     """Fits on at most sample_rows labelled documents of each class outside fold 0, none of over sample_bytes.
 
-    With calibrate, thresholds come from CALIBRATION_FOLD, scored by a model that hasn't seen it.
+    With calibrate, thresholds come from scores out of fold: each half of the training folds is scored by a model that has seen the other half only.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(
         F.max(label).cast("int").alias("y"))
@@ -223,11 +241,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, label: st
     y = np.array([r.y for r in rows], dtype=np.float32)
     model = fit(samples, y)
     if calibrate and model.trained:
-        apart = np.array([r.fold == CALIBRATION_FOLD for r in rows])
-        langs = [r.lang for r in rows if r.fold == CALIBRATION_FOLD]
-        if calibrated(y[apart], y[apart], langs):  # some language has labels enough
-            other = fit([s for s, a in zip(samples, apart, strict=True) if not a], y[~apart])
-            model.thresholds = calibrated(other.score(s for s, a in zip(samples, apart, strict=True) if a), y[apart], langs)
+        half, unseen = np.array([r.fold % 2 for r in rows]), np.full(len(rows), np.nan)
+        for h in (0, 1):
+            other = fit([s for s, x in zip(samples, half, strict=True) if x != h], y[half != h])
+            if other.trained:
+                unseen[half == h] = other.score(s for s, x in zip(samples, half, strict=True) if x == h)
+        on = np.isfinite(unseen)
+        model.thresholds, model.pooled_threshold = calibrated(unseen[on], y[on], [r.lang for r, x in zip(rows, on, strict=True) if x])
     return model
 
 
@@ -261,7 +281,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500) -> D
         model = shared.value
         for batch in batches:
             langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
-            limits = np.array([model.thresholds.get(x, 0.5) if model.trained else 1.1 for x in langs])
+            limits = np.array([model.thresholds.get(x, model.pooled_threshold) if model.trained else 1.1 for x in langs])
             yield batch.filter(pa.array(scores_of(batch, model) < limits, pa.bool_()))
         _done()
 
