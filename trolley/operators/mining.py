@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trolley.operators.windows import top_n_per_group
+from trolley.sources.tables import stored
 
 
 def basket_pairs(items: DataFrame, basket: str = "log_id", item: str = "product_id", line: str = "line_no") -> DataFrame:
@@ -38,19 +39,47 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(turned.alias("_pair"), *rest).select("_pair.item_a", "_pair.item_b", *rest)
 
 
-def cosine_similarity_items(pairs: DataFrame, least_pairs: int = 1, neighbours: int | None = None) -> DataFrame:
-    """Cosine of the items' co-occurrence rows, for pairs of items that share a neighbour, both ways.
+#: Items that share a neighbour are compared in blocks of so many; at most HOT_KEYS neighbours are split into blocks.
+BLOCK_ITEMS, HOT_KEYS = 1000, 10_000
 
-    `neighbours` keeps each item's strongest ones only, which bounds the join on the shared neighbour.
+
+def cosine_similarity_items(pairs: DataFrame, least_pairs: int = 1, neighbours: int | None = None, least: float = 0.0, block: int = BLOCK_ITEMS) -> DataFrame:
+    """Cosine of the items' co-occurrence rows, for pairs of items that share a neighbour and are at least so similar, both ways.
+
+    An inverted index over the shared neighbours, split where a neighbour has many items. With `least` above 0 an item is indexed only under its
+    rarest neighbours: those that come first, most shared ones first, are left out as long as their norm stays below `least`, since what
+    two items have in common there can't make them similar. Candidates from what is indexed are then compared whole.
+    `neighbours` keeps each item's strongest ones only.
     """
     kept = pairs.where(F.col("n") >= least_pairs)
     if neighbours is not None:
         kept = top_n_per_group(kept, ["item_a"], [F.col("n").desc(), "item_b"], neighbours, "_r").drop("_r")
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item_a")))
-    unit = kept.select(F.col("item_a").alias("item"), F.col("item_b").alias("shared"), (F.col("n") / norm).alias("w"))
-    a, b = unit.select("shared", F.col("item").alias("item_a"), F.col("w").alias("wa")), unit.select("shared", F.col("item").alias("item_b"), F.col("w").alias("wb"))
-    half = a.join(b, "shared").where(F.col("item_a") < F.col("item_b")).groupBy("item_a", "item_b").agg(F.round(F.least(F.lit(1.0), F.sum(F.col("wa") * F.col("wb")) + 1e-9), 6).alias("similarity"))
-    return both_ways(half)
+    norms = kept.groupBy("item_a").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    unit = stored(kept.join(norms, "item_a").select(F.col("item_a").alias("item"), F.col("item_b").alias("shared"), (F.col("n") / F.col("norm")).alias("w")), "unit-rows")
+    dot = F.round(F.least(F.lit(1.0), F.sum(F.col("wa") * F.col("wb")) + 1e-9), 6).alias("similarity")
+    if least <= 0:
+        return both_ways(_sharing(unit, block).groupBy("item_a", "item_b").agg(dot))
+    spread = unit.groupBy("shared").agg(F.count(F.lit(1)).alias("items"))
+    so_far = Window.partitionBy("item").orderBy(F.col("items").desc(), "shared").rowsBetween(Window.unboundedPreceding, 0)
+    index = unit.join(spread, "shared").withColumn("so_far", F.sqrt(F.sum(F.col("w") * F.col("w")).over(so_far))).where(F.col("so_far") >= least - 1e-6)
+    candidates = _sharing(stored(index.select("item", "shared", "w"), "indexed-rows"), block).select("item_a", "item_b").distinct()
+    a, b = unit.select(F.col("item").alias("item_a"), "shared", F.col("w").alias("wa")), unit.select(F.col("item").alias("item_b"), "shared", F.col("w").alias("wb"))
+    return both_ways(candidates.join(a, "item_a").join(b, ["item_b", "shared"]).groupBy("item_a", "item_b").agg(dot).where(F.col("similarity") >= least))
+
+
+def _sharing(unit: DataFrame, block: int) -> DataFrame:
+    """item_a, item_b (a < b), wa, wb for each shared neighbour of two items. unit is stored.
+
+    A neighbour with many items is dealt into blocks of about `block`; each pair of blocks is a join key of its own.
+    """
+    most = max(block, unit.count() // HOT_KEYS)
+    hot = unit.groupBy("shared").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") > most)
+    hot = F.broadcast(hot.select("shared", F.ceil(F.col("items") / block).cast("int").alias("blocks")))  # HOT_KEYS rows at most
+    dealt = unit.join(hot, "shared", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    a = dealt.select("shared", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.col("item").alias("a"), F.col("w").alias("wa"))
+    b = dealt.select("shared", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("item").alias("b"), F.col("w").alias("wb"))
+    both = a.join(b, ["shared", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    return both.select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"), "wa", "wb")
 
 
 def similar_products(similarity: DataFrame, k: int = 10) -> DataFrame:

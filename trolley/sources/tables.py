@@ -30,6 +30,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/trolley/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows up to which a table of unknown origin goes to all tasks.
+SMALL_ROWS = 10_000
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written in the shared folder and read again: cuts lineage, survives lost executors."""
+    path = f"{scratch(df.sparkSession, name)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, marked for broadcast if it is counted to have no more than so many rows. Give a stored table, as it is read twice."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def scan_products_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) products of a JSON array or object."""
     rows = spark.read.schema(PRODUCTS).json(path, multiLine=True)
