@@ -51,10 +51,11 @@ def resolve_or_create_product(items: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def change_rows(changes: DataFrame) -> DataFrame:
-    """New change records of (product_id, intent, created_at): pending, no attempts."""
+    """New change records of (product_id, intent, created_at): pending, no attempts. record_id is taken over, or made of the three."""
     none = F.lit(None)
+    record = F.col("record_id") if "record_id" in changes.columns else F.xxhash64("product_id", "intent", "created_at")
     return changes.select(
-        "product_id", "intent", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), "created_at", F.col("created_at").alias("updated_at"),
+        record.alias("record_id"), "product_id", "intent", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), "created_at", F.col("created_at").alias("updated_at"),
         none.cast("timestamp").alias("processed_at"), none.cast("timestamp").alias("backoff_until"), none.cast("string").alias("last_error"))
 
 
@@ -92,10 +93,14 @@ def read_product_changes(spark: SparkSession, root: str) -> tuple[DataFrame, Dat
     return spark.read.parquet(f"{root}/products/version={newest}"), changes.drop("version")
 
 
-def claim_state(outbox: DataFrame, results: DataFrame, as_of: str, backoff_seconds: int = 60) -> DataFrame:
-    """outbox after a batch: results (product_id, ok, error) end records as processed or send them back with a pause."""
+def claim_state(outbox: DataFrame, results: DataFrame, as_of: str, backoff_seconds: int = 60, key: str = "record_id") -> DataFrame:
+    """outbox after a batch: results (key, ok, error) end their records as processed or send them back with a pause.
+
+    One result touches one record, whatever other records its product has. Of several results for a record a success counts, else the least error.
+    """
     now = F.lit(as_of).cast("timestamp")
-    df = outbox.join(results.select("product_id", "ok", "error"), "product_id", "left")
+    once = results.groupBy(key).agg(F.max("ok").alias("ok"), F.min("error").alias("error"))
+    df = outbox.join(once, key, "left")
     touched = F.col("ok").isNotNull() & F.col("status").isin("pending", "processing")
     done, failed = touched & F.col("ok"), touched & ~F.col("ok")
     return df.withColumns({

@@ -16,7 +16,7 @@ _INTENTS = {"signup": "create", "view": "update", "click": "update", "error": "d
 
 def _changes(t: Tables) -> DataFrame:
     intent = F.create_map(*[F.lit(x) for kv in _INTENTS.items() for x in kv])[F.col("text")]
-    return t.traffic().select("product_id", F.coalesce(intent, F.lit("update")).alias("intent"), F.col("ts").alias("created_at"))
+    return t.traffic().select(F.col("event_id").alias("record_id"), "product_id", F.coalesce(intent, F.lit("update")).alias("intent"), F.col("ts").alias("created_at"))
 
 
 def _catalogue(t: Tables) -> DataFrame:
@@ -54,7 +54,7 @@ QUERIES = {
     "latest_intents": lambda t: C.latest_intents(_changes(t)),
     "fifo_batch": lambda t: C.fifo_batch(C.change_rows(_changes(t)), EVENTS_AS_OF, 10).select("product_id", "intent", "created_at"),
     "backoff_filter": lambda t: C.claimable(C.change_rows(_changes(t)).withColumn("backoff_until", F.when(F.col("product_id") % 2 == 0, F.lit("2024-02-01").cast("timestamp"))), EVENTS_AS_OF).groupBy("product_id").agg(F.count(F.lit(1)).alias("n")),
-    "claim_state": lambda t: C.claim_state(C.change_rows(_changes(t)), t.products().where("product_id < 60").select("product_id", (F.col("product_id") % 3 > 0).alias("ok"), F.lit("timeout").alias("error")), EVENTS_AS_OF).groupBy("status", "attempts", "last_error").agg(F.count(F.lit(1)).alias("n")),
+    "claim_state": lambda t: C.claim_state(C.change_rows(_changes(t)), _changes(t).where("product_id < 60").select("record_id", (F.col("product_id") % 3 > 0).alias("ok"), F.lit("timeout").alias("error")), EVENTS_AS_OF).groupBy("status", "attempts", "last_error").agg(F.count(F.lit(1)).alias("n")),
     "reset_stale": lambda t: C.reset_stale(C.change_rows(_changes(t)).withColumn("status", F.lit("processing")), "2024-01-15 00:00:00").groupBy("status").agg(F.count(F.lit(1)).alias("n")),
     "unindexed_products_anti": lambda t: C.backfill(t.products(), C.change_rows(_changes(t)).withColumn("status", F.when(F.col("product_id") % 2 == 0, "processed").otherwise(F.col("status"))), EVENTS_AS_OF).select("product_id", "intent", "status"),
     "embedded_changes": lambda t: S.embedded_changes(_changes(t), t.products())[0].select("product_id", "text"),

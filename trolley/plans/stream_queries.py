@@ -14,6 +14,7 @@ from trolley.plans import jobs
 from trolley.plans import model_queries as MQ
 from trolley.plans.bindings import AS_OF, EVENTS_AS_OF, Tables, with_tables
 from trolley.sources import tables as B
+from trolley.streaming import claims as K
 from trolley.streaming import streams as S
 
 
@@ -54,6 +55,31 @@ def _pending(t: Tables) -> DataFrame:
     return _collected(S.stream_outbox(t.spark, f"{out}/in"), out, "append")
 
 
+#: What is told of a record after its change, by its number modulo 6: kind and seconds after the change.
+TOLD = {1: (("claim", 60), ("ok", 120)), 2: (("claim", 60), ("failed", 120)), 3: (("claim", 60),), 4: (("claim", 60), ("failed", 120), ("claim", 150), ("claim", 240), ("ok", 300)), 5: (("claim", 60), ("claim", 400), ("failed", 420))}
+
+
+def _claims(t: Tables) -> DataFrame:
+    """Every event is a record; a last message long after the others makes all timers run out."""
+    out = B.scratch(t.spark, "claims")
+    changes = t.traffic().select(F.col("event_id").alias("record_id"), "product_id", "ts")
+    messages = changes.select("record_id", "product_id", F.lit("change").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.lit(None).cast("string").alias("error"))
+    for k, told in TOLD.items():
+        for kind, seconds in told:
+            some = changes.where(F.pmod("record_id", F.lit(6)) == k)
+            messages = messages.unionByName(some.select("record_id", "product_id", F.lit(kind).alias("kind"), (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.lit(seconds))).alias("at"), F.lit("timeout").alias("error")))
+    end = t.spark.range(1).select(F.lit(-1).cast("long").alias("record_id"), F.lit(-1).cast("long").alias("product_id"), F.lit("end").alias("kind"), (F.lit(EVENTS_AS_OF).cast("timestamp") + F.make_dt_interval(days=F.lit(30))).alias("at"), F.lit(None).cast("string").alias("error"))
+    kept = t.spark.conf.get(K.STATE_STORE[0], None)
+    t.spark.conf.set(*K.STATE_STORE)
+    try:
+        for batch in (messages, end):  # a run of the stream for each
+            batch.write.mode("append").parquet(f"{out}/live")
+            rows = _collected(K.stream_claims(t.spark.readStream.schema(K.MESSAGES).parquet(f"{out}/live")), out, "append")
+    finally:
+        t.spark.conf.set(K.STATE_STORE[0], kept) if kept else t.spark.conf.unset(K.STATE_STORE[0])
+    return rows
+
+
 def _deduplicated(t: Tables) -> DataFrame:
     out = B.scratch(t.spark, "dedup")
     keys = t.prices().select("product_id", "store_id", F.round(F.col("price_kes") / 10000).alias("price_kes"), "source", F.col("verified_at").cast("timestamp").alias("verified_at"))
@@ -146,6 +172,8 @@ QUERIES = {
     "stream_outbox": lambda t: _pending(t).groupBy("product_id", "intent").agg(F.count(F.lit(1)).alias("n")),
     "stream_embed_upsert": _embedded,
     "stream_dedup_live": _deduplicated,
+    "stream_claims": lambda t: K.current_records(_claims(t)).select("record_id", "product_id", "reason", "status", "attempts", "at", "last_error"),
+    "stream_claims_log": lambda t: _claims(t).groupBy("reason", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").cast("long").alias("attempts")),
     "stream_query_volume_live": _volume,
     "model_io": _scored,
     "maintenance_job": _maintained,
@@ -164,6 +192,15 @@ ORACLES = {
     "stream_outbox": with_tables(f"select product_id, {I._INTENT} as intent, count(*) as n from traffic group by all", "traffic"),
     "stream_embed_upsert": I.ORACLES["embedded_changes"],
     "stream_dedup_live": I.ORACLES["stream_dedup"],
+    "stream_claims": with_tables("""with m as (select event_id as record_id, product_id, event_id % 6 as m, ts from traffic)
+select record_id, product_id, (['created', 'processed', 'ready', 'reset', 'processed', 'ready'])[m + 1] as reason, (['pending', 'processed', 'pending', 'pending', 'processed', 'pending'])[m + 1] as status, cast(([0, 1, 1, 1, 2, 2])[m + 1] as int) as attempts,
+  ts + to_seconds(([0, 120, 180, 360, 300, 480])[m + 1]) as at, case when m in (2, 5) then 'timeout' end as last_error from m""", "traffic"),
+    "stream_claims_log": with_tables("""with m as (select event_id % 6 as m from traffic),
+r as (select m, unnest(case m when 0 then [['created', 'pending', '0']] when 1 then [['created', 'pending', '0'], ['claimed', 'processing', '1'], ['processed', 'processed', '1']]
+  when 2 then [['created', 'pending', '0'], ['claimed', 'processing', '1'], ['failed', 'pending', '1'], ['ready', 'pending', '1']] when 3 then [['created', 'pending', '0'], ['claimed', 'processing', '1'], ['reset', 'pending', '1']]
+  when 4 then [['created', 'pending', '0'], ['claimed', 'processing', '1'], ['failed', 'pending', '1'], ['ready', 'pending', '1'], ['claimed', 'processing', '2'], ['processed', 'processed', '2']]
+  else [['created', 'pending', '0'], ['claimed', 'processing', '1'], ['reset', 'pending', '1'], ['claimed', 'processing', '2'], ['failed', 'pending', '2'], ['ready', 'pending', '2']] end) as x from m)
+select x[1] as reason, x[2] as status, count(*) as n, cast(sum(cast(x[3] as int)) as bigint) as attempts from r group by all""", "traffic"),
     "stream_query_volume_live": with_tables("select date_trunc('hour', ts) as hour_start, count(*) as n from traffic group by all", "traffic"),
     "seed_job": with_tables("select 'prices' as part, count(*) as n from prices union all select 'products', count(*) from products union all select 'stores', count(*) from stores", "prices", "products", "stores"),
     "scan_products_json": with_tables("select name, case when product_id % 10 > 0 then category else ' ' end as category, brand, case when product_id % 10 > 0 then '' else 'category' end as reject_reason from products", "products"),
