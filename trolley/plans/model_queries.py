@@ -99,13 +99,16 @@ QUERIES = {
     "same_category_pairs": lambda t: G.same_category_pairs(_typed(t)),
     "substitute_pairs": lambda t: G.substitute_pairs(t.products().withColumn("category", F.concat_ws(" ", "category", "name"))),
     "size_variant_pairs": lambda t: G.size_variant_pairs(_typed(t)),
+    "same_category_links": lambda t: G.same_category_links(_typed(t)),
+    "substitute_links": lambda t: G.substitute_links(t.products().withColumn("category", F.concat_ws(" ", "category", "name"))),
+    "size_variant_links": lambda t: G.size_variant_links(_typed(t)).select("product_id", "members", "links"),
     "anchored_sessions": _sessions,
     "co_queried_pairs": lambda t: G.co_queried_pairs(_sessions(t), t.products()),
     "align_vectors": lambda t: G.align_vectors(t.products(), t.vectors(), 64).select("product_id", "known", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total")),
     "alignment_stats": lambda t: G.alignment_stats(t.products(), t.vectors()),
     "unmatched_vectors": lambda t: t.vectors().join(t.products(), "product_id", "left_anti").select("product_id"),
     "known_ids_intersection": lambda t: t.vectors().join(t.products(), "product_id", "left_semi").select("product_id"),
-    "graph_stats": lambda t: G.graph_stats(G.build_graph(_typed(t), _sessions(t))[1]),
+    "graph_stats": lambda t: G.graph_totals(_typed(t), _sessions(t)),
     "vector_stats": lambda t: t.vectors().agg(F.count(F.lit(1)).alias("points"), F.max(F.size("embedding")).cast("long").alias("dimension")),
     "review_stats": lambda t: U.review_stats(t.sellers(), t.reviews()).select("seller_id", "avg_rating", "review_count"),
     "credibility_score": lambda t: U.credibility_score(_sellers(t), t.reviews(), AS_OF).select("seller_id", "credibility_score"),
@@ -148,6 +151,9 @@ ORACLES = {
     "same_category_pairs": with_tables(f"with {_TYPED} select a.id as src, b.id as dst from typed a join typed b on a.key = b.key and a.id <> b.id", "products"),
     "substitute_pairs": with_tables("select a.product_id as src, b.product_id as dst from products a join products b on a.category = b.category and a.name = b.name and a.brand <> b.brand", "products"),
     "size_variant_pairs": with_tables(f"with {_TYPED} select a.id as src, b.id as dst from typed a join typed b on lower(a.name) = lower(b.name) and lower(a.brand) = lower(b.brand) and a.id <> b.id and a.size <> b.size", "products"),
+    "same_category_links": with_tables(f"with {_TYPED} select id as product_id, key as class, count(*) over (partition by key) as members, count(*) over (partition by key) - 1 as links from typed", "products"),
+    "substitute_links": with_tables("select product_id, category || ' ' || name as class, count(*) over (partition by category, name) as members, count(*) over (partition by category, name) - count(*) over (partition by category, name, brand) as links from products", "products"),
+    "size_variant_links": with_tables("select product_id, count(*) over (partition by lower(name), lower(brand)) as members, count(*) over (partition by lower(name), lower(brand)) - count(*) over (partition by lower(name), lower(brand), size) as links from products", "products"),
     "alignment_stats": with_tables("select count(*) filter (p.product_id is not null and v.product_id is not null) as aligned, count(*) filter (v.product_id is null) as without_vector, count(*) filter (p.product_id is null) as without_product from products p full join vectors v on p.product_id = v.product_id", "products", "vectors"),
     "unmatched_vectors": with_tables("select product_id from vectors where product_id not in (select product_id from products)", "products", "vectors"),
     "known_ids_intersection": with_tables("select product_id from vectors intersect select product_id from products", "products", "vectors"),

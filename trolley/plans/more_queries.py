@@ -24,11 +24,7 @@ from trolley.plans.bindings import AS_OF, EVENTS_AS_OF, Tables, with_tables
 
 
 def _report(t: Tables) -> DataFrame:
-    out = None
-    for name, df in R.trends_report(t.logs(), t.baskets(), t.log_items(), t.products(), AS_OF, 730).items():
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("analysis"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return R.report_rows(R.trends_report(t.logs(), t.log_items(), t.products(), AS_OF, 730))
 
 
 def _items(t: Tables) -> DataFrame:
@@ -103,3 +99,21 @@ ORACLES = {
     "backfill": with_tables(f"select product_id, 'backfill' as intent, 'pending' as status, timestamp '{EVENTS_AS_OF}' as created_at from products", "products"),
     "sweep": with_tables(f"select product_id, ts as created_at from traffic where product_id % 2 <> 0 or ts < timestamp '{EVENTS_AS_OF}' - interval 5 minute order by ts, product_id limit 10", "traffic"),
 }
+ORACLES["trends_report"] = with_tables(f"""with bounds as (select timestamp '{AS_OF}' - interval 730 day as a, timestamp '{AS_OF}' - interval 365 day as mid, timestamp '{AS_OF}' as z),
+recent as (select logs.* from logs, bounds where ts >= a),
+named as (select recent.town, recent.ts, product_id, name from recent join log_items using (log_id) join products using (product_id)),
+town as (select town, product_id, name, count(*) as c from named group by all),
+h as (select hour(ts) as hour, dayofweek(ts) as dow, count(*) as n from recent group by all),
+sizes as (select count(product_id) as k from recent left join log_items using (log_id) group by log_id),
+sized as (select k, count(*) as n from sizes group by k),
+season as (select dayofweek(ts) + 1 as dow, strftime(ts, '%U') as week, month(ts) as month, count(*) as n from recent group by all),
+prev as (select name as term, count(*) as p from named, bounds where ts < mid group by name order by p desc, term limit 50),
+cur as (select name as term, count(*) as c from named, bounds where ts >= mid and ts < z group by name order by c desc, term limit 50),
+g as (select coalesce(prev.term, cur.term) as term, coalesce(p, 0) as p, coalesce(c, 0) as c, case when coalesce(p, 0) > 0 then (coalesce(c, 0) - p) / p else 'inf'::double end as g from prev full join cur on prev.term = cur.term),
+l as (select *, case when g > 0.5 then 'up' when g < -0.3 then 'down' else 'stable' end as label from g where c >= 5),
+o as (select *, row_number() over (partition by label order by case label when 'up' then -g when 'down' then g else -(p + c) / 2 end, term) as rank from l)
+select 'top_products_by_town' as analysis, town || '|' || name as label, product_id as k, c as n, cast(row_number() over (partition by town order by c desc, product_id) as double) as value from town qualify value <= 20
+union all select 'query_volume_by_hour', '', hour, cast(sum(n) as bigint), round(avg(n), 4) from h group by hour
+union all select 'basket_size_distribution', case when k <= 2 then 'small' when k <= 5 then 'medium' else 'large' end, k, n, round(n * 100.0 / sum(n) over (), 2) from sized
+union all select 'seasonal_patterns', '', dow, cast(sum(n) as bigint), round(avg(n), 4) from season group by dow
+union all select 'search_term_trends', label || '|' || term, rank, c, case when isfinite(g) then round(g, 2) end from o where rank <= 20""", "logs", "log_items", "products")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from trolley.functions import scores as S
 from trolley.functions import text as X
 from trolley.operators import validate as V
+from trolley.functions import vocabulary as W
 from trolley.plans.bindings import AS_OF, Tables, with_tables
+from trolley.sources.tables import scratch
 
 WORDS = X.Vocabulary(brands=tuple(f"Brand#{i}" for i in range(1, 26)), categories=("ring", "small ring", "widget", "gear", "bolt", "nut"))
 RAW_UNITS = ("kgs", "ml", "Litres", "grams", "pcs")
@@ -29,6 +31,16 @@ def _attributes(t: Tables) -> DataFrame:
     return X.with_attributes(titles(t).select("product_id", "title"), "title", WORDS)
 
 
+def _loaded(t: Tables) -> DataFrame:
+    """A vocabulary file of all brands, names and last words of names of the products, read back."""
+    last = F.element_at(F.split("name", " "), -1)
+    rows = t.products().select(F.lit("brand").alias("kind"), F.col("brand").alias("term")).union(t.products().select(F.lit("category"), F.initcap("name"))).union(t.products().select(F.lit("category"), last))
+    rows = rows.distinct().withColumn("rank", F.length("term").cast("long"))
+    out = scratch(t.spark, "vocabulary")
+    rows.write.json(out)
+    return W.scan_vocabulary(t.spark, out)
+
+
 def _canonical(t: Tables) -> DataFrame:
     df = _attributes(t)
     return df.select("product_id", "title", X.canonical_product({c: F.col(c) for c in df.columns}, F.col("title"), WORDS).alias("p")).select("product_id", "title", "p.*")
@@ -87,6 +99,9 @@ QUERIES = {
     "extract_brand": lambda t: titles(t).select("product_id", X.extract_brand(F.col("title"), WORDS.brands).alias("brand")),
     "extract_category": lambda t: titles(t).select("product_id", X.extract_category(F.col("title"), WORDS.categories).alias("c")).select("product_id", "c.category"),
     "extract_colour": lambda t: titles(t).select("product_id", X.first_contained(F.col("title"), WORDS.colours).alias("colour"), X.first_contained(F.col("title"), WORDS.packages).alias("package_type")),
+    "vocabulary_terms": lambda t: W.find_terms(titles(t), "product_id", "title", _loaded(t)).select("product_id", "kind", "term", "start"),
+    "vocabulary_brand_category": lambda t: W.brand_and_category(titles(t), "product_id", "title", _loaded(t)),
+    "vocabulary_in_documents": lambda t: W.find_terms(t.raw("documents"), "doc_id", "text", W.vocabulary(t.raw("benchmark").select(F.lit("item").alias("kind"), F.substring_index("text", " ", 2).alias("term"), F.col("item_id").alias("rank")))).groupBy("term").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("doc_id").alias("documents")),
     "extract_attributes": lambda t: _attributes(t).drop("title"),
     "canonical_product": _canonical,
     "generate_aliases": lambda t: _aliases(t).select("product_id", F.array_join("aliases", "|").alias("aliases")),
@@ -208,3 +223,7 @@ ORACLES["parse_query"] = with_tables(f"""with {_TITLES} select product_id, title
   case when {_KIND} is null then name when name = 'small ring' then '' else split_part(name, ' ', 1) end as keywords from titles""", "products")
 ORACLES["normalize_query_vs_product"] = f"""select item_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\\pL\\pN_\\s]', '', 'g'), '\\s+'),
   lambda w: w <> '' and not list_contains({_sql_list(X.STOPWORDS)}, w)), ' ') as normal from benchmark"""
+_VOCABULARY = f"""{_TITLES}, words as (select distinct 'brand' as kind, lower(brand) as term from products union select 'category', lower(name) from products union select 'category', split_part(lower(name), ' ', -1) from products),
+hits as (select t.product_id, kind, term, position(term in lower(title)) - 1 as start from titles t join words on regexp_matches(lower(title), '(^|[^a-z0-9_])' || term || '($|[^a-z0-9_])'))"""
+ORACLES["vocabulary_terms"] = with_tables(f"with {_VOCABULARY} select * from hits", "products")
+ORACLES["vocabulary_brand_category"] = with_tables(f"with {_VOCABULARY} select product_id, lower(brand) as brand, lower(name) as category, null::varchar as subcategory from titles", "products")
