@@ -34,7 +34,7 @@ def test_index_loses_nothing(spark, threshold, alphabet):
     asked, term = F.col("asked"), F.col("term")
     score = S.combined_match_score(S.string_similarity(asked, term), S.phonetic_score(asked, term), asked == term, F.lit(False))
     want = {(r.asked, r.term) for r in q.crossJoin(t).where(score >= threshold).collect()}
-    found = fuzzy.candidates(q, t, threshold, S.phonetic_code)
+    found = fuzzy.candidates(q.withColumn("asked_sounds", S.sounds(asked)), t.withColumn("term_sounds", S.sounds(term)), threshold, 2)
     got = {(r.asked, r.term) for r in found.collect()}
     assert want <= got and len(want) > 100
     silent = {(r.asked, r.term) for r in q.crossJoin(t).where((score >= threshold) & (S.phonetic_score(asked, term) == 0)).collect()}

@@ -28,14 +28,73 @@ def string_similarity(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(n, F.lit(0)) == 0) | (F.coalesce(m, F.lit(0)) == 0), 0.0).otherwise(score)
 
 
-def phonetic_code(text: Column) -> Column:
-    """What texts that sound alike have in common."""
-    return F.soundex(text)
+#: Letters that sound the same wherever they stand, but for the contexts below.
+_PLAIN = {"b": "B", "c": "K", "d": "T", "f": "F", "g": "K", "j": "J", "k": "K", "l": "L", "m": "M", "n": "N", "p": "P", "q": "K", "r": "R", "s": "S", "t": "T", "v": "F", "x": "KS", "z": "S"}
+_VOWELS = ("a", "e", "i", "o", "u")
+
+
+def metaphone(text: Column) -> Column:
+    """The Metaphone code of a text, its words apart by spaces: each letter is coded by the two letters on either side of it.
+
+    A first letter that is silent is dropped; of a doubled letter (but c) the last one counts; vowels count only at the start of a word.
+    What isn't a letter from a to z is silent.
+    """
+    low = F.regexp_replace(F.lower(text), "^(?:(?=kn|gn|pn|wr)[kgpw]|a(?=e))", "")
+    letters = F.split(low, "")
+    n = F.size(letters)
+    moved = lambda k: F.concat(F.array_repeat(F.lit(""), k), F.slice(letters, 1, F.greatest(n - k, F.lit(0))))
+    ahead = lambda k: F.slice(letters, k + 1, F.greatest(n - k, F.lit(0)))
+    places = F.arrays_zip(letters.alias("c"), moved(1).alias("b"), moved(2).alias("bb"), ahead(1).alias("d"), ahead(2).alias("dd"))
+    coded = F.transform(F.filter(places, lambda z: z["c"].isNotNull()), _sound)
+    return F.trim(F.regexp_replace(F.array_join(coded, ""), " +", " "))
+
+
+def _sound(z: Column) -> Column:
+    """The code of one letter: c, with b and bb before it and d and dd after it (empty or null beyond the ends)."""
+    c, b, bb = z["c"], z["b"], z["bb"]
+    d, dd = F.coalesce(z["d"], F.lit("")), F.coalesce(z["dd"], F.lit(""))
+    first, soft = b == "", ("i", "e", "y")
+    shun = (d == "i") & dd.isin("o", "a")
+    rules = (
+        ("every", (c == d) & (c != "c"), ""),
+        ("aeiou", first | (b == " "), F.upper(c)), ("aeiou", F.lit(True), ""),
+        ("c", (d == "h") | (d == "i") & (dd == "a"), "X"), ("c", d.isin(*soft), "S"),
+        ("d", (d == "g") & dd.isin(*soft), "J"),
+        ("g", (b == "d") & d.isin(*soft), ""), ("g", d.isin(*soft), "J"), ("g", (d == "h") & ~dd.isin(*_VOWELS), ""),
+        ("h", b.isin("c", "p", "s", "t") | (b == "g") & ~d.isin(*_VOWELS) | (b == "w") & (bb == ""), ""), ("h", first | d.isin(*_VOWELS) | ~b.isin(*_VOWELS), "H"), ("h", F.lit(True), ""),
+        ("k", b == "c", ""), ("p", d == "h", "F"), ("s", (d == "h") | shun, "X"),
+        ("t", shun, "X"), ("t", d == "h", "0"), ("t", (d == "c") & (dd == "h"), ""),
+        ("w", d.isin(*_VOWELS) | first & (d == "h"), "W"), ("w", F.lit(True), ""),
+        ("x", first & ((d == "h") | shun), "X"), ("x", first, "S"),
+        ("y", (b == "c") | (b == "g") & (bb == "d"), ""), ("y", d.isin(*_VOWELS), "Y"), ("y", F.lit(True), ""), (" ", F.lit(True), " "))
+    out = None
+    for letters, when, code in rules:
+        test = when if letters == "every" else c.isin(*letters) & when
+        code = code if isinstance(code, Column) else F.lit(code)
+        out = F.when(test, code) if out is None else out.when(test, code)
+    for letter, code in _PLAIN.items():
+        out = out.when(c == letter, F.lit(code))
+    return out.otherwise(F.lit(""))
+
+
+#: What texts that sound alike may have in common.
+PHONETIC_CODES = (F.soundex, metaphone)
+
+
+def sounds(text: Column) -> Column:
+    """The phonetic codes of a text, to be worked out once for each text where many pairs are scored."""
+    return F.array(*[code(text) for code in PHONETIC_CODES])
+
+
+def same_sounds(a: Column, b: Column) -> Column:
+    """The share of the codes that are the same."""
+    same = [F.coalesce((F.get(a, F.lit(i)) == F.get(b, F.lit(i))).cast("double"), F.lit(0.0)) for i in range(len(PHONETIC_CODES))]
+    return sum(same[1:], same[0]) / len(same)
 
 
 def phonetic_score(a: Column, b: Column) -> Column:
-    """1 where the words sound alike by Soundex, else 0."""
-    return F.when((a == "") | (b == ""), 0.0).otherwise(F.coalesce((phonetic_code(a) == phonetic_code(b)).cast("double"), F.lit(0.0)))
+    """The mean of whether the texts have the same Soundex and the same Metaphone code."""
+    return F.when((a == "") | (b == ""), 0.0).otherwise(same_sounds(sounds(a), sounds(b)))
 
 
 def combined_match_score(similarity: Column, phonetic: Column, exact: Column, alias: Column) -> Column:

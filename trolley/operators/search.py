@@ -13,6 +13,7 @@ from trolley.operators import fuzzy
 from trolley.operators import vectors as nearest
 from trolley.operators.anomaly import embed_text
 from trolley.operators.windows import best_per_key, top_n_per_group
+from trolley.sources.tables import stored
 
 
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 50, block_rows: int = 1024, threshold: float = -1.0) -> DataFrame:
@@ -38,12 +39,17 @@ def fuzzy_cross_match(queries: DataFrame, terms: DataFrame, threshold: float = 0
     Exact. Different query texts meet different terms by shared keys (`fuzzy.candidates`). Thresholds below about 0.56 leave no key that all
     matches share; there, queries go to the terms in blocks of block_rows, each block one pass over the terms.
     """
+    asked, term = F.col("asked"), F.col("term")
     q = queries.select(F.lower(F.trim("text")).alias("asked")).where(F.length("asked") > 0).distinct()
     t = terms.select("term").where(F.length("term") > 0).distinct()
-    asked, term = F.col("asked"), F.col("term")
-    score = S.combined_match_score(S.string_similarity(asked, term), S.phonetic_score(asked, term), asked == term, F.lit(False))
-    pairs = fuzzy.candidates(q, t, threshold, S.phonetic_code) if fuzzy.indexed(threshold) else _all_pairs(q, t, threshold, block_rows)
-    good = pairs.withColumn("score", score).where(F.col("score") >= threshold)
+    q = stored(q.withColumn("asked_sounds", S.sounds(asked)), "asked")
+    t = stored(t.withColumn("term_sounds", S.sounds(term)), "terms")
+    if fuzzy.indexed(threshold):
+        pairs = fuzzy.candidates(q, t, threshold, len(S.PHONETIC_CODES)).join(q, "asked").join(t, "term")
+    else:
+        pairs = _all_pairs(q, t, threshold, block_rows)
+    score = S.combined_match_score(S.string_similarity(asked, term), S.same_sounds(F.col("asked_sounds"), F.col("term_sounds")), asked == term, F.lit(False))
+    good = pairs.withColumn("score", score).where(F.col("score") >= threshold).select("asked", "term", "score")
     full = queries.select("query_id", F.lower(F.trim("text")).alias("asked")).join(good, "asked").join(terms, "term")
     return best_per_key(full, ["query_id", "product_id"], [F.col("score").desc(), "term", "term_type"]).select("query_id", "product_id", "score", F.col("term").alias("matched_term"), F.col("term_type").alias("match_type"))
 
