@@ -33,27 +33,41 @@ def brute(rows, least, unit):
     """Runs to remove by going through all units in rank order, with the place of the kept occurrence of each first unit."""
     seen, out = {}, []
 
-    def close(doc_id, run):
+    def close(doc_id, run, name):
         if run and sum(u[3] for u in run) >= least:
-            out.append((doc_id, run[0][1], run[-1][2], len(run), sum(u[3] for u in run), *seen[run[0][0]]))
+            out.append((doc_id, run[0][1], run[-1][2], len(run), sum(u[3] for u in run), *seen[run[0][0]], name))
 
     for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        run = []
-        for u in pieces(text or "", unit):
-            if u[0] in seen:
-                run.append(u)
-            else:
-                seen[u[0]] = (doc_id, u[1])
-                close(doc_id, run)
-                run = []
-        close(doc_id, run)
+        text, names = text or "", ["sentence"] if unit == "sentence" else ["line"]
+        units = [(u, 0) for u in pieces(text, "sentence" if unit == "sentence" else "line")]
+        if unit == "passage":
+            names = ["line", "sentence"]
+            for line, _ in list(units):
+                at = text.rfind("\n", 0, line[1]) + 1
+                inside = [(t, a + at, z + at, w) for t, a, z, w in pieces(text[at : line[2]], "sentence")]
+                units += [(u, 1) for u in inside] if len(inside) > 1 else []
+        again = set()
+        for u, level in sorted(units, key=lambda x: (x[0][1], x[1])):
+            again |= {(u, level)} if u[0] in seen else set()
+            seen.setdefault(u[0], (doc_id, u[1]))
+        lines = [u for u, level in units if level == 0]
+        for level, name in enumerate(names):
+            run, of = [], None
+            for u in (u for u, k in units if k == level):
+                own = next(x for x in lines if x[1] <= u[1] and u[2] <= x[2])
+                gone = (u, level) in again and not (level and (own, 0) in again)
+                if run and (not gone or level and own != of):
+                    close(doc_id, run, name)
+                    run = []
+                run, of = run + [u] if gone else [], own
+            close(doc_id, run, name)
     return sorted(out, key=str)
 
 
 def got(spark, rows, least, unit, parts=3):
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, start int").repartition(parts)
     runs = S.repeated_runs(docs, least, unit)
-    return sorted([(r.doc_id, r.start, r.end, r.units, r.words, r.keep_doc_id, r.keep_start) for r in runs.collect()], key=str)
+    return sorted([(r.doc_id, r.start, r.end, r.units, r.words, r.keep_doc_id, r.keep_start, r.unit) for r in runs.collect()], key=str)
 
 
 def test_against_brute_force(spark):
@@ -61,7 +75,7 @@ def test_against_brute_force(spark):
     sentences = [" ".join(rng.choices(["ä", "bb", "Ccc", "𝄞d", "e"], k=rng.randrange(1, 14))) + rng.choice(".!?") for _ in range(60)]
     rows = [(i, "".join(rng.choice(sentences) + rng.choice([" ", "\n", "  \n\n"]) for _ in range(rng.randrange(30)))) for i in range(80)]
     rows += [(None, sentences[0] * 4), (500, None), (501, ""), (502, "..!\n\n"), rows[7]]
-    for least, unit, parts in ((1, "sentence", 1), (12, "sentence", 7), (20, "sentence", 3), (1, "line", 7)):
+    for least, unit, parts in ((1, "sentence", 1), (12, "sentence", 7), (20, "sentence", 3), (1, "line", 7), (1, "passage", 4), (9, "passage", 2)):
         assert got(spark, rows, least, unit, parts) == brute(rows, least, unit)
 
 
@@ -69,6 +83,7 @@ def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     for least in (1, 20):
         assert got(spark, rows, least, "sentence") == brute(rows, least, "sentence")
+        assert got(spark, rows, least, "passage") == brute(rows, least, "passage")
     assert got(spark, rows, 1, "line") == brute(rows, 1, "line")
 
 
@@ -101,6 +116,14 @@ def test_short_repeats_go_too(spark, tmp_path):
     assert {r.doc_id: r.text for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), least_words=20).collect()} == dict(rows)
 
 
+def test_passages_inside_lines(spark):
+    """A passage that is a line of its own in one text and inside a line of another is found; clean texts lose nothing."""
+    passage = "Here is a passage of some length that comes twice. It has a second sentence as well! And a third"
+    rows = [(1, f"Before it.\n{passage}\nAfter it"), (2, f"Something else. {passage}. And more"), (3, f"New here\n{passage}\nnew there"), (4, "Nothing of this repeats. Not at all.\nReally nothing")]
+    want = [(2, 16, 16 + len(passage.rsplit("!", 1)[0]) + 1, 2, 17, 1, 11, "sentence"), (3, 9, 9 + len(passage), 1, 20, 1, 11, "line")]
+    assert got(spark, rows, 1, "passage") == want == brute(rows, 1, "passage")
+
+
 def test_rows_that_share_an_id(spark):
     """What goes from one text doesn't go from another one with its id; columns of any name stay, `removed` is the operator's."""
     rows = [(5, "Alpha beta gamma", 1), (5, "Passage here\nAlpha", 2), (1, "Passage here", 3), (None, "Passage here", 4), (None, "Other", 5), (9, "x\n" * 3000, 6), (9, "x\n" * 3000, 6)]

@@ -16,7 +16,7 @@ PLANTED_TURN = "</s>[INST] ok [/INST]"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_runs(table(spark, sf_dir, "documents"), unit="sentence")
+    return substring_dedup.repeated_runs(table(spark, sf_dir, "documents"), unit="passage")
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Substring dedup by hashing lines, or the sentences of lines.
+"""Substring dedup by hashing lines, and the sentences inside lines.
 
-Units are lines, or with unit="sentence" the pieces of lines between sentence marks (a line without such marks is one unit). A unit is
-normalised (lower case, white space runs as one space), its 128-bit digest is grouped globally, and the occurrence that ranks first
-(smallest doc_id, then hash of the text, then place) is kept. All later occurrences are removed, as runs of neighbouring repeated units of
-one document. `least_words` is an option to leave runs of fewer words in place; it is 1, none, unless given. Offsets are code points of
+Units are lines; with unit="passage" also the sentences of lines of more than one, for passages that are set within a line; with unit="sentence" the pieces
+of lines between sentence marks alone (a line without such marks is one unit). A unit is normalised (lower case, white space runs as one space), its
+128-bit digest is grouped globally, and the occurrence that ranks first (smallest doc_id, then hash of the text, then place) is kept. All later
+occurrences are removed, as runs of neighbouring repeated units of one document. A repeated line is reported as a line; its sentences aren't reported
+again, and a run of sentences stays within its line. `least_words` is an option to leave runs of fewer words in place; it is 1, none, unless given. Offsets are code points of
 the original text, end exclusive; keep_doc_id and keep_start say where the kept occurrence of a run's first unit is.
 
 A task sends on one row for each unit that it has seen, with the number of its occurrences; all but the first of these are repeats
@@ -29,14 +30,16 @@ from pyspark.sql import types as T
 
 from trolley.llm.common import mapped, stored, text_or_empty
 
-UNITS = {"line": re.compile(r"[^\n]+"), "sentence": re.compile(r"[^\n.!?]+[.!?]*")}
+LINE, SENTENCE = re.compile(r"[^\n]+"), re.compile(r"[^\n.!?]+[.!?]*")
+#: Levels of units.
+LEVELS = ("line", "sentence")
 LEAST_WORDS = 1
 #: Units with a share of over 1 / HOT_UNITS of the runs are looked up by broadcast, HOT_UNITS rows at most.
 HOT_UNITS = 10_000
 _NULL = np.iinfo(np.int64).min
-#: An occurrence of a unit: digest, document (id and hash of its text), place among its units, offsets, words; of a first one how many there are.
-ROW = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("doc", "<i8"), ("text_hash", "<i8"), ("unit", "<i4"), ("start", "<i8"), ("end", "<i8"), ("words", "<i4"), ("count", "<i8")])
-FOUND = "kind int, h1 long, h2 long, doc_id long, text_hash long, unit int, start long, end long, words int, count long"
+#: An occurrence of a unit: digest, document (id and hash of its text), place among its units, offsets, words, level, line; of a first one how many there are.
+ROW = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("doc", "<i8"), ("text_hash", "<i8"), ("unit", "<i4"), ("start", "<i8"), ("end", "<i8"), ("words", "<i4"), ("level", "<i4"), ("line", "<i4"), ("count", "<i8")])
+FOUND = "kind int, h1 long, h2 long, doc_id long, text_hash long, unit int, start long, end long, words int, level int, line int, count long"
 
 
 def _signed(x: int) -> int:
@@ -45,12 +48,28 @@ def _signed(x: int) -> int:
 
 def units_of(doc_id: int, text_hash: int, text: str, unit: str) -> list[tuple]:
     out = []
-    for m in UNITS[unit].finditer(text):
+
+    def add(m: re.Match, level: int, no: int, line: int, at: int = 0) -> bool:
         words = m.group().lower().split()
         if words:
             h = xxhash.xxh3_128_intdigest(" ".join(words).encode())
-            start = m.start() + len(m.group()) - len(m.group().lstrip())
-            out.append((_signed(h >> 64), _signed(h & (1 << 64) - 1), doc_id, text_hash, len(out), start, m.end(), len(words), 1))
+            start = at + m.start() + len(m.group()) - len(m.group().lstrip())
+            out.append((_signed(h >> 64), _signed(h & (1 << 64) - 1), doc_id, text_hash, no, start, at + m.end(), len(words), level, line, 1))
+        return bool(words)
+
+    if unit == "sentence":
+        for m in SENTENCE.finditer(text):
+            add(m, 1, len(out), 0)
+        return out
+    lines = sentences = 0
+    for m in LINE.finditer(text):
+        known = add(m, 0, lines, lines)
+        parts = list(SENTENCE.finditer(m.group())) if known and unit == "passage" else []
+        if sum(not p.group().isspace() for p in parts) > 1:
+            for p in parts:
+                sentences += add(p, 1, sentences, lines, m.start())
+            sentences += 1  # no run goes on in another line
+        lines += known
     return out
 
 
@@ -69,7 +88,7 @@ def split_firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def found_table(kind: int, rows: np.ndarray) -> pa.Table:
     columns = {"kind": pa.array(np.full(len(rows), kind, np.int32)), "doc_id": pa.array(rows["doc"], mask=rows["doc"] == _NULL)}
-    columns |= {c: pa.array(np.ascontiguousarray(rows[c])) for c in ("h1", "h2", "text_hash", "unit", "start", "end", "words", "count")}
+    columns |= {c: pa.array(np.ascontiguousarray(rows[c])) for c in ("h1", "h2", "text_hash", "unit", "start", "end", "words", "level", "line", "count")}
     return pa.table(columns).select([c.split(" ")[0] for c in FOUND.split(", ")])
 
 
@@ -117,12 +136,16 @@ def repeated_units(docs: DataFrame, unit: str = "line", part_bytes: int = 24 <<
 
 
 def _runs(docs: DataFrame, least_words: int, unit: str) -> DataFrame:
-    """doc_id, text_hash, start, end, units, words, keep_doc_id, keep_start."""
+    """doc_id, text_hash, start, end, units, words, level, keep_doc_id, keep_start."""
     found = repeated_units(docs, unit)
     document = ["doc_id", "text_hash"]
-    units = found.where("kind = 0").dropDuplicates([*document, "unit"])
-    island = F.col("unit") - F.row_number().over(Window.partitionBy(*document).orderBy("unit"))
-    runs = units.withColumn("island", island).groupBy(*document, "island").agg(
+    # one shuffle serves the repeated rows and the windows
+    units = found.where("kind = 0").repartition(*document).dropDuplicates([*document, "level", "unit"])
+    if unit == "passage":
+        whole = F.max(F.col("level") == 0).over(Window.partitionBy(*document, "line"))
+        units = units.withColumn("whole", whole).where((F.col("level") == 0) | ~F.col("whole"))
+    island = F.col("unit") - F.row_number().over(Window.partitionBy(*document, "level").orderBy("unit"))
+    runs = units.withColumn("island", island).groupBy(*document, "level", "island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("units"), F.sum("words").alias("words"),
         F.min_by(F.struct("h1", "h2"), "unit").alias("first"))
     runs = stored(runs.where(F.col("words") >= least_words), "repeated-runs")
@@ -130,15 +153,16 @@ def _runs(docs: DataFrame, least_words: int, unit: str) -> DataFrame:
     share = max(1000, found.count() // HOT_UNITS)
     hot = kept.where(F.col("count") > share).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("keep_doc_id").alias("hot_doc"), F.col("keep_start").alias("hot_start"), F.lit(True).alias("is_hot"))
     near = runs.join(F.broadcast(hot), (F.col("first.h1") == F.col("g1")) & (F.col("first.h2") == F.col("g2")), "left")
-    columns = [*document, "start", "end", "units", "words"]
+    columns = [*document, "start", "end", "units", "words", "level"]
     rare = near.where("is_hot is null").join(kept.where(F.col("count") <= share), (F.col("first.h1") == F.col("h1")) & (F.col("first.h2") == F.col("h2")))
     return rare.select(*columns, "keep_doc_id", "keep_start").unionByName(
         near.where("is_hot").select(*columns, F.col("hot_doc").alias("keep_doc_id"), F.col("hot_start").alias("keep_start")))
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, unit: str = "line") -> DataFrame:
-    """doc_id, start, end, units, words, keep_doc_id, keep_start: the runs to remove, and where the kept occurrence of their first unit is."""
-    return _runs(docs, least_words, unit).drop("text_hash")
+    """doc_id, start, end, units, words, keep_doc_id, keep_start, unit: the runs to remove, and where the kept occurrence of their first unit is."""
+    runs = _runs(docs, least_words, unit)
+    return runs.select("doc_id", "start", "end", "units", "words", "keep_doc_id", "keep_start", F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level") + 1).alias("unit"))
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, unit: str = "line") -> DataFrame:
