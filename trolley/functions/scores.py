@@ -133,6 +133,11 @@ def final_score(parts: Mapping[str, Column], weights: Mapping[str, float] = WEIG
     return out
 
 
+def reranked(score: Column, cutoff: float = 0.6) -> Column:
+    """A rerank score, null below the cut-off: such a candidate is no match."""
+    return F.when(score >= cutoff, score)
+
+
 def fuzzy_rerank_score(a: Column, b: Column) -> Column:
     """The larger of plain and token-sorted edit similarity, 0 to 1; word order and repeats don't matter for the second."""
     sort = lambda c: F.array_join(F.array_sort(F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))), " ")

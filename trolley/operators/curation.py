@@ -11,7 +11,7 @@ from trolley.operators.windows import best_per_key
 def category_suggestions(products: DataFrame, dictionary: DataFrame) -> DataFrame:
     """For products of category "general": the category of the longest dictionary word in the name.
 
-    dictionary: word, suggested. It is a word list and goes to all tasks; words are looked up by the name's tokens.
+    dictionary: word, suggested. Words are looked up by the name's tokens, in a join that Spark chooses by their sizes.
     """
     tokens = products.where(F.lower("category") == "general").select("product_id", F.explode(F.split(F.lower("name"), r"\s+")).alias("word"))
     hit = best_per_key(tokens.join(dictionary, "word"), ["product_id"], [F.length("word").desc(), "word"]).select("product_id", F.col("suggested").alias("suggested_category"))

@@ -168,8 +168,9 @@ def lag_join(series: DataFrame, product: str, store: str, max_lag_points: int =
 def lead_lag(series: DataFrame, product: str, store: str, max_lag_points: int = 10, least: int = 10, weakest: float = 0.1) -> DataFrame:
     """The lag of the largest absolute correlation for each pair of stores; a positive lag means that store_a leads.
 
-    Weaker than `weakest`: no row.
+    Weaker than `weakest`: no row. The series are written once, as pairs and both sides of the join read them.
     """
+    series = stored(series, "series")
     each = _corr(lag_join(series, product, store, max_lag_points, least).groupBy(product, "store_a", "store_b", "lag"), least)
     best = each.groupBy(product, "store_a", "store_b").agg(
         F.max(F.struct(F.abs("correlation").alias("strength"), (-F.abs("lag")).alias("near"), "lag", "correlation")).alias("b"),
@@ -189,6 +190,12 @@ def recommendation_details(similar: DataFrame, products: DataFrame) -> DataFrame
     return similar.join(products.select(F.col("product_id").alias("item_b"), "name", "brand", "category"), "item_b")
 
 
+def reason_texts(similarity: DataFrame, n: int = 2) -> DataFrame:
+    """item_a and the reason for recommending it: its n most similar items, best first."""
+    top = similar_products(similarity, n).groupBy("item_a").agg(F.array_sort(F.collect_list(F.struct("rank", "item_b"))).alias("why"))  # n rows an item
+    return top.select("item_a", F.array_join(F.transform("why", lambda w: F.concat(F.lit("Users who viewed "), w["item_b"].cast("string"))), "; ").alias("reason"))
+
+
 def train_guard(rows: DataFrame, least: int, part: str) -> DataFrame:
     """One row: the part, its number of rows and whether they are enough to train on."""
     return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "n", (F.col("n") >= least).alias("enough"))

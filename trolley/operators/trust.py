@@ -50,8 +50,35 @@ def flag_sellers(sellers: DataFrame, bursts: DataFrame, as_of: str) -> DataFrame
     return marked.withColumns({"is_flagged": hit, "flag_reason": F.when(hit, "review burst"), "flagged_at": F.when(hit, F.lit(as_of).cast("timestamp"))}).drop("_burst")
 
 
+def visible_sellers(sellers: DataFrame) -> DataFrame:
+    """Verified sellers who want to be found and aren't banned."""
+    return sellers.where((F.col("verification_status") == "verified") & F.col("opted_in_visible") & ~F.coalesce("is_banned", F.lit(False)))
+
+
+def find_sellers(sellers: DataFrame, term: str | None = None, town: str | None = None, category: str | None = None, k: int = 10) -> DataFrame:
+    """The k most credible visible sellers whose name or description holds the term or who sell it, in towns that hold `town`, who sell `category`."""
+    found = visible_sellers(sellers)
+    holds = lambda c, text: F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
+    sells = lambda what: F.coalesce(F.array_contains("categories", what), F.lit(False))
+    if term:
+        found = found.where(holds("display_name", term) | holds("description", term) | sells(term))
+    if town:
+        found = found.where(holds("town", town))
+    if category:
+        found = found.where(sells(category))
+    return _most_credible(found, k)
+
+
+def open_requests(requests: DataFrame, as_of: str) -> DataFrame:
+    """Pending chat requests whose time hasn't run out."""
+    return requests.where((F.col("status") == "pending") & (F.col("expires_at") > F.lit(as_of).cast("timestamp")))
+
+
 def seller_topk(sellers: DataFrame, term: str, k: int = 10) -> DataFrame:
-    found = sellers.where(F.lower("display_name").contains(term.lower()) | (F.lower("town") == term.lower()))
+    return _most_credible(sellers.where(F.lower("display_name").contains(term.lower()) | (F.lower("town") == term.lower())), k)
+
+
+def _most_credible(found: DataFrame, k: int) -> DataFrame:
     best = found.orderBy(F.col("credibility_score").desc(), "seller_id").limit(k)
     return assign_rank(best, [F.col("credibility_score").desc(), "seller_id"], rank="position")
 

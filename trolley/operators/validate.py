@@ -80,6 +80,15 @@ SCHEMA_RULES: Mapping[str, Sequence[tuple[str, str]]] = {
     "stores": (("latitude", "gps_latitude not between -90 and 90"), ("longitude", "gps_longitude not between -180 and 180")),
     "prices": (("price", "price_kes is null or price_kes <= 0"), ("price places", "abs(price_kes * 100 - round(price_kes * 100)) > 0.000001")),
     "reviews": (("rating", "rating is null or rating not between 1 and 5"),),
+    "sellers": (
+        ("seller id", "telegram_user_id is null or telegram_user_id <= 0"), ("town", "town is null or length(trim(town)) = 0"),
+        ("verification status", "verification_status is null or verification_status not in ('pending', 'verified', 'rejected')")),
+    "chat_requests": (
+        ("buyer id", "buyer_user_id is null or buyer_user_id <= 0"), ("status", "status is null or status not in ('pending', 'accepted', 'declined', 'expired')"),
+        ("message length", "length(buyer_message) > 500"), ("expiry", "expires_at is null or expires_at < created_at")),
+    "chat_sessions": (
+        ("buyer id", "buyer_user_id is null or buyer_user_id <= 0"), ("seller id", "grocer_telegram_user_id is null or grocer_telegram_user_id <= 0"),
+        ("status", "status is null or status not in ('active', 'ended_by_buyer', 'ended_by_grocer', 'expired')")),
     "chat_messages": (("text", "text is null or length(trim(text)) = 0"), ("role", "role not in ('user', 'assistant', 'system')"), ("turn", "turn < 0")),
 }
 

@@ -27,6 +27,28 @@ def _report(t: Tables) -> DataFrame:
     return R.report_rows(R.trends_report(t.logs(), t.log_items(), t.products(), AS_OF, 730))
 
 
+def _shown_sellers(t: Tables) -> DataFrame:
+    """Sellers with scores, of which some hide, are banned or have no description."""
+    n = F.col("seller_id")
+    return U.credibility_score(MQ._sellers(t), t.reviews(), AS_OF).withColumns({
+        "opted_in_visible": n % 4 > 0, "is_banned": F.when(n % 11 == 0, True), "description": F.when(n % 2 == 0, F.concat(F.lit("A Supplier in "), F.col("town"))),
+        "display_name": F.when(n % 3 == 0, F.concat(F.lit("Shop "), n.cast("string"))).otherwise(F.col("display_name")), "categories": F.when(n % 5 > 0, F.array(F.lit("milk"), F.lit("bread")))})
+
+
+def _requests(t: Tables) -> DataFrame:
+    """Chat requests from the events; they run out after ten minutes, some never began."""
+    n = F.col("event_id")
+    return t.traffic().select(
+        n.alias("request_id"), F.when(n % 9 > 0, F.col("user_id")).otherwise(0).alias("buyer_user_id"), F.element_at(F.array(*map(F.lit, ("pending", "accepted", "declined", "expired", "lost"))), (n % 5 + 1).cast("int")).alias("status"),
+        F.when(n % 6 == 0, F.repeat(F.lit("x"), 501)).alias("buyer_message"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("ts").cast("timestamp") + F.make_dt_interval(mins=F.when(n % 8 > 0, 10).otherwise(-1))).alias("expires_at"))
+
+
+def _recent_reviews(t: Tables) -> DataFrame:
+    """The last month's reviews moved into the last week, each by a reviewer of its own for two sellers of three."""
+    moved = t.reviews().where(F.col("created_at") >= "2001-08-01")
+    return moved.select("seller_id", F.when(F.col("seller_id") % 3 > 0, -F.col("session_id") * 10 - F.col("line_no")).otherwise(F.col("reviewer_id") % 5).alias("reviewer_id"), "rating", F.lit("2001-11-02").cast("timestamp").alias("created_at"))
+
+
 def _items(t: Tables) -> DataFrame:
     return t.products().where("product_id % 2 = 0").select("name", F.upper("brand").alias("brand"), F.col("size"))
 
@@ -52,6 +74,15 @@ QUERIES = {
     "correlations_for_pair": lambda t: M.correlations_for(_found(t), "brand", "Brand#7", (3, 5)),
     "recommendation_details": lambda t: M.recommendation_details(M.similar_products(MQ._similar(t), 3), t.products()),
     "reason_text": lambda t: M.similar_products(MQ._similar(t), 1).select("item_a", F.concat(F.lit("Users who viewed "), F.col("item_b").cast("string")).alias("reason")),
+    "reason_texts": lambda t: M.reason_texts(MQ._similar(t)),
+    "cheaper_substitute_7d": lambda t: M.cheaper_substitute(MQ._similar(t), P.avg_prices(t.prices(), "2001-01-08 00:00:00").select("product_id", "avg_price")),
+    "reranked": lambda t: TQ._pairs(t).select("product_id", S.reranked(F.round(S.fuzzy_rerank_score(F.col("name"), F.col("other")), 6)).alias("score")).where("score is not null"),
+    "find_sellers": lambda t: U.find_sellers(_shown_sellers(t), "supplier", "nation_1", "milk").select("seller_id", "credibility_score", "position"),
+    "open_requests": lambda t: U.open_requests(_requests(t), "2024-01-15 00:00:00").select("request_id"),
+    "seller_rules": lambda t: V.validate_schema(t.sellers().select("seller_id", F.when(F.col("seller_id") % 7 > 0, F.col("seller_id")).otherwise(-1).alias("telegram_user_id"), F.when(F.col("seller_id") % 5 > 0, F.col("town")).otherwise(" ").alias("town"), F.when(F.col("seller_id") % 3 == 0, "unknown").otherwise(F.col("verification_status")).alias("verification_status")), "sellers").select("seller_id", "reject_reason"),
+    "request_rules": lambda t: V.validate_schema(_requests(t), "chat_requests").select("request_id", "reject_reason"),
+    "session_rules": lambda t: V.validate_schema(_requests(t).select("request_id", "buyer_user_id", (F.col("buyer_user_id") - 40).alias("grocer_telegram_user_id"), F.when(F.col("request_id") % 4 == 0, "pending").otherwise("active").alias("status")), "chat_sessions").select("request_id", "reject_reason"),
+    "review_bursts_7d": lambda t: U.review_bursts(_recent_reviews(t), AS_OF, 7, 5, 0.6).select("seller_id", "recent", "new_accounts"),
     "train_guards": lambda t: M.train_guard(t.logs(), 10, "logs").unionByName(M.train_guard(t.prices().where("product_id < 0"), 50, "prices")).unionByName(M.train_guard(M.frequent_items(t.log_items(), 5), 2, "items")),
     "recalculate_all_scores": lambda t: U.review_stats(U.credibility_score(MQ._sellers(t), t.reviews(), AS_OF), t.reviews()).select("seller_id", "credibility_score", "avg_rating", "review_count"),
     "resolve_or_create_product": lambda t: C.resolve_or_create_product(_items(t), _known(t)).select("product_id", F.lower("name").alias("name"), F.lower("brand").alias("brand"), F.size("sizes").cast("long").alias("n_sizes")),
@@ -117,3 +148,23 @@ union all select 'query_volume_by_hour', '', hour, cast(sum(n) as bigint), round
 union all select 'basket_size_distribution', case when k <= 2 then 'small' when k <= 5 then 'medium' else 'large' end, k, n, round(n * 100.0 / sum(n) over (), 2) from sized
 union all select 'seasonal_patterns', '', dow, cast(sum(n) as bigint), round(avg(n), 4) from season group by dow
 union all select 'search_term_trends', label || '|' || term, rank, c, case when isfinite(g) then round(g, 2) end from o where rank <= 20""", "logs", "log_items", "products")
+_REQUESTS = """requests as (select event_id as request_id, case when event_id % 9 > 0 then user_id else 0 end as buyer_user_id, (['pending', 'accepted', 'declined', 'expired', 'lost'])[event_id % 5 + 1] as status,
+  event_id % 6 = 0 as too_long, ts as created_at, ts + to_minutes(cast(case when event_id % 8 > 0 then 10 else -1 end as int)) as expires_at from traffic)"""
+ORACLES["open_requests"] = with_tables(f"with {_REQUESTS} select request_id from requests where status = 'pending' and expires_at > timestamp '2024-01-15'", "traffic")
+ORACLES["request_rules"] = with_tables(f"""with {_REQUESTS} select request_id, case when coalesce(buyer_user_id, 0) <= 0 then 'buyer id' when status = 'lost' then 'status' when too_long then 'message length'
+  when expires_at < created_at then 'expiry' end as reject_reason from requests""", "traffic")
+ORACLES["session_rules"] = with_tables(f"with {_REQUESTS} select request_id, case when coalesce(buyer_user_id, 0) <= 0 then 'buyer id' when buyer_user_id <= 40 then 'seller id' when request_id % 4 = 0 then 'status' end as reject_reason from requests", "traffic")
+ORACLES["seller_rules"] = with_tables("select seller_id, case when seller_id % 7 = 0 then 'seller id' when seller_id % 5 = 0 then 'town' when seller_id % 3 = 0 then 'verification status' end as reject_reason from sellers", "sellers")
+ORACLES["find_sellers"] = with_tables(f"""with {MQ._SELLERS}, shown as (select *, case when seller_id % 3 = 0 then 'Shop ' || seller_id else display_name end as shown_name, case when seller_id % 2 = 0 then 'A Supplier in ' || town end as description from scored)
+select seller_id, credibility_score, row_number() over (order by credibility_score desc, seller_id) as position from shown
+where verification_status = 'verified' and seller_id % 4 > 0 and seller_id % 11 > 0 and (contains(lower(shown_name), 'supplier') or coalesce(contains(lower(description), 'supplier'), false)) and contains(lower(town), 'nation_1') and seller_id % 5 > 0
+qualify position <= 10""", "sellers", "reviews")
+ORACLES["review_bursts_7d"] = with_tables("""with r as (select seller_id, case when seller_id % 3 > 0 then -session_id * 10 - line_no else reviewer_id % 5 end as reviewer_id from reviews where created_at >= timestamp '2001-08-01'),
+l as (select reviewer_id, count(*) as lifetime from r group by all)
+select seller_id, count(*) as recent, count(*) filter (lifetime = 1) as new_accounts from r join l using (reviewer_id) group by seller_id having count(*) > 5 and count(*) filter (lifetime = 1) > 0.6 * count(*)""", "reviews")
+ORACLES["reason_texts"] = with_tables(f"""with {MQ._COSINE}, top as (select item_a, item_b, row_number() over (partition by item_a order by similarity desc, item_b) as rank from sim qualify rank <= 2)
+select item_a, string_agg('Users who viewed ' || item_b, '; ' order by rank) as reason from top group by item_a""", "log_items")
+ORACLES["cheaper_substitute_7d"] = with_tables(f"""with {MQ._COSINE}, av as (select product_id, round(avg(price_kes), 4) as p from prices where verified_at >= timestamp '2001-01-01' and verified_at < timestamp '2001-01-08' group by product_id),
+j as (select item_a, item_b, similarity, x.p as price_a, y.p as price_b from sim join av x on x.product_id = item_a join av y on y.product_id = item_b where y.p <= x.p)
+select *, case when price_a > 0 then round((price_a - price_b) * 100 / price_a, 1) else 0.0 end as savings_percent from j qualify row_number() over (partition by item_a order by similarity desc, item_b) = 1""", "log_items", "prices")
+ORACLES["reranked"] = f"select * from ({ORACLES['fuzzy_rerank_score']}) where score >= 0.6"

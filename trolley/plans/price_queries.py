@@ -25,7 +25,8 @@ def _totals(t: Tables):
 
 
 def _wanted(t: Tables):
-    return _basket(t).select("product_id").crossJoin(F.broadcast(t.stores().select("store_id")))
+    # one user's basket is what goes to all tasks
+    return t.stores().select("store_id").crossJoin(F.broadcast(_basket(t).select("product_id")))
 
 
 def _matches(t: Tables):

@@ -112,10 +112,10 @@ def _seeded(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(sorted(counts.items()), "part string, n long")
 
 
-def _arrays(df: DataFrame, out: str, files: int = 16) -> str:
-    """df as files that each hold one JSON array."""
-    rows = df.select(F.pmod(F.xxhash64(*df.columns), F.lit(files)).alias("k"), F.to_json(F.struct(*df.columns)).alias("j"))
-    rows.groupBy("k").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")).write.partitionBy("k").text(out)
+def _arrays(df: DataFrame, out: str, rows: int = 500) -> str:
+    """df as files that each hold one JSON array, of `rows` rows at most."""
+    numbered = df.select(F.floor(F.monotonically_increasing_id() / rows).alias("k"), F.to_json(F.struct(*df.columns)).alias("j"))
+    numbered.groupBy("k").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(out)
     return out
 
 
@@ -150,7 +150,7 @@ def _overwritten(t: Tables) -> DataFrame:
     out = B.scratch(t.spark, "overwrite")
     B.sink_overwrite(t.products().select("product_id", "name"), out)
     B.sink_overwrite(t.products().where("product_id % 2 = 0").select("product_id", F.upper("name").alias("name")), out)
-    return t.spark.read.parquet(out)
+    return B.read_table(t.spark, out)
 
 
 def _appended(t: Tables) -> DataFrame:

@@ -80,7 +80,26 @@ def active_targets(targets: DataFrame, chain: str) -> DataFrame:
 
 
 def sink_overwrite(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Puts df in place of the table: written as a version beside the old ones, which counts once its row in `complete` is there.
+
+    A failure midway leaves the old table for readers (read_table).
+    """
+    version = 1 + (_newest(df.sparkSession, path) or 0)
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    df.sparkSession.range(1).select(F.lit(version).alias("done")).write.mode("overwrite").parquet(f"{path}/complete/version={version}")
+
+
+def _newest(spark: SparkSession, path: str) -> int | None:
+    """The newest complete version of a table, None if there is none yet."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/complete")
+    if not hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop):
+        return None
+    return spark.read.parquet(f"{path}/complete").agg(F.max("done")).first()[0]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a table that sink_overwrite writes."""
+    return spark.read.parquet(f"{path}/version={_newest(spark, path)}")
 
 
 def sink_append(df: DataFrame, path: str) -> None:
@@ -115,4 +134,4 @@ def seed_job(spark: SparkSession, products: DataFrame, stores: DataFrame, prices
     """Writes the three tables and returns their row counts."""
     for name, df in (("products", products), ("stores", stores), ("prices", prices)):
         sink_overwrite(df, f"{root}/{name}")
-    return {name: spark.read.parquet(f"{root}/{name}").count() for name in ("products", "stores", "prices")}
+    return {name: read_table(spark, f"{root}/{name}").count() for name in ("products", "stores", "prices")}
