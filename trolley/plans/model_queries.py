@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.operators import anomaly as A
@@ -10,6 +10,7 @@ from trolley.operators import graph as G
 from trolley.operators import mining as M
 from trolley.operators import search as Q
 from trolley.operators import trust as U
+from trolley.operators import windows as W
 from trolley.plans.bindings import AS_OF, EVENTS_AS_OF, Tables, with_tables
 from trolley.plans.price_queries import _LATEST
 from trolley.plans.text_queries import RAW_UNITS, WORDS
@@ -132,7 +133,7 @@ QUERIES = {
     "flag_anomalies": lambda t: A.flag_by_median(t.prices(), "source").select("product_id", "store_id", "batch_id", "line_no", "is_anomaly"),
     "iforest_fit": lambda t: A.iforest_fit(t.prices(), AS_OF, 400),
     "iforest_score": lambda t: A.iforest_score(t.prices(), A.iforest_fit(t.prices(), AS_OF, 400)).select("product_id", "store_id", "batch_id", "line_no", "anomaly_score", "is_anomaly"),
-    "assign_rank": lambda t: t.stores().select("store_id", "county", F.row_number().over(Window.partitionBy("county").orderBy("store_id")).cast("long").alias("rank")),
+    "assign_rank": lambda t: W.assign_rank(t.stores().select("store_id", "county"), ["store_id"], ["county"]),
     "symmetric_edges": lambda t: G.symmetric_edges(t.log_items().select(F.col("log_id").alias("src"), F.col("product_id").alias("dst"))),
     "union_keys": lambda t: t.vectors().select("product_id").union(t.products().select("product_id")).distinct(),
     "halves_full_outer": lambda t: t.log_items().where("line_no <= 3").groupBy("product_id").agg(F.count(F.lit(1)).alias("old")).join(t.log_items().where("line_no > 3").groupBy("product_id").agg(F.count(F.lit(1)).alias("new")), "product_id", "full_outer").fillna(0),

@@ -68,7 +68,9 @@ def scan_table(spark: SparkSession, path: str, condition: Column | None = None,
 
 def scan_synonyms(spark: SparkSession, path: str) -> DataFrame:
     """word, synonym of lines "word<tab or comma>synonym"; # starts a comment, the last line for a word wins."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    # a line's place: its file, the block of the file that a task reads, and its order within the task
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("no"))
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), at.alias("at"))
     parts = lines.where(~F.col("line").startswith("#")).select("at", F.split(F.lower("line"), r"\s*[\t,]\s*", 2).alias("p")).where(F.size("p") == 2)
     return parts.groupBy(F.col("p")[0].alias("word")).agg(F.max_by(F.col("p")[1], "at").alias("synonym"))
 
