@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trolley.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
-from trolley.llm.common import stored, table
+from trolley.llm.common import released, stored, table, temporary
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. Once a stage is written, what it stored meanwhile and its input are deleted; only the last one's tables stay, as its result is read later."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary():
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        released(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,8 @@
+import os
 import random
 
 import corpus_pipeline
+from trolley.llm import common
 
 
 def test_stages(spark, sf):
@@ -14,7 +16,11 @@ def test_stages(spark, sf):
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.collect()} == ids
+    folder = f"{common.shared_dir(spark)}/trolley"
+    there = set(os.listdir(folder))
     whole = corpus_pipeline.run(spark, sf)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - there}
+    assert left == {"pipeline-decontaminate", *(x for x in left if x.startswith("pack"))}, left
     assert {r.doc_id for r in whole.collect()} == ids
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "decontaminate", "packing"]
 

@@ -1,6 +1,10 @@
+import random
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
+
 from trolley.llm import sharding as S
 
 
@@ -45,3 +49,30 @@ def test_plan_fills_every_shard():
     ends = sorted((arc, first) for arc, first, _, _ in plan)
     assert {arc for arc, _ in ends} == set(counts)
     assert len({(shard, slot) for _, _, shard, slot in plan}) == len(plan)
+
+
+def test_walk_row_by_row(spark):
+    """Every row goes clockwise from its place on the ring to the first shard with room, in turns: walked here one row at a time."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 7, i, i, i, i]), "x" * rng.randrange(5)) for i in range(900)]
+    shards, nodes = 9, 64
+    points = sorted((xxhash.xxh3_64_intdigest(f"shard-{s}-node-{v}") - (1 << 63), s) for s in range(shards) for v in range(nodes))
+    key = xxhash.xxh64_intdigest(b"key", seed=42)
+    arcs = {}
+    for doc_id, text in rows:
+        h = key if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=key)
+        h -= (h >> 63) << 64
+        arc = next((i for i, (p, _) in enumerate(points) if p >= h), 0)
+        arcs.setdefault(arc, []).append((h, doc_id is not None, doc_id or 0, len(text) + 16, zlib.crc32(text.encode()), doc_id))
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    held, want = [0] * shards, []
+    queues = {a: sorted(r)[::-1] for a, r in sorted(arcs.items())}
+    for turn in range(len(points)):
+        for arc, left in queues.items():
+            shard = points[(arc + turn) % len(points)][1]
+            while left and held[shard] < room[shard]:
+                *_, size, crc, doc_id = left.pop()
+                want.append((doc_id, size, crc, shard, held[shard]))
+                held[shard] += 1
+    got = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in shards_of(spark, rows, shards)]
+    assert sorted(got, key=str) == sorted(want, key=str)

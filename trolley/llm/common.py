@@ -43,13 +43,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/trolley/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, *order: str) -> DataFrame:
+#: Stored tables of the scopes that are open, innermost last.
+_open: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that are stored meanwhile are deleted at the end, but for those stored with keep=True."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        released(*_open.pop())
+
+
+def noted(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
+    """df, with the path that it is stored at."""
+    df.stored_at = path
+    if _open and not keep:
+        _open[-1].append(df)
+    return df
+
+
+def stored(df: DataFrame, name: str, *order: str, keep: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder, each file in an order, and read again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     (df.sortWithinPartitions(*order) if order else df).write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
+    return noted(df.sparkSession.read.schema(df.schema).parquet(path), path, keep)
 
 
 def released(*tables: DataFrame | None) -> None:
