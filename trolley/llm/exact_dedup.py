@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.common import SPACES, filter_bits, filter_blocks, in_filter, key_filter, passing, scratch, stored, text_or_empty, thinned
+from trolley.llm.common import SPACES, filter_bits, filter_blocks, in_filter, key_filter, noted, passing, scratch, stored, text_or_empty, thinned
 
 FANOUT = 4
 #: Rows of a memtable, of a run before it is flushed, and the most runs (beyond that, runs are larger).
@@ -159,7 +159,13 @@ def _named(best: str) -> list[Column]:
 
 
 def with_groups(rows: DataFrame, repeated: DataFrame, share: int) -> DataFrame:
-    """rows (digest, best) with keep (the best of their digest) and group_size; a digest that isn't repeated keeps its only row."""
+    """rows (digest, best) with keep (the best of their digest) and group_size; a digest that isn't repeated keeps its only row.
+
+    Rows that a filter on the repeated digests rules out aren't shuffled.
+    """
+    marked = in_filter(rows.select("digest", "best"), key_filter(repeated, "digest"), "digest")
+    single = marked.where("NOT may_be").select("row.digest", "row.best", F.col("row.best").alias("keep"), F.lit(1).cast("long").alias("group_size"))
+    rows = marked.where("may_be").select("row.*")
     hot = repeated.where(F.col("group_size") > share)  # HOT_DIGESTS rows at most
     keep = lambda df, x: df.select(F.col("digest").alias(f"of{x}"), F.col("best").alias(f"keep{x}"), F.col("group_size").alias(f"size{x}"))
     part = rows.select("digest", "best").join(F.broadcast(keep(hot, 1)), F.col("digest") == F.col("of1"), "left")
@@ -168,7 +174,7 @@ def with_groups(rows: DataFrame, repeated: DataFrame, share: int) -> DataFrame:
     rest = keep(repeated.join(F.broadcast(hot.select("digest")), "digest", "left_anti"), 2)
     there = part.where("key is not null").join(rest, F.col("key") == F.col("of2"), "left").select(
         "digest", "best", F.coalesce("keep2", "best").alias("keep"), F.coalesce("size2", F.lit(1)).alias("group_size"))
-    return there.unionByName(part.where("key is null").select("digest", "best", F.col("keep1").alias("keep"), F.col("size1").alias("group_size")))
+    return single.unionByName(there).unionByName(part.where("key is null").select("digest", "best", F.col("keep1").alias("keep"), F.col("size1").alias("group_size")))
 
 
 def mismatches(docs: DataFrame, hits: DataFrame, share: int) -> DataFrame:
@@ -180,7 +186,9 @@ def mismatches(docs: DataFrame, hits: DataFrame, share: int) -> DataFrame:
     bodies = stored(bodies.withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256))), "dedup-bodies")
     kept = hits.groupBy("digest").agg(F.first("keep").alias("keep"), F.first("group_size").alias("n"))
     kept = stored(kept.select(F.col("digest").alias("of"), F.col("keep.doc_id").alias("of_id"), F.col("keep.text_hash").alias("of_hash"), F.floor(F.col("n") / share).alias("more")), "dedup-kept")
-    stays = bodies.join(kept, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
+    # only the texts that stay, and those that a filter takes for them, go to this join
+    own = passing(bodies.select("doc_id", "text_hash", "digest", "body"), key_filter(kept, "of_id", "of_hash"), "doc_id", "text_hash")
+    stays = own.join(kept, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
     stays = stays.groupBy("of", "more").agg(F.min("body").alias("kept_body")).select(
         "of", "kept_body", F.explode(F.sequence(F.lit(0), "more")).alias("of_portion"))
     large = kept.where("more > 0").select(F.col("of").alias("large"), "more")  # HOT_DIGESTS rows at most
@@ -197,7 +205,7 @@ def indexed(docs: DataFrame, run_rows: int = RUN_ROWS, most_runs: int = MOST_RUN
     memtables = entries(docs).withColumn("run", F.pmod(F.xxhash64("best.row_no"), F.lit(runs)).cast("int"))
     path = scratch(docs.sparkSession, "dedup-memtables")
     memtables.sortWithinPartitions("run", "digest").write.option("compression", "zstd").option("maxRecordsPerFile", MEMTABLE_ROWS).partitionBy("run").parquet(path)
-    level0 = docs.sparkSession.read.schema(memtables.schema).parquet(path)
+    level0 = noted(docs.sparkSession.read.schema(memtables.schema).parquet(path), path)
     index = DigestIndex(bits=filter_bits(rows))
     for run in range(runs if rows else 0):
         index = index.with_memtables(level0.where(F.col("run") == run).drop("run"))
