@@ -21,9 +21,10 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 50, block_rows: in
 
     Queries go to the tasks in blocks of block_rows; a ring of vectors is compared only with the queries it can matter to.
     """
-    none = vectors.sparkSession.createDataFrame([], "query_id long, product_id long, score double, rank long")
+    # both are read several times, and may come from an encoder
+    queries, vectors = stored(queries.select("query_id", "embedding"), "queries"), stored(vectors.select("product_id", "embedding"), "vectors")
     if vectors.isEmpty():
-        return none
+        return vectors.sparkSession.createDataFrame([], "query_id long, product_id long, score double, rank long")
     return nearest.knn(queries, nearest.build(vectors), k, block_rows).where(F.col("score") >= threshold)
 
 
