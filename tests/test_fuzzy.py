@@ -41,7 +41,8 @@ def test_index_loses_nothing(spark, threshold, alphabet):
     assert silent or threshold > 0.7
 
 
-def test_no_cross_join(spark):
+def test_no_cross_join(spark, monkeypatch):
+    monkeypatch.setattr(search, "FEW_PAIRS", 0)
     q = spark.createDataFrame([(1, "sandwch bread")], "query_id long, text string")
     t = spark.createDataFrame([(1, "sandwich bread", "name")], "product_id long, term string, term_type string")
     df = search.fuzzy_cross_match(q, t)

@@ -258,8 +258,9 @@ def _match(a, b):
     return min(1.0, 0.7 * sim + 0.3 * sound + 0.1 * (a == b))
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.6])
-def test_fuzzy_match_loses_nothing(spark, threshold):
+@pytest.mark.parametrize("threshold, few", [(0.3, 0), (0.6, 0), (0.6, 1 << 20)])
+def test_fuzzy_match_loses_nothing(spark, monkeypatch, threshold, few):
+    monkeypatch.setattr(search, "FEW_PAIRS", few)
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abnrst", k=rng.choice([1, 2, 3, 5, 8])))
     terms, asked = sorted({word() for _ in range(120)} | {"banana"}), ["an", "banan", *[word() for _ in range(25)]]

@@ -34,18 +34,22 @@ def product_terms(products: DataFrame) -> DataFrame:
         products.select("product_id", F.lower("brand").alias("term"), F.lit("brand").alias("term_type")))
 
 
+#: So many pairs are compared in less time than it takes to find candidates.
+FEW_PAIRS = 1 << 20
+
+
 def fuzzy_cross_match(queries: DataFrame, terms: DataFrame, threshold: float = 0.6, block_rows: int = 2048) -> DataFrame:
     """Best term of each product for each query (query_id, text), where the combined score reaches the threshold.
 
     Exact. Different query texts meet different terms by shared keys (`fuzzy.candidates`). Thresholds below about 0.56 leave no key that all
-    matches share; there, queries go to the terms in blocks of block_rows, each block one pass over the terms.
+    matches share; there, and where all pairs are no more than FEW_PAIRS, queries go to the terms in blocks of block_rows, each block one pass over the terms.
     """
     asked, term = F.col("asked"), F.col("term")
     q = queries.select(F.lower(F.trim("text")).alias("asked")).where(F.length("asked") > 0).distinct()
     t = terms.select("term").where(F.length("term") > 0).distinct()
     q = stored(q.withColumn("asked_sounds", S.sounds(asked)), "asked")
     t = stored(t.withColumn("term_sounds", S.sounds(term)), "terms")
-    if fuzzy.indexed(threshold):
+    if fuzzy.indexed(threshold) and q.count() * t.count() > FEW_PAIRS:
         pairs = fuzzy.candidates(q, t, threshold, len(S.PHONETIC_CODES)).join(q, "asked").join(t, "term")
     else:
         pairs = _all_pairs(q, t, threshold, block_rows)
