@@ -34,3 +34,17 @@ def test_thousands_of_terms(spark, tmp_path):
         others = [t for t, r in sorted(kinds, key=lambda x: x[1]) if best not in t and t not in best]
         assert pairs[i] == (brands[0][2] if brands else None, best, others[0] if others else None)
     assert W.find_terms(df, "id", "title", words.limit(0)).count() == 0
+
+
+def test_nothing_that_grows_with_the_texts_is_broadcast(spark, monkeypatch):
+    words = spark.createDataFrame([("brand", "red", 1), ("brand", "red cup", 2), ("category", "cup", 3)], W.VOCABULARY)
+    texts = spark.range(300).selectExpr("id", "concat('A ', if(id % 3 = 0, 'red cup', 'cup'), ' no ', id) as title")
+    rows = lambda: sorted(map(tuple, W.find_terms(texts, "id", "title", words).collect()))
+    few = rows()
+    monkeypatch.setattr(W, "SMALL_ROWS", 0, raising=False)
+    df = W.find_terms(texts, "id", "title", words)
+    df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows() == few and len(few) == 500
+    places = W.find_places(texts, "id", "title", words)
+    assert {(r.id, r.at, r.term) for r in places.collect()} == {(i, 2, "cup") for i in range(300) if i % 3} | {(i, at, t) for i in range(0, 300, 3) for at, t in ((2, "red"), (2, "red cup"), (4, "cup"))}

@@ -2,16 +2,19 @@
 
 A vocabulary has rows kind, term, rank. Its terms are laid out as a trie of tokens: a table of edges from a prefix, by a token, to a
 longer prefix. Texts are walked level by level: tokens join the edges from the root, the places that are left join the next edges, and so on, so
-a text costs one join with the first tokens and little more, whether there are ten terms or a million. Tokens are runs of letters, digits and _, or
+a text costs one join with the first tokens and little more, whether there are ten terms or a million. Nothing that grows with the texts is broadcast. Tokens are runs of letters, digits and _, or
 one other character; white space counts as one space. A term is found where its tokens stand, so never inside a word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trolley.sources.tables import broadcast_if_small, stored
+from trolley.sources.tables import SMALL_ROWS, stored
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
 VOCABULARY = "kind string, term string, rank long"
@@ -45,31 +48,59 @@ def trie(words: DataFrame) -> tuple[DataFrame, int]:
     return stored(edges.groupBy("level", "parent", "token", "node").agg(F.max("ends").alias("ends")), "trie"), levels
 
 
-def find_terms(texts: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
-    """key, kind, term, rank, start, end (characters of the squeezed text) of every place of every term. Keys are different."""
+def find_places(texts: DataFrame, key: str, text: str, words: DataFrame, starts: bool = False) -> DataFrame:
+    """key, at (number of its first token), start if asked for (characters of the squeezed text), term of every place of every term.
+
+    Levels with few edges follow each other within a task; a level with many is a join by key, and what it leaves is stored.
+    """
     edges, levels = trie(words)
+    sizes = {r["level"]: r["n"] for r in edges.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a level
     rows = texts.select(F.col(key).alias("key"), tokens(squeezed(F.col(text))).alias("t"))
-    places = rows.select("key", F.posexplode("t").alias("at", "token"), F.col("t").alias("t"))
-    # what may follow a token, so that no level needs the text again
-    places = places.select("key", "at", F.slice("t", F.col("at") + 1, max(1, levels)).alias("rest"), F.lit("").alias("parent"))
-    found = None
-    for level in range(levels):
-        step = broadcast_if_small(edges.where(F.col("level") == level).drop("level"))
-        token = F.get("rest", F.lit(level))
-        here = places.withColumn("token", token).where("token is not null").join(step, ["parent", "token"])
-        here = stored(here.select("key", "at", "rest", F.col("node").alias("parent"), "ends"), "trie-places")
-        part = here.where("ends").select("key", "at", F.col("parent").alias("term"))
+    start = F.lit(0).cast("long")
+    if starts:
+        rows = rows.withColumn("starts", _starts(F.transform("t", F.length)))
+        start = F.col("starts")
+    # what may follow a token goes with it, so that no level needs the text again
+    ahead = F.transform("t", lambda token, i: F.struct(i.alias("at"), (F.get(start, i) if starts else start).alias("start"), F.slice("t", i + 1, max(1, levels)).alias("rest")))
+    places = rows.select("key", F.explode(ahead).alias("p")).select("key", "p.at", "p.start", "p.rest", F.lit("").alias("parent"))
+    found, level = None, 0
+    while level < levels:
+        ends, first = [], level
+        while level < levels and (level == first or sizes[first] <= SMALL_ROWS >= sizes[level]):
+            step = edges.where(F.col("level") == level).select(F.col("parent").alias("_from"), F.col("token").alias("_token"), F.col("node").alias("_node"), F.col("ends").alias("_ends"))
+            step = F.broadcast(step) if sizes[level] <= SMALL_ROWS else step.hint("merge")
+            met = (F.col("parent") == F.col("_from")) & (F.get("rest", F.lit(level)) == F.col("_token"))
+            places = places.join(step, met, "inner" if level == first else "left").withColumns({"parent": F.col("_node"), f"_term{level}": F.when(F.col("_ends"), F.col("_node"))})
+            places = places.drop("_from", "_token", "_node", "_ends")
+            ends.append(f"_term{level}")
+            level += 1
+        if level < levels:
+            places = stored(places, "trie-places")
+        terms = F.filter(F.array(*ends), lambda term: term.isNotNull())
+        part = places.select("key", "at", "start", F.explode(terms).alias("term"))
         found = part if found is None else found.unionByName(part)
-        places = here.select("key", "at", "rest", "parent")
+        places = places.where("parent is not null").drop(*ends)
     if found is None:
-        found = rows.select("key", F.lit(0).alias("at"), F.lit("").alias("term")).where("false")
-    found = stored(found, "trie-found")
-    hit = rows.join(found.select("key").distinct(), "key", "left_semi")  # only texts with a term are counted through
-    offsets = hit.select(F.col("key").alias("of"), F.posexplode("t").alias("no", "token")).withColumn("start", F.coalesce(
-        F.sum(F.length("token")).over(Window.partitionBy("of").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = found.join(offsets.select("of", "no", "start"), (F.col("key") == F.col("of")) & (F.col("at") == F.col("no")))
-    named = placed.join(broadcast_if_small(stored(words, "vocabulary")), "term")
-    return named.select(F.col("key").alias(key), "kind", "term", "rank", "start", (F.col("start") + F.length("term")).alias("end"))
+        found = rows.select("key", F.lit(0).alias("at"), F.lit(0).cast("long").alias("start"), F.lit("").alias("term")).where("false")
+    return found.select(F.col("key").alias(key), "at", *(["start"] if starts else []), "term")
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _starts(lengths: pd.Series) -> pd.Series:
+    """The sum of the lengths before each one."""
+    return lengths.map(lambda n: None if n is None else np.cumsum(n) - n)
+
+
+def find_terms(texts: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """key, kind, term, rank, start, end (characters of the squeezed text) of every place of every term. Keys are different."""
+    placed = find_places(texts, key, text, words, starts=True)
+    named = placed.join(_joined(stored(words, "vocabulary")), "term")
+    return named.select(key, "kind", "term", "rank", "start", (F.col("start") + F.length("term")).alias("end"))
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    """A stored table to join: to all tasks if it is small, else by key; its file says too little of its size in memory."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df.hint("merge")
 
 
 def brand_and_category(texts: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
@@ -86,4 +117,4 @@ def brand_and_category(texts: DataFrame, key: str, text: str, words: DataFrame)
     each = each.withColumn("category", F.when(F.size("kinds") > 0, best))
     other = F.filter("kinds", lambda k: ~k["term"].contains(F.col("category")) & ~F.col("category").contains(k["term"]))
     each = each.select(F.col(key).alias("of"), "brand", "category", F.when(F.size(other) > 0, F.get(other, F.lit(0))["term"]).alias("subcategory"))
-    return texts.select(key).join(each, F.col(key) == F.col("of"), "left").drop("of")
+    return texts.select(key).join(each.hint("merge"), F.col(key) == F.col("of"), "left").drop("of")
