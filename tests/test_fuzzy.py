@@ -49,3 +49,28 @@ def test_no_cross_join(spark, monkeypatch):
     plan = df._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and df.count() == 1
     assert fuzzy.indexed(0.6) and not fuzzy.indexed(0.3)
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    names = ["milk", "milks", "mlik", "bread", "sandwich bread", "tea"]
+    products = [(i, names[i % 6], f"brand {i % 2}") for i in range(60)]
+    terms = spark.createDataFrame([(i, t, kind) for i, name, brand in products for t, kind in ((name, "name"), (brand, "brand"))], "product_id long, term string, term_type string")
+    texts = ["mlk", "Bread ", "sandwch bread", "brand 1", "zzz"]
+    queries = spark.createDataFrame([(i, texts[i % 5]) for i in range(20)], "query_id long, text string")
+    plain = [tuple(r) for r in search._best_terms(queries, terms, 0.3).select("query_id", "product_id", "score", "matched_term").collect()] if hasattr(search, "_best_terms") else []
+    rows = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    seen = []
+    compare = search._all_pairs
+    monkeypatch.setattr(search, "best_per_key", lambda df, by, order, real=search.best_per_key: seen.append(df.count()) or real(df, by, order))
+    assert rows(search.fuzzy_cross_match(queries, terms, 0.3), "query_id", "product_id", "score", "matched_term") == sorted(plain) and compare
+    assert max(seen) <= 5 * 6 * 2  # texts x kinds of products x terms
+    good = [r for r in plain if r[2] >= 0.6]
+    assert rows(search.best_scores(queries, terms), "query_id", "product_id", "score") == sorted(r[:3] for r in good)
+    best = {q: min((-s, p) for a, p, s, _ in good if a == q) for q, *_ in good}
+    assert rows(search.find_product(queries, terms), "query_id", "product_id") == sorted((q, p) for q, (_, p) in best.items())
+    top = sorted((q, p) for q in best for _, p in sorted((-s, p) for a, p, s, _ in good if a == q)[:5])
+    prices = spark.createDataFrame([(0, 1.0, 1)], "product_id long, price_kes double, store_id long")
+    assert rows(search.find_product_matches(queries, terms, prices), "query_id", "product_id") == top
+    near = {(q, t): s for q, _, s, t in plain if s < 0.8}
+    want = sorted((q, t) for q in range(20) for _, t in sorted((-s, t) for (a, t), s in near.items() if a == q)[:5])
+    assert rows(search.suggest_corrections(queries, terms), "query_id", "matched_term") == want
