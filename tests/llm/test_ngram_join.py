@@ -95,6 +95,19 @@ def test_many_weak_sets(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_pairs_of_many_buckets_are_made_once(spark):
+    """Two sets are a pair if one asks in a bucket that both have, however many these are; the join gives it once where the lists aren't cut."""
+    rng = random.Random(2)
+    for few, share in ((N.LISTED, 0.6), (60, 0.7)):
+        rows = [(b, i, i, rng.random() < 0.3, 50, [0]) for i in range(9) for b in range(few) if rng.random() < share]
+        now = spark.createDataFrame(rows, "bucket long, id long, component long, asks boolean, n long, parity array<long>")
+        pivots = now.where("id % 2 = bucket % 2")
+        asks = {(b, i): a for b, i, _, a, _, _ in rows}
+        want = {tuple(sorted((p, i))) for b, p in asks if p % 2 == b % 2 for c, i in asks if b == c and i != p and (asks[b, p] or asks[c, i])}
+        got = [tuple(r) for r in N._first_meetings(pivots, now).collect()]
+        assert set(got) == want and len(got) <= 2 * len(want)  # each of the two may be the pivot
+
+
 @pytest.mark.parametrize("sizes", [(64, 65), (128, 140), (300, 300), (500, 520), (1000, 1030)])
 def test_parities_never_rule_out_a_link(spark, sizes):
     rng = np.random.default_rng(sizes[0])

@@ -9,7 +9,8 @@ Sets are keyed by 128 bits of their digest, so exact copies are one member; a ta
 
 Signatures are shuffled once, in groups of bounded size. A segment value with few members gives its pairs; one with many is skipped for
 sets that have capacity to spare without it, and otherwise worked off in rounds: pivots are compared
-with the members of other components, and what has become one component needs no further comparison. Before whole sets are
+with the members of other components, and what has become one component needs no further comparison. Sets that meet in many buckets are a
+pair in one of them: each carries its first buckets, and a pair that is known from an earlier one is left out. Before whole sets are
 compared, pairs must pass a bound that is exact: each set carries the parities of the numbers of its shingles in as many ranges as it
 has shingles, about, and as many shingles differ at least as parities do. Sets whose capacity is too small from the start (rare) are
 compared as queries, in blocks, with all documents. All candidates are verified on whole sets, that is on the sorted 64-bit hashes of
@@ -40,6 +41,8 @@ from trolley.llm.tokens import texts_in
 
 #: A segment value with more members than this is a hot one.
 FEW = 8
+#: So many buckets of a set say in which one two sets meet first.
+LISTED = 16
 #: Longs of parities at most; a set of n shingles has n / 64 of them, as a power of two.
 PARITY_LONGS = 32
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -423,6 +426,27 @@ def _asked(members: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("bucket", "id", F.col("asker").isNotNull().alias("asks")).join(hot_sets.drop("lacks"), "id")
 
 
+def _first_buckets(rows: DataFrame) -> DataFrame:
+    """id, and the first of its buckets: `met` of all, `asked` of those in which it asks.
+
+    Two sets that both carry a bucket, in which one of them asks, are a pair there; in later buckets they needn't be another one. A pair is always
+    made in the first bucket that both have, whether it is carried or not.
+    """
+    least = lambda x: F.slice(F.array_sort(x), 1, LISTED)
+    return rows.groupBy("id").agg(least(F.collect_set("bucket")).alias("met"), least(F.collect_set(F.when(F.col("asks"), F.col("bucket")))).alias("asked"))
+
+
+def _first_meetings(pivots: DataFrame, now: DataFrame) -> DataFrame:
+    """a, b: pivots and members of the open buckets (bucket, id, component, asks, n, parity) that could be alike; twice only where the lists of buckets are cut."""
+    p = pivots.join(_first_buckets(pivots), "id").select("bucket", F.struct("id", "component", "asks", "n", "parity").alias("p"), F.col("met").alias("p_met"), F.col("asked").alias("p_asked"))
+    members = now.join(_first_buckets(now), "id").select(F.col("bucket").alias("of"), "id", "component", "asks", "n", "parity", "met", "asked")
+    before = lambda x: F.filter(x, lambda b: b < F.col("of"))
+    pairs = p.join(members, (F.col("bucket") == F.col("of")) & (F.col("p.component") != F.col("component")) & (F.col("p.asks") | F.col("asks"))
+                   & close_enough(F.col("n"), F.col("p.n"), F.col("parity"), F.col("p.parity"))
+                   & ~F.arrays_overlap(before("p_met"), "asked") & ~F.arrays_overlap(before("p_asked"), "met"))
+    return pairs.select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b"))
+
+
 def _pivots(hot: DataFrame, labels: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
     """(pairs to compare, members left): pivots of each bucket against its members in other components.
 
@@ -434,12 +458,9 @@ def _pivots(hot: DataFrame, labels: DataFrame, slots: int) -> tuple[DataFrame, D
         (F.col("c0") != F.col("c1")) & F.col("any_asks")).select("bucket")
     now = stored(now.join(open_ones, "bucket", "left_semi"), "ngram-hot")
     slot = F.pmod(F.xxhash64("id"), F.lit(slots))
-    first = now.groupBy("bucket", slot.alias("slot")).agg(
-        F.max_by(F.struct("id", "component", "asks", "n", "parity"), F.struct("weight", "id")).alias("p")).select("bucket", "p")
-    members = now.select(F.col("bucket").alias("of"), "id", "component", "asks", "n", "parity")
-    pairs = first.join(members, (F.col("bucket") == F.col("of")) & (F.col("p.component") != F.col("component")) & (F.col("p.asks") | F.col("asks"))
-                       & close_enough(F.col("n"), F.col("p.n"), F.col("parity"), F.col("p.parity")))
-    pairs = pairs.select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b")).distinct()
+    first = stored(now.groupBy("bucket", slot.alias("slot")).agg(
+        F.max_by(F.struct("id", "component", "asks", "n", "parity"), F.struct("weight", "id")).alias("p")).select("bucket", "p.*"), "ngram-pivots")
+    pairs = _first_meetings(first, now).distinct()
     top = now.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("weight", "id")).alias("top")).select(F.col("bucket").alias("of"), F.col("top.id").alias("done"))
     left = now.join(top, (F.col("bucket") == F.col("of")) & (F.col("id") == F.col("done")), "left_anti")
     return stored(pairs, "ngram-pairs"), left.drop("component")
