@@ -80,6 +80,20 @@ def test_rows_do_not_depend_on_batches(spark, tmp_path, batches):
     assert got == plain(messages, end)
 
 
+def test_state_is_kept_by_bucket(spark, tmp_path):
+    """Two records of a bucket don't touch each other, and there are no more keys of state than buckets."""
+    spark.conf.set(*claims.STATE_STORE)
+    rows = [(r, 7, kind, START + timedelta(seconds=s), None) for r in range(60) for kind, s in [("change", r), ("claim", r + 60)][: 1 + r % 2]] + [(None, 8, "change", START, None)]
+    spark.createDataFrame(rows, claims.MESSAGES).write.parquet(f"{tmp_path}/in")
+    live = claims.stream_claims(spark.readStream.schema(claims.MESSAGES).parquet(f"{tmp_path}/in"), buckets=3)
+    query = live.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    spark.conf.unset(claims.STATE_STORE[0])
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 3
+    got = sorted((r.record_id if r.record_id is not None else -1, r.seq, r.reason, r.product_id) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted([(r, 1, "created", 7) for r in range(60)] + [(r, 2, "claimed", 7) for r in range(1, 60, 2)] + [(-1, 1, "created", 8)])
+
+
 def test_two_records_of_one_product(spark):
     changes = spark.createDataFrame([(1, 7, "create"), (2, 7, "update"), (3, 8, "update")], "record_id long, product_id long, intent string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
     results = spark.createDataFrame([(1, True, None), (2, False, "timeout"), (2, False, "again")], "record_id long, ok boolean, error string")
