@@ -95,6 +95,21 @@ def test_many_weak_sets(spark):
     assert got(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("left, most_rounds", [(None, 1), (0, 9)])
+def test_rounds_end_once_the_pairs_left_are_few(spark, monkeypatch, left, most_rounds):
+    """One round of pivots, then all pairs that are left, if they are few; else as many rounds as it takes, with the same result."""
+    if left is not None:
+        monkeypatch.setattr(N, "PAIRS_LEFT", left), monkeypatch.setattr(N, "PAIRS_EACH", left)
+    rng = random.Random(4)
+    passage, base = [f"p{i}" for i in range(40)], [f"c{i}" for i in range(70)]
+    rows = [(i, " ".join(passage + [f"q{rng.randrange(40)}" for _ in range(rng.choice([8, 20, 30]))])) for i in range(200)]
+    rows += [(1000 + i, " ".join(base[: 35 + i % 9] + [f"y{i}"] + base[35 + i % 9 :])) for i in range(60)]
+    names, plain = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name, *a, **k: names.append(name) or plain(df, name, *a, **k))
+    assert got(spark, rows) == brute(rows)
+    assert 1 <= names.count("ngram-pivots") <= most_rounds
+
+
 def test_pairs_of_many_buckets_are_made_once(spark):
     """Two sets are a pair if one asks in a bucket that both have, however many these are; the join gives it once where the lists aren't cut."""
     rng = random.Random(2)
@@ -144,6 +159,12 @@ def test_capacity_finds_close_sets(n):
         assert set(sigs[ids >> np.uint64(1) == 1].tolist()) & set(sigs[ids >> np.uint64(1) == 2].tolist())
 
 
+def test_components_of_many_portions(spark, monkeypatch):
+    monkeypatch.setattr("trolley.llm.components.PORTION", 5)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(1, 9), (9, 5), (3, 3)], "u long, v long").repartition(4)
+    assert {r.node: r.component for r in components(edges).collect()} == {**dict.fromkeys(range(10, 41), 10), 1: 1, 9: 1, 5: 1}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 60)] + [(1, 9), (9, 5), (3, 3)], "u long, v long")
     assert {r.node: r.component for r in components(edges).collect()} == {**dict.fromkeys(range(10, 61), 10), 1: 1, 9: 1, 5: 1}

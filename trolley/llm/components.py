@@ -40,8 +40,8 @@ def _plain(node: object) -> object:
     return tuple(node.values()) if isinstance(node, dict) else node
 
 
-def forests(edges: DataFrame) -> DataFrame:
-    """Edges with the same components: those of each task's portion as stars around their least nodes."""
+def forests(edges: DataFrame, roots: bool = False) -> DataFrame:
+    """Edges with the same components: those of each task's portion as stars around their least nodes, with these as edges to themselves if wanted."""
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict = {}
         whole: dict = {}
@@ -67,7 +67,7 @@ def forests(edges: DataFrame) -> DataFrame:
                 a, b = sorted((start(a), start(b)))
                 parent[b] = a
         if kind is not None:
-            moved = [(x, root(x)) for x in parent if root(x) != x]
+            moved = [(x, root(x)) for x in parent if roots or root(x) != x]
             yield pa.RecordBatch.from_arrays([pa.array([whole[x[k]] for x in moved], kind) for k in (0, 1)], names=["u", "v"])
 
     return edges.mapInArrow(joined, edges.schema)
@@ -78,8 +78,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes are of one ordered type: numbers, strings, or structs of those that compare field by field.
     """
-    edges = stored(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = stored(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
     parts = 1 + edges.count() // PORTION
+    if parts == 1:  # the forest of a single portion is the answer
+        found = stored(forests(edges.coalesce(1), roots=True).toDF("node", "component"), "components")
+        released(edges)
+        return found
     fewer = stored(forests(edges.coalesce(parts)), "edges")
     released(edges)
     edges, state = fewer, None

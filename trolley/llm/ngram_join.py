@@ -39,10 +39,14 @@ from trolley.llm.common import key_filter, lower_words, mapped, passing, release
 from trolley.llm.components import components
 from trolley.llm.tokens import texts_in
 
+#: Groups of signatures at least, so that documents and signatures are dealt evenly.
+LEAST_GROUPS = 32
 #: A segment value with more members than this is a hot one.
 FEW = 8
 #: So many buckets of a set say in which one two sets meet first.
 LISTED = 16
+#: After the first round of pivots all that are left in a bucket are compared, if these are so many pairs at most for each member, or so many in all.
+PAIRS_EACH, PAIRS_LEFT = 512, 64_000_000
 #: Longs of parities at most; a set of n shingles has n / 64 of them, as a power of two.
 PARITY_LONGS = 32
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -226,15 +230,19 @@ def _index_schema(doc_id: T.StructField) -> T.StructType:
                          T.StructField("a", long), T.StructField("b", long), T.StructField("text_hash", long), T.StructField("parity", T.ArrayType(long))])
 
 
-def index(docs: DataFrame, part_bytes: int = 16 << 20, flush: int = 1 << 20) -> DataFrame:
+def group_count(docs: DataFrame, part_bytes: int = 16 << 20) -> int:
+    """Groups of about part_bytes of signatures, which take about as many bytes as the texts."""
+    size = docs.agg(F.sum(F.octet_length(text_or_empty().cast("binary")))).first()[0] or 0
+    return -(-size * 5 // 4 // part_bytes)
+
+
+def index(docs: DataFrame, parts: int, flush: int = 1 << 20) -> DataFrame:
     """One table of three kinds of rows, stored: 0 documents (a, b: set key), 1 pairs of sets (a, b), 2 members b of hot buckets a of n members.
 
     Signatures go to the groups in blobs, one for each group that a flush has any for, so there are never more of them than
     signatures. Documents are dealt to the groups in turn: they need no company.
     """
     texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size * 5 // 4 // part_bytes))  # signatures take about as many bytes as the texts
     name = docs.schema["doc_id"]
     out = _index_schema(name)
     sent = T.StructType([T.StructField("part", T.IntegerType()), *out.fields[1:], T.StructField("sigs", T.BinaryType()), T.StructField("ids", T.BinaryType())])
@@ -333,7 +341,7 @@ def index(docs: DataFrame, part_bytes: int = 16 << 20, flush: int = 1 << 20) ->
     return stored(mapped(texts, signed, sent).groupBy("part").applyInArrow(paired, out), "ngram-index")
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def wanted_sets(docs: DataFrame, wanted: DataFrame, files: int) -> DataFrame:
     """set_id, node, n, shingles of the classes in wanted (set_id, set_hi, node), stored.
 
     A class is read from one of its rows: that with the id and text hash of its node. Rows that share both are one before any shuffle.
@@ -355,7 +363,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = passing(texts, key_filter(keys, "doc_id", "text_hash"), "doc_id", "text_hash").groupBy(
         F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.first("text").alias("text"))
     texts = texts.join(keys, F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_hash") == F.col("text_hash"))).select("set_id", "set_hi", "node", "text")
-    return stored(mapped(texts, read, schema), "ngram-sets")
+    return stored(mapped(texts, read, schema).coalesce(files), "ngram-sets")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -371,10 +379,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
-    def side(of: str, node: str, shingles: str) -> DataFrame:
-        own = passing(sets, key_filter(pairs.select(F.col(of).alias("set_id")), "set_id"), "set_id")
-        return own.select(F.col("set_id").alias(of), F.col("node").alias(node), F.col("shingles").alias(shingles))
-
+    own = passing(sets, key_filter(pairs.select(F.explode(F.array("a", "b")).alias("set_id")), "set_id"), "set_id")
+    side = lambda of, node, shingles: own.select(F.col("set_id").alias(of), F.col("node").alias(node), F.col("shingles").alias(shingles))
     full = pairs.join(side("a", "u", "x"), "a").join(side("b", "v", "y"), "b").select("u", "v", "x", "y")
     node = sets.schema["node"].dataType
     return mapped(full, verify, T.StructType([T.StructField("u", node), T.StructField("v", node)]))
@@ -409,61 +415,75 @@ def query_blocks(docs: DataFrame, sets: DataFrame, block_bytes: int = 16 << 20)
     return found.join(sets.select(F.col("set_id").alias("of"), F.col("node").alias("u")), "of").select("u", "set_id", "set_hi")
 
 
-def _asked(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _asked(members: DataFrame, classes: DataFrame, files: int) -> DataFrame:
     """The hot buckets that have to be worked off: bucket, id, asks, and weight, n, parity of each member.
 
     Hot buckets are left out of a set's capacity. A set that has too little without them takes back as many as it lacks, those with
     the fewest members; in these it asks, that is it needs all its partners.
     """
-    lost = members.groupBy(F.col("id").alias("set_id")).agg(F.count_if("lower").alias("lost"), F.count(F.lit(1)).alias("weight"))
-    lacks = needed_column(F.col("n")) - (F.col("capacity") - F.col("lost"))
-    hot_sets = stored(classes.join(lost, "set_id").select(F.col("set_id").alias("id"), "weight", "n", "parity", lacks.alias("lacks")), "ngram-hot-sets")
-    own = members.where("lower").join(hot_sets.where("lacks > 0").select("id", "lacks"), "id")
-    own = own.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("size", "bucket"))).where(F.col("place") <= F.col("lacks"))
-    own = stored(own.select("bucket", F.col("id").alias("asker")), "ngram-asked")
-    near = members.select("bucket", "id").distinct().join(own.select("bucket").distinct(), "bucket", "left_semi")
-    near = near.join(own.withColumnRenamed("bucket", "of"), (F.col("bucket") == F.col("of")) & (F.col("id") == F.col("asker")), "left")
-    return near.select("bucket", "id", F.col("asker").isNotNull().alias("asks")).join(hot_sets.drop("lacks"), "id")
+    met = members.groupBy(F.col("id").alias("set_id")).agg(F.array_sort(F.collect_set(F.struct((~F.col("lower")).alias("upper"), "size", "bucket"))).alias("met"))
+    lost = F.size(F.filter("met", lambda m: ~m["upper"]))
+    lacks = needed_column(F.col("n")) - (F.col("capacity") - lost)
+    sets = classes.join(met, "set_id").select(F.col("set_id").alias("id"), F.size("met").alias("weight"), "n", "parity", lacks.alias("lacks"), "met")
+    sets = stored(sets.coalesce(files), "ngram-hot-sets")
+    each = sets.select("id", "weight", "n", "parity", "lacks", F.posexplode("met").alias("place", "at"))
+    each = each.select("at.bucket", "id", (~F.col("at.upper") & (F.col("place") < F.col("lacks"))).alias("asks"), "weight", "n", "parity")
+    return each.join(each.where("asks").select("bucket").distinct(), "bucket", "left_semi")
 
 
-def _first_buckets(rows: DataFrame) -> DataFrame:
-    """id, and the first of its buckets: `met` of all, `asked` of those in which it asks.
+def _listed(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, id, component, asks, n, parity) with the first buckets of each id: `met` of all, `asked` of those in which it asks.
 
     Two sets that both carry a bucket, in which one of them asks, are a pair there; in later buckets they needn't be another one. A pair is always
     made in the first bucket that both have, whether it is carried or not.
     """
-    least = lambda x: F.slice(F.array_sort(x), 1, LISTED)
-    return rows.groupBy("id").agg(least(F.collect_set("bucket")).alias("met"), least(F.collect_set(F.when(F.col("asks"), F.col("bucket")))).alias("asked"))
+    sets = rows.groupBy("id").agg(*[F.first(c).alias(c) for c in ("component", "n", "parity")], F.array_sort(F.collect_set(F.struct("bucket", "asks"))).alias("places"))
+    buckets = lambda x: F.transform(x, lambda p: p["bucket"])
+    sets = sets.withColumns({
+        "folded": F.aggregate("parity", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)),
+        "met": buckets(F.slice("places", 1, LISTED)), "asked": buckets(F.slice(F.filter("places", lambda p: p["asks"]), 1, LISTED))})
+    return sets.withColumn("place", F.explode("places")).select("place.bucket", "id", "component", "place.asks", "n", "folded", "parity", "met", "asked")
 
 
-def _first_meetings(pivots: DataFrame, now: DataFrame) -> DataFrame:
-    """a, b: pivots and members of the open buckets (bucket, id, component, asks, n, parity) that could be alike; twice only where the lists of buckets are cut."""
-    p = pivots.join(_first_buckets(pivots), "id").select("bucket", F.struct("id", "component", "asks", "n", "parity").alias("p"), F.col("met").alias("p_met"), F.col("asked").alias("p_asked"))
-    members = now.join(_first_buckets(now), "id").select(F.col("bucket").alias("of"), "id", "component", "asks", "n", "parity", "met", "asked")
-    before = lambda x: F.filter(x, lambda b: b < F.col("of"))
-    pairs = p.join(members, (F.col("bucket") == F.col("of")) & (F.col("p.component") != F.col("component")) & (F.col("p.asks") | F.col("asks"))
-                   & close_enough(F.col("n"), F.col("p.n"), F.col("parity"), F.col("p.parity"))
+def _first_meetings(pivots: DataFrame, now: DataFrame, all_left: bool = False) -> DataFrame:
+    """a, b: pivots and members of the open buckets (bucket, id, component, asks, n, parity) that could be alike; twice only where the lists of buckets
+    are cut, or where both are pivots. all_left: pivots and members are the same.
+    """
+    p = _listed(pivots).select(*[F.col(c).alias(f"p_{c}") for c in ("bucket", "id", "component", "asks", "n", "folded", "parity", "met", "asked")])
+    before = lambda x: F.filter(x, lambda b: b < F.col("bucket"))
+    apart = F.col("p_id") < F.col("id") if all_left else F.col("p_id") != F.col("id")
+    alike = F.least("n", "p_n") * 5 >= F.greatest("n", "p_n") * 4
+    alike &= F.bit_count(F.col("folded").bitwiseXOR(F.col("p_folded"))) * 9 <= F.col("n") + F.col("p_n")  # what close_enough finds, but sooner
+    pairs = p.join(_listed(now), (F.col("p_bucket") == F.col("bucket")) & apart & (F.col("p_component") != F.col("component")) & (F.col("p_asks") | F.col("asks")) & alike
+                   & close_enough(F.col("n"), F.col("p_n"), F.col("parity"), F.col("p_parity"))
                    & ~F.arrays_overlap(before("p_met"), "asked") & ~F.arrays_overlap(before("p_asked"), "met"))
-    return pairs.select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b"))
+    return pairs.select(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b"))
 
 
-def _pivots(hot: DataFrame, labels: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs to compare, members left): pivots of each bucket against its members in other components.
+def _open(hot: DataFrame, labels: DataFrame, files: int) -> tuple[DataFrame | None, int, int]:
+    """(members of the buckets that aren't done, with their components; their number; pairs to compare at most). Buckets of one component, or in which none asks, are done."""
+    now = hot.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    buckets = now.groupBy("bucket").agg(
+        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count_if("asks").alias("askers"), F.count(F.lit(1)).alias("rows"))
+    buckets = stored(buckets.where((F.col("c0") != F.col("c1")) & (F.col("askers") > 0)).select("bucket", "askers", "rows").coalesce(files), "ngram-buckets")
+    rows, pairs = buckets.agg(F.sum("rows"), F.sum(F.col("askers") * F.col("rows"))).first()
+    if rows:
+        now = stored(now.join(buckets.select("bucket"), "bucket", "left_semi").coalesce(files), "ngram-hot")
+    released(buckets)
+    return (now, rows, pairs) if rows else (None, 0, 0)
+
 
-    A bucket's members fall into slots by hash, and each slot's heaviest is a pivot: one row a slot leaves each task. Buckets of one
-    component, or in which none asks, are done.
+def _pivots(now: DataFrame, slots: int, files: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs to compare, members left, pivots): pivots of each bucket against its members in other components.
+
+    A bucket's members fall into slots by hash, and each slot's heaviest is a pivot: one row a slot leaves each task.
     """
-    now = hot.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ones = now.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("asks").alias("any_asks")).where(
-        (F.col("c0") != F.col("c1")) & F.col("any_asks")).select("bucket")
-    now = stored(now.join(open_ones, "bucket", "left_semi"), "ngram-hot")
     slot = F.pmod(F.xxhash64("id"), F.lit(slots))
-    first = stored(now.groupBy("bucket", slot.alias("slot")).agg(
-        F.max_by(F.struct("id", "component", "asks", "n", "parity"), F.struct("weight", "id")).alias("p")).select("bucket", "p.*"), "ngram-pivots")
-    pairs = _first_meetings(first, now).distinct()
-    top = now.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("weight", "id")).alias("top")).select(F.col("bucket").alias("of"), F.col("top.id").alias("done"))
-    left = now.join(top, (F.col("bucket") == F.col("of")) & (F.col("id") == F.col("done")), "left_anti")
-    return stored(pairs, "ngram-pairs"), left.drop("component")
+    first = now.groupBy("bucket", slot.alias("slot")).agg(
+        F.max_by(F.struct("id", "component", "asks", "n", "parity"), F.struct("weight", "id")).alias("p")).select("bucket", "p.*")
+    first = stored(first.coalesce(files), "ngram-pivots")
+    pairs = stored(_first_meetings(first, now).distinct().coalesce(files), "ngram-pairs")
+    return pairs, now.join(first.select("bucket", "id"), ["bucket", "id"], "left_anti").drop("component"), first
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -479,46 +499,57 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     A node is a set: no_id, doc_id, text_hash, set key of its row with the smallest id, null ids last. They compare in that order, so the
     least node of a component has its smallest id.
     """
-    found = index(docs)
+    groups = group_count(docs)
+    found = index(docs, max(LEAST_GROUPS, groups))
+    files = max(8, 2 * groups)  # of a table at most; those of the rounds are small
     rows = found.where(F.col("kind") == 0).select("doc_id", F.col("n").alias("n_shingles"), "capacity", F.col("a").alias("set_id"), F.col("b").alias("set_hi"), "text_hash", "parity")
     node = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "set_id", "set_hi")
     classes = stored(rows.where(F.col("n_shingles") > 0).groupBy("set_id", "set_hi").agg(
-        F.min(node).alias("node"), F.first("n_shingles").alias("n"), F.max("capacity").alias("capacity"), F.first("parity").alias("parity")), "ngram-classes")
+        F.min(node).alias("node"), F.first("n_shingles").alias("n"), F.max("capacity").alias("capacity"), F.first("parity").alias("parity")).coalesce(files), "ngram-classes")
     side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     met = found.where(F.col("kind") == 1).select("a", "b").distinct().join(side("a"), "a")
     right = side("b").withColumnRenamed("b", "to")
-    pairs = stored(met.join(right, (F.col("b") == F.col("to")) & close_enough(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"))).select("a", "b").distinct(), "ngram-pairs")
+    pairs = stored(met.join(right, (F.col("b") == F.col("to")) & close_enough(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"))).select("a", "b").coalesce(files), "ngram-pairs")
 
     # hot buckets: skipped by the sets whose other segments suffice
     members = found.where(F.col("kind") == 2).select(
         F.col("a").alias("bucket"), F.col("b").bitwiseAND(F.lit(-2)).alias("id"), (F.col("b") % 2 != 0).alias("lower"), F.col("n").alias("size"))
-    hot = stored(_asked(members, classes), "ngram-hot")
+    hot = stored(_asked(members, classes, files).coalesce(files), "ngram-hot")
 
     need = needed_column(F.col("n"))
     short = classes.where((need > 1) & (F.col("capacity") < need))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(
         hot.select(F.col("id").alias("set_id"))).unionByName(short.select("set_id")).distinct()
-    sets = wanted_sets(docs, classes.join(ids, "set_id", "left_semi"))
-    edges = stored(linked(pairs, sets), "ngram-links")
+    wanted = stored(classes.join(ids, "set_id", "left_semi").select("set_id", "set_hi", "node").coalesce(files), "ngram-wanted")
+    sets = wanted_sets(docs, wanted, files)
+    edges = stored(linked(pairs, sets).coalesce(files), "ngram-links")
     rooted = lambda labels: labels.select(F.col("node.set_id").alias("id"), F.col("component.set_id").alias("component"))
     asked = query_blocks(docs, sets.join(short.select("set_id"), "set_id", "left_semi"))
     if asked is not None:
         edges = stored(edges.unionByName(asked.join(classes.select("set_id", "set_hi", F.col("node").alias("v")), ["set_id", "set_hi"]).select("u", "v")), "ngram-links")
     labels = components(edges)
-    slots = 1
-    while not hot.isEmpty():
-        more, hot = _pivots(hot, rooted(labels), slots)
+    slots, found_any, old = 1, True, [hot]
+    while hot is not None:
+        now, members_left, most = _open(hot, rooted(labels), files)
+        released(*old)
+        if now is None:
+            break
+        if slots > 1 and (most <= max(PAIRS_LEFT, PAIRS_EACH * members_left) or not found_any):
+            more, hot, old = stored(_first_meetings(now, now, all_left=True).distinct().coalesce(files), "ngram-pairs"), None, [now]
+        else:
+            more, hot, first = _pivots(now, slots, files)
+            old = [now, first]
         slots *= 8
-        if more.isEmpty():
-            continue
-        new = stored(linked(more, sets), "ngram-links")
-        if not new.isEmpty():  # join the components that the new links touch
+        new = stored(linked(more, sets).coalesce(files), "ngram-links")
+        found_any = not new.isEmpty()
+        if found_any:  # join the components that the new links touch
             of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
             met = new.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-            merged = components(met.where(F.col("u") != F.col("v")))
+            merged = components(met)
             moved = labels.join(merged.withColumnRenamed("component", "now").withColumnRenamed("node", "component"), "component", "left")
             moved = moved.select("node", F.coalesce("now", "component").alias("component"))
-            labels = stored(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "components")
+            labels = stored(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")).coalesce(files), "components")
+        released(more, new)
     reps = classes.join(labels, "node", "left").select("set_id", "set_hi", "node", F.coalesce("component", "node").alias("component"))
     return rows.select("doc_id", "n_shingles", "set_id", "set_hi", "text_hash"), reps
 
