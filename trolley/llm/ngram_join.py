@@ -9,7 +9,8 @@ Sets are keyed by 128 bits of their digest, so exact copies are one member; a ta
 
 Signatures are shuffled once, in groups of bounded size. A segment value with few members gives its pairs; one with many is skipped for
 sets that have capacity to spare without it, and otherwise worked off in rounds: pivots are compared
-with the members of other components, and what has become one component needs no further comparison. Sets that meet in many buckets are a
+with the members of other components, and what has become one component needs no further comparison. From the second round on all that are
+left are compared at once if their pairs are few. Sets that meet in many buckets are a
 pair in one of them: each carries its first buckets, and a pair that is known from an earlier one is left out. Before whole sets are
 compared, pairs must pass a bound that is exact: each set carries the parities of the numbers of its shingles in as many ranges as it
 has shingles, about, and as many shingles differ at least as parities do. Sets whose capacity is too small from the start (rare) are
