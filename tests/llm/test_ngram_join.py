@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trolley.llm import ngram_join as N
@@ -159,6 +160,20 @@ def test_capacity_finds_close_sets(n):
         assert set(sigs[ids >> np.uint64(1) == 1].tolist()) & set(sigs[ids >> np.uint64(1) == 2].tolist())
 
 
+def test_signatures_are_sent_in_few_bytes():
+    """40 bits a signature, and for each set its id and two counts, however many signatures it has there."""
+    rng = np.random.default_rng(7)
+    sigs = rng.integers(0, 1 << 64, 1000, dtype=np.uint64)
+    blob = N._packed_sigs(sigs)
+    assert len(blob) == 5 * len(sigs)
+    assert (N._unpacked_sigs(pa.py_buffer(blob)) == sigs & np.uint64((1 << 40) - 1)).all()
+    for most in (3, 300, 70_000):
+        ids = np.sort(np.repeat(rng.integers(0, 1 << 64, 20, dtype=np.uint64), rng.integers(1, most + 1, 20)))
+        blob = N._packed_ids(ids)
+        assert (N._unpacked_ids(pa.py_buffer(blob)) == ids).all()
+        assert len(blob) <= 8 + 20 * (8 + 2 * 4)
+
+
 def test_components_of_many_portions(spark, monkeypatch):
     monkeypatch.setattr("trolley.llm.components.PORTION", 5)
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(1, 9), (9, 5), (3, 3)], "u long, v long").repartition(4)

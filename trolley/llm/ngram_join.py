@@ -187,24 +187,28 @@ def close_enough(n: Column, other_n: Column, parity: Column, other_parity: Colum
 
 
 def _packed_sigs(sigs: np.ndarray) -> bytes:
-    """The low 48 bits of signatures; the number of their group says the rest."""
-    return sigs.astype(np.uint32).tobytes() + (sigs >> np.uint64(32)).astype(np.uint16).tobytes()
+    """The low 40 bits of signatures; their group is dealt by the others. Some millions in a group agree by chance in a few pairs, which verification drops."""
+    return sigs.astype(np.uint32).tobytes() + (sigs >> np.uint64(32)).astype(np.uint8).tobytes()
 
 
 def _unpacked_sigs(blob: pa.Buffer) -> np.ndarray:
-    n = blob.size // 6
-    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) | np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+    n = blob.size // 5
+    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) | np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def _packed_ids(known: np.ndarray, numbers: np.ndarray) -> bytes:
-    """Ids as a list of those that occur, and the place of each in it, two bytes where that is enough."""
-    own, places = np.unique(numbers, return_inverse=True)
-    return np.uint64(len(own)).tobytes() + known[own].tobytes() + places.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes()
+def _packed_ids(ids: np.ndarray) -> bytes:
+    """Sorted ids as the sets that occur, and how often each does without and with the lowest bit, in one byte where that is enough."""
+    sets = ids & ~np.uint64(1)
+    starts = np.flatnonzero(np.append(True, sets[1:] != sets[:-1]))
+    lower = np.add.reduceat((ids & np.uint64(1)).astype(np.int64), starts)
+    counts = np.stack([np.diff(np.append(starts, len(ids))) - lower, lower], axis=1)
+    return np.uint64(len(starts)).tobytes() + sets[starts].tobytes() + counts.astype(np.min_scalar_type(counts.max())).tobytes()
 
 
 def _unpacked_ids(blob: pa.Buffer) -> np.ndarray:
     n = int(np.frombuffer(blob, np.uint64, 1)[0])
-    return np.frombuffer(blob, np.uint64, n, 8)[np.frombuffer(blob, np.uint16 if n <= 1 << 16 else np.uint32, -1, 8 * (n + 1))]
+    sets, width = np.frombuffer(blob, np.uint64, n, 8), (blob.size - 8 * (n + 1)) // (2 * n)
+    return np.repeat(np.stack([sets, sets | np.uint64(1)], axis=1).ravel(), np.frombuffer(blob, f"u{width}", 2 * n, 8 * (n + 1)).astype(np.int64))
 
 
 def bucket_members(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,16 +260,16 @@ def index(docs: DataFrame, parts: int, flush: int = 1 << 20) -> DataFrame:
         def flushed(id_type: pa.DataType) -> pa.RecordBatch:
             sigs = np.concatenate([k[0] for k in kept])
             known, ids = np.unique(np.concatenate([k[1] for k in kept]), return_inverse=True)
-            ids = ids.astype(np.uint32)  # members are numbers in the list of the sets seen since the last flush
+            ids = ids.astype(np.uint64)  # members are numbers in the list of the sets seen since the last flush
             kept.clear()
-            part = (sigs >> np.uint64(24)) % np.uint64(parts)
-            order = np.argsort(part)
+            part = (sigs >> np.uint64(40)) % np.uint64(parts)
+            order = np.argsort(part << np.uint64(32) | ids)  # a set's signatures side by side
             own, starts = np.unique(part[order], return_index=True)
             pieces = np.split(order, starts[1:])[: len(own)]
             n = len(own)
             columns = [pa.array(own.astype(np.int32)), *(pa.nulls(n, t) for t in (id_type, *[pa.int64()] * 5, pa.list_(pa.int64())))]
             return pa.RecordBatch.from_arrays(
-                [*columns, pa.array([_packed_sigs(sigs[i]) for i in pieces], pa.binary()), pa.array([_packed_ids(known, ids[i]) for i in pieces], pa.binary())],
+                [*columns, pa.array([_packed_sigs(sigs[i]) for i in pieces], pa.binary()), pa.array([_packed_ids(known[ids[i]]) for i in pieces], pa.binary())],
                 names=sent.names)
 
         def close(group: Signatures, members: list[tuple[int, int]]) -> None:
