@@ -75,3 +75,13 @@ def test_pages_give_all_fields(spark, tmp_path):
     spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert QUERIES["extract_html_items"](spark, str(tmp_path)).first().asDict() == {
         "page_id": 1, "name": "Milk", "price": "KES 90", "original_price": "KES 99", "promotion_details": "Offer"}
+
+
+def test_pair_counts_take_partitions_by_rows(spark, sf, monkeypatch):
+    items = Tables(spark, sf).log_items().union(spark.createDataFrame([(None, 1, 7), (None, 2, 8)], "log_id long, line_no int, product_id long"))
+    want = {tuple(r) for r in mining.cooccurrence_counts(items).collect()}
+    monkeypatch.setattr(mining, "PART_ITEMS", 100)
+    counts = mining.cooccurrence_counts(items)
+    assert counts.rdd.getNumPartitions() >= items.count() / 100
+    assert {tuple(r) for r in counts.collect()} == want
+    assert mining.basket_pairs(items).where("log_id is null").isEmpty()
