@@ -1,10 +1,11 @@
 """Registered queries do the whole job of their operators: brute force over the smallest tables."""
 
+import gzip
 from collections import Counter, defaultdict
 from math import sqrt
 
 from trolley.operators import mining
-from trolley.plans import model_queries
+from trolley.plans import model_queries, stream_queries
 from trolley.plans.bindings import Tables
 from trolley.plans.registry import QUERIES
 
@@ -85,3 +86,14 @@ def test_pair_counts_take_partitions_by_rows(spark, sf, monkeypatch):
     assert counts.rdd.getNumPartitions() >= items.count() / 100
     assert {tuple(r) for r in counts.collect()} == want
     assert mining.basket_pairs(items).where("log_id is null").isEmpty()
+
+
+def test_items_to_ingest_are_written_compressed(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 1000)
+    monkeypatch.setattr(stream_queries.B, "scratch", lambda spark, name: str(tmp_path / name))
+    rows = Tables(spark, sf).prices().count()
+    assert QUERIES["stream_ingest_prices"](spark, sf).count() > 0
+    files = list((tmp_path / "ingest" / "in").glob("part-*"))
+    held = [gzip.decompress(f.read_bytes()).count(b"\n") for f in files]
+    assert sum(held) == rows and max(held) <= 1000
+    assert sum(f.stat().st_size for f in files) < 50 * rows

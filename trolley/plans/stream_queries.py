@@ -18,13 +18,17 @@ from trolley.streaming import claims as K
 from trolley.streaming import streams as S
 
 
+#: Rows of a compressed JSON file at most.
+FILE_ROWS = 500_000
+
+
 def _ingested(t: Tables) -> DataFrame:
     out = B.scratch(t.spark, "ingest")
     raw = t.prices().select(
         "product_id", F.col("store_id").cast("string").alias("store_id"), F.col("price_kes").cast("decimal(18,2)").cast("string").alias("price_kes"), "source",
         F.date_format("verified_at", "yyyy-MM-dd HH:mm:ss").alias("verified_at"), F.col("is_promotional").cast("string").alias("is_promotional"),
         F.lit(None).cast("string").alias("promotion_details"), "batch_id", F.col("line_no").cast("int").alias("line_no"))
-    raw.write.json(f"{out}/in")
+    raw.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).json(f"{out}/in")  # such a file is read by one task
     S.stream_ingest_prices(t.spark, f"{out}/in", f"{out}/out", f"{out}/state", AS_OF).awaitTermination()
     return S.read_ingested(t.spark, f"{out}/out").select("product_id", "store_id", "source", F.col("day").cast("string").alias("day"), "price_kes", "is_promotional")
 
