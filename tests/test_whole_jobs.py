@@ -4,7 +4,9 @@ import gzip
 from collections import Counter, defaultdict
 from math import sqrt
 
-from trolley.operators import mining
+from pyspark.sql import functions as F
+
+from trolley.operators import graph, mining
 from trolley.plans import model_queries, stream_queries
 from trolley.plans.bindings import Tables
 from trolley.plans.registry import QUERIES
@@ -97,3 +99,16 @@ def test_items_to_ingest_are_written_compressed(spark, sf, monkeypatch, tmp_path
     held = [gzip.decompress(f.read_bytes()).count(b"\n") for f in files]
     assert sum(held) == rows and max(held) <= 1000
     assert sum(f.stat().st_size for f in files) < 50 * rows
+
+
+def pairs_of(rows, same, different=lambda r: None):
+    return sorted((a.product_id, b.product_id) for a in rows for b in rows if a.product_id != b.product_id and same(a) == same(b) and (different(a) is None or different(a) != different(b)))
+
+
+def test_same_category_pairs_are_all_of_a_category(spark, sf, monkeypatch):
+    rows = Tables(spark, sf).products().collect()
+    assert sorted(map(tuple, QUERIES["same_category_pairs"](spark, sf).collect())) == pairs_of(rows, lambda r: r.category)
+    monkeypatch.setattr(graph, "BLOCK_MEMBERS", 5)
+    found = graph.same_category_pairs(Tables(spark, sf).products())
+    made = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 6 and sum(n for _, n in made) == found.count()  # a class is made by more than one task
