@@ -112,3 +112,9 @@ def test_same_category_pairs_are_all_of_a_category(spark, sf, monkeypatch):
     found = graph.same_category_pairs(Tables(spark, sf).products())
     made = found.groupBy(F.spark_partition_id()).count().collect()
     assert len(made) > 6 and sum(n for _, n in made) == found.count()  # a class is made by more than one task
+
+
+def test_substitutes_may_have_other_names(spark, sf):
+    rows = Tables(spark, sf).products().collect()
+    want = pairs_of(rows, lambda r: r.category, lambda r: r.brand)
+    assert sorted(map(tuple, QUERIES["substitute_pairs"](spark, sf).collect())) == want and len(want) > 1000
