@@ -118,3 +118,11 @@ def test_substitutes_may_have_other_names(spark, sf):
     rows = Tables(spark, sf).products().collect()
     want = pairs_of(rows, lambda r: r.category, lambda r: r.brand)
     assert sorted(map(tuple, QUERIES["substitute_pairs"](spark, sf).collect())) == want and len(want) > 1000
+
+
+def test_graph_links_all_of_a_category(spark, sf):
+    rows = Tables(spark, sf).products().collect()
+    edges = QUERIES["build_graph"](spark, sf).cache()
+    of = lambda kind: sorted((r.src, r.dst) for r in edges.where(F.col("edge_type") == kind).collect())
+    assert of("same_category") == pairs_of(rows, lambda r: r.category)
+    assert of("substitute") == pairs_of(rows, lambda r: r.category, lambda r: r.brand) != []
