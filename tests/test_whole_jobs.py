@@ -4,6 +4,7 @@ import gzip
 from collections import Counter, defaultdict
 from math import sqrt
 
+import pytest
 from pyspark.sql import functions as F
 
 from trolley.operators import graph, mining
@@ -126,3 +127,8 @@ def test_graph_links_all_of_a_category(spark, sf):
     of = lambda kind: sorted((r.src, r.dst) for r in edges.where(F.col("edge_type") == kind).collect())
     assert of("same_category") == pairs_of(rows, lambda r: r.category)
     assert of("substitute") == pairs_of(rows, lambda r: r.category, lambda r: r.brand) != []
+
+
+@pytest.mark.parametrize("name", ["exact_then_fuzzy", "find_product", "find_product_matches", "fuzzy_cross_match", "keep_best_score", "suggest_corrections"])
+def test_every_product_is_asked_for(spark, sf, name):
+    assert {r.query_id for r in QUERIES[name](spark, sf).select("query_id").distinct().collect()} == {r.product_id for r in Tables(spark, sf).products().collect()}
