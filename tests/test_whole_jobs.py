@@ -132,3 +132,12 @@ def test_graph_links_all_of_a_category(spark, sf):
 @pytest.mark.parametrize("name", ["exact_then_fuzzy", "find_product", "find_product_matches", "fuzzy_cross_match", "keep_best_score", "suggest_corrections"])
 def test_every_product_is_asked_for(spark, sf, name):
     assert {r.query_id for r in QUERIES[name](spark, sf).select("query_id").distinct().collect()} == {r.product_id for r in Tables(spark, sf).products().collect()}
+
+
+def test_reason_text_joins_two_reasons(spark, sf):
+    similar = defaultdict(list)
+    for r in QUERIES["cosine_similarity_items"](spark, sf).collect():
+        if r.similarity > 0:
+            similar[r.item_a].append((-r.similarity, r.item_b))
+    want = {a: "; ".join(f"Users who viewed {b}" for _, b in sorted(found)[:2]) for a, found in similar.items()}
+    assert {r.item_a: r.reason for r in QUERIES["reason_text"](spark, sf).collect()} == want and any("; " in x for x in want.values())
