@@ -141,3 +141,10 @@ def test_reason_text_joins_two_reasons(spark, sf):
             similar[r.item_a].append((-r.similarity, r.item_b))
     want = {a: "; ".join(f"Users who viewed {b}" for _, b in sorted(found)[:2]) for a, found in similar.items()}
     assert {r.item_a: r.reason for r in QUERIES["reason_text"](spark, sf).collect()} == want and any("; " in x for x in want.values())
+
+
+@pytest.mark.parametrize("name", ["generate_prices", "cross_join_prices"])
+def test_prices_of_a_small_file_are_made_by_many_tasks(spark, sf, name):
+    found = QUERIES[name](spark, sf)
+    made = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) >= 8 and sum(n for _, n in made) == 200 * 10 == found.select("product_id", "store_id").distinct().count()
