@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from trolley.operators import graph, mining
-from trolley.plans import model_queries, stream_queries
+from trolley.plans import jobs, model_queries, stream_queries
 from trolley.plans.bindings import Tables
 from trolley.plans.registry import QUERIES
+from trolley.sources import tables
 
 
 def test_similarity_counts_every_pair(spark, sf):
@@ -148,3 +149,13 @@ def test_prices_of_a_small_file_are_made_by_many_tasks(spark, sf, name):
     found = QUERIES[name](spark, sf)
     made = found.groupBy(F.spark_partition_id()).count().collect()
     assert len(made) >= 8 and sum(n for _, n in made) == 200 * 10 == found.select("product_id", "store_id").distinct().count()
+
+
+def test_similarities_are_stored_packed(spark, sf, tmp_path):
+    found = QUERIES["cosine_similarity_items"](spark, sf).coalesce(1)
+    rows = sorted(map(tuple, found.collect()))
+    size = lambda path: sum(f.stat().st_size for f in tmp_path.joinpath(path).glob("**/part-*"))
+    found.write.parquet(f"{tmp_path}/plain")
+    path = tables.save_version(found, f"{tmp_path}/similarities", 1, jobs.PACKED)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == rows
+    assert size("similarities/version=1") < 0.9 * size("plain")
